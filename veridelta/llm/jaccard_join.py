@@ -9,8 +9,8 @@
    (shingle, size band); a set enters its own band and the one below, the only ones that
    can hold a partner.  A tile of many sets is cut into square sub-tiles of bounded sides.
 4. In a tile, hashed bitmaps bound overlaps from above by bit counts: a bit that only one
-   side has is a shingle that is not shared.  Pairs that survive are decided by an exact
-   intersection of the sorted hash arrays.
+   side has is a shingle that is not shared.  Surviving pairs connect families of
+   candidates; inside families an exact intersection of the sorted hash arrays decides.
 
 Large families would make a pair of every two members.  Components need only the links
 that connect, so tiles by min-hash first link sets exactly inside small sub-tiles (a union-
@@ -212,31 +212,51 @@ def _first_links(kept: DataFrame, t: Fraction, parts: int) -> DataFrame:
         side = F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.coalesce("count", F.lit(1)) / SIDE).cast("int"))
         rows = kept.join(crowded, r, "left").select("node", "size", "bits", "shingles", F.col(r).alias("tile"), side.cast("int").alias("side"))
 
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b = [], []
-            for table in _groups(batches, ["tile", "side"]):
-                if table.num_rows < 2:
-                    continue
-                tile = _Tile(table, t)
-                raw = table.column("shingles").to_pylist()
-                own = [np.sort(B.unplanes(raw[i], U64)) for i in tile.order]
-                root = np.arange(len(own))
-                for i in range(len(own) - 1):
-                    later = np.arange(i + 1, len(own))
-                    for j in tile.near(i, later[root[later] != root[i]]):
-                        if root[j] != root[i] and _linked(own[i], own[j], tile.size[i], tile.size[j], t):
-                            root[root == root[j]] = root[i]
-                            a.append(tile.node[i])
-                            b.append(tile.node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        one = B.stored(rows.repartition(parts, "tile", "side").sortWithinPartitions("tile", "side").mapInArrow(link, schema), "tile-links")
+        def link(table: pa.Table) -> tuple[list, list]:
+            tile = _Tile(table, t)
+            raw = table.column("shingles").to_pylist()
+            own = [np.sort(B.unplanes(raw[i], U64)) for i in tile.order]
+            got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, np.arange(len(own)), lambda i, later: np.ones(len(later), bool), lambda i, j: _linked(own[i], own[j], tile.size[i], tile.size[j], t))]
+            return [x for x, _ in got], [y for _, y in got]
+
+        one = B.stored(rows.repartition(parts, "tile", "side").sortWithinPartitions("tile", "side").mapInArrow(lambda b, link=link: _pairs(b, ["tile", "side"], link), schema), "tile-links")
         links = one if links is None else links.union(one)
     return links
 
 
+def _connected(tile: _Tile, root: np.ndarray, fits, linked) -> Iterator[tuple[int, int]]:
+    """Positions of pairs that connect different roots: fits(i, j's) and linked(i, j) decide; at most one pair for a member."""
+    for i in range(len(root) - 1):
+        later = np.arange(i + 1, len(root))
+        later = later[root[later] != root[i]]
+        for j in tile.near(i, later[fits(i, later)]):
+            if root[j] != root[i] and linked(i, j):
+                root[root == root[j]] = root[i]
+                yield i, int(j)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], keys: list[str], found) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes from found(table, tile) of each group of rows."""
+    for table in _groups(batches, keys):
+        a, b = found(table) if table.num_rows > 1 else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _squared(rows: DataFrame, n: str) -> DataFrame:
+    """Rows dealt to the square sub-tiles (row, col) of their tile, n rows in all; mine: the side that is theirs."""
+    side = F.ceil(F.col(n) / SIDE).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    return rows.withColumns({"row": F.least("mine", "other"), "col": F.greatest("mine", "other")}).drop("other")
+
+
 def _rest(kept: DataFrame, known: DataFrame, t: Fraction, parts: int) -> DataFrame:
-    """All links between sets that the first links leave in different components."""
+    """Links between sets that the first links leave in different components: enough to connect all that are linked.
+
+    Tiles yield candidate pairs by size and bits, of these only so many as connect their
+    ends: every pair that may link has both ends in one family of candidates.  Families then
+    hold each set once, and their sub-tiles decide exactly.
+    """
+    schema = "a long, b long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -249,42 +269,40 @@ def _rest(kept: DataFrame, known: DataFrame, t: Fraction, parts: int) -> DataFra
     band = F.floor(F.log("size") / F.log(F.lit(ratio)) + F.lit(1e-9)).cast("int")
     rows = rows.select("shingle", "node", "component", band.alias("own"), F.explode(F.array(band, band - 1)).alias("band"))
     rows = B.stored(rows, "prefixes")
-    open_tiles = rows.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("own").alias("least")).where("lo < hi and least = band").select("shingle", "band", "n")
-    rows = rows.join(open_tiles, ["shingle", "band"]).join(kept.select("node", "size", "bits"), "node")
-    side = F.ceil(F.col("n") / SIDE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), side).cast("int")
-    rows = rows.select("shingle", "band", "node", "component", "own", "size", "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0), side - 1)).alias("other"))
-    rows = rows.withColumns({"row": F.least("mine", "other"), "col": F.greatest("mine", "other")})
+    tiles = rows.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("own").alias("least")).where("lo < hi and least = band").select("shingle", "band", "n")
+    rows = _squared(rows.join(tiles, ["shingle", "band"]), "n").drop("n").join(kept.select("node", "size", "bits"), "node")
     keys = ["shingle", "band", "row", "col"]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, keys):
-            a, b = [], []
-            if table.num_rows > 1:
-                tile = _Tile(table, t)
-                comp, mine, own = (table.column(c).to_numpy()[tile.order] for c in ("component", "mine", "own"))
-                band, off = table.column("band")[0].as_py(), table.column("row")[0].as_py() != table.column("col")[0].as_py()
-                for i in range(len(comp) - 1):
-                    later = np.arange(i + 1, len(comp))
-                    fit = (comp[later] != comp[i]) & ((own[later] == band) | (own[i] == band))
-                    if off:
-                        fit &= mine[later] != mine[i]
-                    j = tile.near(i, later[fit])
-                    a += [tile.node[i]] * len(j)
-                    b += tile.node[j].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    found = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(pairs, "a long, b long")
-    found = B.stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sets = [kept.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            cols = [T.column(part, c).to_pylist() for c in ("set_a", "set_b", "size_a", "size_b")]
-            fit = [_linked(np.sort(B.unplanes(x, U64)), np.sort(B.unplanes(y, U64)), n, m, t) for x, y, n, m in zip(*cols, strict=True)]
-            yield part.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
-
-    return B.stored(found.join(sets[0], "a").join(sets[1], "b").select("a", "b", "size_a", "size_b", "set_a", "set_b").mapInArrow(decide, "a long, b long"), "links")
+    def candidates(table: pa.Table) -> tuple[list, list]:
+        tile = _Tile(table, t)
+        comp, mine, own = (table.column(c).to_numpy()[tile.order] for c in ("component", "mine", "own"))
+        band, off = table.column("band")[0].as_py(), table.column("row")[0].as_py() != table.column("col")[0].as_py()
+
+        def fits(i: int, later: np.ndarray) -> np.ndarray:
+            fit = (comp[later] != comp[i]) & ((own[later] == band) | (own[i] == band))
+            return fit & (mine[later] != mine[i]) if off else fit
+
+        got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, np.arange(len(comp)), fits, lambda i, j: True)]
+        return [a for a, _ in got], [b for _, b in got]
+
+    found = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _pairs(b, keys, candidates), schema)
+    families = components(found, "candidate")
+    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
+    members = _squared(families.join(sizes, "component").withColumnRenamed("component", "family"), "n").drop("n")
+    members = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).join(kept.select("node", "size", "bits", "shingles"), "node")
+    square = ["family", "row", "col"]
+
+    def decided(table: pa.Table) -> tuple[list, list]:
+        tile = _Tile(table, t)
+        raw = table.column("shingles").to_pylist()
+        sets = [np.sort(B.unplanes(raw[i], U64)) for i in tile.order]
+        comp, mine = (table.column(c).to_numpy()[tile.order] for c in ("component", "mine"))
+        off = table.column("row")[0].as_py() != table.column("col")[0].as_py()
+        _, root = np.unique(comp, return_inverse=True)
+        got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, root, lambda i, later: (mine[later] != mine[i]) | (not off), lambda i, j: _linked(sets[i], sets[j], tile.size[i], tile.size[j], t))]
+        return [a for a, _ in got], [b for _, b in got]
+
+    return B.stored(members.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(lambda b: _pairs(b, square, decided), schema), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_mb: int = 8) -> DataFrame:
