@@ -44,11 +44,17 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished jobs now and not at some later collection."""
+    """Lets Spark drop shuffle files of finished jobs now and not at some later collection.
+
+    Python's references go first, then what they held in the JVM, then what that held.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def estimated_bytes(df: DataFrame) -> int:

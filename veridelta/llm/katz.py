@@ -86,26 +86,28 @@ class _Text:
         return T.span_hash(self.h, self.at - k + 1, self.at)
 
 
-def _texts(table: pa.Table, order: int):
-    train = np.asarray(T.column(table, "train"))
-    for w in T.words(T.column(table, "text"), T.whitespace_words(), T.folded()):
-        t = _Text(w, order)
-        yield t, train[t.rows][t.doc]
+class _Block:
+    """All scored tokens of a block's texts: row of the text, whether it trains, n-grams and histories of each order."""
 
+    def __init__(self, table: pa.Table, order: int) -> None:
+        texts = [_Text(w, order) for w in T.words(T.column(table, "text"), T.whitespace_words(), T.folded())]
+        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+        self.row = join([t.rows[t.doc] for t in texts], np.int64)
+        self.train = np.asarray(T.column(table, "train"))[self.row]
+        self.grams = {k: _Index(join([t.grams(k) for t in texts], U64)) for k in range(1, order + 1)}
+        self.histories = {k: _Index(join([t.histories(k) for t in texts], U64)) for k in range(2, order + 1)}
 
-def _counted(parts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct k-grams and their counts in its training texts."""
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, np.int32)
-    g = np.concatenate([t.grams(k) for t, _ in parts])
-    order = np.argsort(g)
-    g = g[order]
-    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    return g[at], np.add.reduceat(np.concatenate([x for _, x in parts])[order].astype(np.int32), at)
 
+class _Index:
+    """Sorted distinct values, the place of each value among them, and one position of each distinct value."""
 
-def _histories(parts: list, k: int) -> np.ndarray:
-    return np.unique(np.concatenate([t.histories(k) for t, _ in parts])) if parts else np.zeros(0, U64)
+    def __init__(self, x: np.ndarray) -> None:
+        order = np.argsort(x)
+        s = x[order]
+        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+        self.keys, self.one = s[new], order[new]
+        self.place = np.empty(len(x), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - 1
 
 
 class Model:
@@ -125,30 +127,25 @@ class Model:
 class _Known:
     """What a block knows of its k-grams after the exchanges: counts and owner flags; of histories c(h) and alpha(h)."""
 
-    def __init__(self, parts: list, got: pa.Table, k: int, buckets: int, alphas: bool) -> None:
+    def __init__(self, block: _Block, got: pa.Table, k: int, buckets: int, alphas: bool) -> None:
         def of(kind: str) -> pa.Table:
             return got.filter(pa.compute.and_(pa.compute.equal(got.column("kind"), kind), pa.compute.equal(got.column("order"), k)))
 
-        self.keys, _ = _counted(parts, k)
-        x = B.read_answers(of("count"), self.keys, buckets, np.int64)
+        x = B.read_answers(of("count"), block.grams[k].keys, buckets, np.int64)
         self.count, self.owner = x >> 1, x & 1 > 0
         if alphas:
-            self.histories = _histories(parts, k)
-            a = B.read_answers(of("alpha"), self.histories, buckets, np.complex128)
-            self.total, self.alpha = a.real, a.imag
+            a = B.read_answers(of("alpha"), block.histories[k].keys, buckets, np.complex128)
+            self.total, self.alpha = a.real.copy(), a.imag.copy()
 
-    def counts(self, t: _Text, k: int) -> np.ndarray:
-        return self.count[np.searchsorted(self.keys, t.grams(k))]
 
-
-def _probabilities(t: _Text, known: list[_Known], model: Model, order: int) -> np.ndarray:
-    """P of each scored token: from unigrams up, an order that has not seen the n-gram backs off to the one below."""
-    c = known[0].counts(t, 1)
+def _probabilities(block: _Block, known: list[_Known], model: Model, order: int, at: np.ndarray | slice) -> np.ndarray:
+    """P of the tokens at these positions: from unigrams up, an order that has not seen the n-gram backs off to the one below."""
+    c = known[0].count[block.grams[1].place[at]]
     p = np.where(c > 0, _discount(c, model.d[0]) / max(model.denominator, 1), model.unknown)
     for k in range(2, order + 1):
         x = known[k - 1]
-        c = x.counts(t, k)
-        h = np.searchsorted(x.histories, t.histories(k))
+        c = x.count[block.grams[k].place[at]]
+        h = block.histories[k].place[at]
         n, alpha = x.total[h], x.alpha[h]
         p = np.where(c > 0, _discount(c, model.d[k - 1]) / np.where(n > 0, n, 1), np.where(n > 0, alpha * p, p))
     return p
@@ -161,11 +158,11 @@ def _count_tables(blocks: DataFrame, order: int, n: int) -> DataFrame:
     """n-gram counts of all orders, as answers to the blocks that asked, with a bucket's counts of counts."""
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = list(_texts(table, order))
+        block = _Block(table, order)
         out = []
-        for k in range(1, order + 1):
-            keys, count = _counted(parts, k)
-            rows = B.requests(key[0].as_py(), keys, n, [count])
+        for k, own in block.grams.items():
+            count = np.bincount(own.place[block.train], minlength=len(own.keys)).astype(np.int32)
+            rows = B.requests(key[0].as_py(), own.keys, n, [count])
             out.append(rows.append_column("order", pa.array([k] * rows.num_rows, pa.int32())))
         return pa.concat_tables(out)
 
@@ -187,23 +184,14 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
     """c(h) and alpha(h) of order k, as answers to the blocks that have the history."""
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = list(_texts(table, order))
-        known = [_Known(parts, answers, j, n, 1 < j < k) for j in range(1, k + 1)]
-        own = known[-1]
-        hist = _histories(parts, k)
-        sums = [np.zeros(len(hist)) for _ in range(3)]
-        free = own.owner & (own.count > 0)
-        for t, _ in parts:
-            i = np.searchsorted(own.keys, t.grams(k))
-            first = np.zeros(len(own.keys), np.int64)
-            first[i[::-1]] = np.arange(len(i))[::-1]
-            use = free[i] & (first[i] == np.arange(len(i)))
-            free[i] = False  # each n-gram counts once
-            h = np.searchsorted(hist, t.histories(k)[use])
-            c = own.count[i[use]]
-            for s, x in zip(sums, (c, _discount(c, model.d[k - 1]), _probabilities(t, known, model, k - 1)[use]), strict=True):
-                np.add.at(s, h, x)
-        return B.requests(key[0].as_py(), hist, n, sums)
+        block = _Block(table, order)
+        known = [_Known(block, answers, j, n, 1 < j < k) for j in range(1, k + 1)]
+        own, hist = known[-1], block.histories[k]
+        use = np.flatnonzero(own.owner & (own.count > 0))  # each n-gram counts once, with its owner
+        at = block.grams[k].one[use]
+        h, c = hist.place[at], own.count[use]
+        sums = [np.bincount(h, x, len(hist.keys)) for x in (c, _discount(c, model.d[k - 1]), _probabilities(block, known, model, k - 1, at))]
+        return B.requests(key[0].as_py(), hist.keys, n, sums)
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = B.Merged(table, [np.float64] * 3)
@@ -234,16 +222,12 @@ def katz_scores(docs: DataFrame, train: F.Column, order: int = 2, block_mb: int
         B.release(docs.sparkSession)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = list(_texts(table, order))
-        known = [_Known(parts, answers, k, n, k > 1) for k in range(1, order + 1)]
-        cols = [np.zeros(table.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
-        for t, _ in parts:
-            c = known[0].counts(t, 1)
-            base = np.log10((c + 1) / (model.total + model.types + 1))
-            each = (np.ones(len(c), np.int64), (c > 0).astype(np.int64), base, np.log10(_probabilities(t, known, model, order)))
-            begin = np.flatnonzero(np.r_[True, t.doc[1:] != t.doc[:-1]])
-            for col, x in zip(cols, each, strict=True):
-                col[t.rows] = np.add.reduceat(x, begin)
+        block = _Block(table, order)
+        known = [_Known(block, answers, k, n, k > 1) for k in range(1, order + 1)]
+        c = known[0].count[block.grams[1].place]
+        base = np.log10((c + 1) / (model.total + model.types + 1))
+        sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(c)), c > 0, base, np.log10(_probabilities(block, known, model, order, slice(None))))]
+        cols = [x.astype(np.int64) for x in sums[:2]] + sums[2:]
         held = pa.compute.invert(T.column(table, "train"))
         return pa.table([T.column(table, "doc_id"), held, *map(pa.array, cols[:2]), pa.array(np.full(table.num_rows, model.total, np.int64)), *map(pa.array, cols[2:])], names=[x.split()[0] for x in SCORES.split(", ")])
 
