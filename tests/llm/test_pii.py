@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+
+from veridelta.llm import pii as P
+
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (x * 2 - 9 if x * 2 > 9 else x * 2) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base(text):
+    out = []
+    for o, (k, p) in enumerate(CONTRACT.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (14 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), o, m.end(), k))
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+def texts():
+    r = random.Random(3)
+    bits = ["a.b+c@x-y.com", "@", "x@y", "x@y..z", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "001.2.03.4", "4111 1111 1111 1111", "4111111111111111", "41111111111111112", "4111-1111-1111 1111", "+1 (017) 555-7713", "+1", "+123456789012345678", " ", "é", "\n", "word", "-", ".", "7", "12 ", "a@b.c_d@e.f", "m.34@mail7.example.com", "😀", "555-123-4567", "tel 212 555 0199", "123-45-6789", "ssn 123-45-6789", "me at mail dot com"]
+    rows = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    return rows + [None, "", "1 " * 20000, "a" * 50000, "a.b@" * 3000, "1." * 20000, "x@y" + ".z" * 20000, "+1 " + "2 " * 5000]
+
+
+def test_base_spans_match_the_contract(spark):
+    rows = texts()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, start string")
+    a = P.annotate(df)
+    w = P.train(P.patterns(a))
+    got = {r.doc_id: r for r in P.digest(a, w).collect()}
+    for i, t in enumerate(rows):
+        b = base(t)
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in b)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), (t or "")[:200]
+        assert [got[i][f"n_{k}"] for k in P.BASE] == [sum(x[0] == k for x in b) for k in P.BASE]
+        assert set(listed.split(",")) <= set(got[i].spans.split(",")) or not listed
+
+
+def test_votes_decide_weak_candidates(spark):
+    good = [f"Please call my phone 212 555 {1000 + i}" for i in range(30)] + [f"card 4111 1111 1111 1111 tel +1 (212) 555-{1000 + i}" for i in range(60)]
+    bad = [f"serial no. 111 222 {1000 + i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    a = P.annotate(df)
+    w = P.train(P.patterns(a))
+    spans = {r.doc_id: r.spans for r in P.digest(a, w).collect()}
+    assert all("phone" in spans[i] for i in range(30))
+    assert not any(spans[i] for i in range(90, 120))
+
+
+def test_redaction_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "é x@y.com, +1 (212) 555-1000!"), (2, None), (3, "none")], "doc_id long, text string")
+    a = P.annotate(df)
+    s = P.accepted(P.train(P.patterns(a)))
+    got = {r.doc_id: r.t for r in a.select("doc_id", P.redacted(s, a["text"]).alias("t")).collect()}
+    assert got == {1: "é [EMAIL], [PHONE]!", 2: None, 3: "none"}
+    empty = P.annotate(df.where("doc_id > 5"))
+    assert P.patterns(empty) == {} and P.digest(empty, P.train({})).collect() == []

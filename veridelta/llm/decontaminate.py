@@ -151,8 +151,8 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for part in parts:
-            for row in part.to_pylist():
-                s = Segment(row)
+            for i in range(part.num_rows):  # one segment in memory at a time
+                s = Segment(part.slice(i, 1).to_pylist()[0])
                 place, size = s.places(q.vocabulary)
                 mark = np.zeros(int(s.first[-1]) + 1, np.int32)
                 items: dict[int, set[str]] = defaultdict(set)
