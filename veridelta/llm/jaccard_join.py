@@ -9,8 +9,8 @@
    (shingle, size band); a set enters its own band and the one below, the only ones that
    can hold a partner.  A tile of many sets is cut into square sub-tiles of bounded sides.
 4. In a tile, hashed bitmaps bound overlaps from above by bit counts: a bit that only one
-   side has is a shingle that is not shared.  Surviving pairs connect families of
-   candidates; inside families an exact intersection of the sorted hash arrays decides.
+   side has is a shingle that is not shared.  Pairs that survive leave the tile of their
+   first common shingle and are decided by an exact intersection of the sorted hash arrays.
 
 Large families would make a pair of every two members.  Components need only the links
 that connect, so tiles by min-hash first link sets exactly inside small sub-tiles (a union-
@@ -39,9 +39,9 @@ from .components import components
 
 U64 = np.uint64
 SETS = "doc_id long, n int, d1 long, d2 long"
-KEPT = "node long, size int, prefix int, tile0 long, tile1 long, bits binary, shingles binary"
+KEPT = "node long, size int, lead binary, tile0 long, tile1 long, bits binary, shingles binary"
 #: sets in a sub-tile's side, words of a bitmap
-SIDE, BITMAP = 256, 16
+SIDE, BITMAP = 256, 128
 _SEED = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
 
 
@@ -133,11 +133,12 @@ def _repeated(docs: DataFrame, reps: DataFrame, k: int, t: Fraction, block_mb: i
                 continue
             own, r = s[r > 0], r[r > 0]
             tiles = [int(T.mix(own ^ c).min().view(np.int64)) for c in _SEED[2:]]
+            ranked = own[np.lexsort((own, r))]
             # shingles of one set only come first in the order and index nothing
-            row = (node, len(s), many - least + 1, *tiles, _bitmap(own), B.planes(own[np.lexsort((own, r))]))
+            row = (node, len(s), ranked[: many - least + 1].tobytes(), *tiles, _bitmap(own), ranked.tobytes())
             for c, x in zip(out.values(), row, strict=True):
                 c.append(x)
-        return pa.table({c: pa.array(x, ty) for (c, x), ty in zip(out.items(), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+        return pa.table({c: pa.array(x, ty) for (c, x), ty in zip(out.items(), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     return B.stored(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(keep, KEPT), "candidates")
 
@@ -215,7 +216,7 @@ def _first_links(kept: DataFrame, t: Fraction, parts: int) -> DataFrame:
         def link(table: pa.Table) -> tuple[list, list]:
             tile = _Tile(table, t)
             raw = table.column("shingles").to_pylist()
-            own = [np.sort(B.unplanes(raw[i], U64)) for i in tile.order]
+            own = [np.sort(np.frombuffer(raw[i], U64)) for i in tile.order]
             got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, np.arange(len(own)), lambda i, later: np.ones(len(later), bool), lambda i, j: _linked(own[i], own[j], tile.size[i], tile.size[j], t))]
             return [x for x, _ in got], [y for _, y in got]
 
@@ -242,67 +243,70 @@ def _pairs(batches: Iterator[pa.RecordBatch], keys: list[str], found) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _squared(rows: DataFrame, n: str) -> DataFrame:
-    """Rows dealt to the square sub-tiles (row, col) of their tile, n rows in all; mine: the side that is theirs."""
-    side = F.ceil(F.col(n) / SIDE).cast("int")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
-    return rows.withColumns({"row": F.least("mine", "other"), "col": F.greatest("mine", "other")}).drop("other")
-
-
 def _rest(kept: DataFrame, known: DataFrame, t: Fraction, parts: int) -> DataFrame:
-    """Links between sets that the first links leave in different components: enough to connect all that are linked.
+    """All links between sets that the first links leave in different components.
 
-    Tiles yield candidate pairs by size and bits, of these only so many as connect their
-    ends: every pair that may link has both ends in one family of candidates.  Families then
-    hold each set once, and their sub-tiles decide exactly.
+    A pair that size and bits allow is handed on by one tile, that of its first common
+    shingle, however many it shares; then it is decided exactly.
     """
-    schema = "a long, b long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            node, n = T.column(part, "node").to_numpy(), T.column(part, "prefix").to_numpy()
-            first = [B.unplanes(x, U64)[:m] for x, m in zip(T.column(part, "shingles").to_pylist(), n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(T.column(part, "size").to_numpy(), n))], names=["shingle", "node", "size"])
+            lead = [np.frombuffer(x, np.int64) for x in T.column(part, "lead").to_pylist()]
+            n = [len(x) for x in lead]
+            rows = [np.concatenate(lead) if lead else np.zeros(0, np.int64), *(np.repeat(T.column(part, c).to_numpy(), n) for c in ("node", "size"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["shingle", "node", "size"])
 
-    rows = kept.mapInArrow(prefixes, "shingle long, node long, size int").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = kept.select("node", "size", "lead").mapInArrow(prefixes, "shingle long, node long, size int").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ratio = float(t.denominator / t.numerator)
     band = F.floor(F.log("size") / F.log(F.lit(ratio)) + F.lit(1e-9)).cast("int")
     rows = rows.select("shingle", "node", "component", band.alias("own"), F.explode(F.array(band, band - 1)).alias("band"))
     rows = B.stored(rows, "prefixes")
     tiles = rows.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("own").alias("least")).where("lo < hi and least = band").select("shingle", "band", "n")
-    rows = _squared(rows.join(tiles, ["shingle", "band"]), "n").drop("n").join(kept.select("node", "size", "bits"), "node")
+    side = F.ceil(F.col("n") / SIDE).cast("int")
+    rows = rows.join(tiles, ["shingle", "band"]).join(kept.select("node", "size", "bits", "lead"), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    rows = rows.withColumns({"row": F.least("mine", "other"), "col": F.greatest("mine", "other")}).drop("other", "n")
     keys = ["shingle", "band", "row", "col"]
 
-    def candidates(table: pa.Table) -> tuple[list, list]:
+    def pairs(table: pa.Table) -> tuple[list, list]:
         tile = _Tile(table, t)
         comp, mine, own = (table.column(c).to_numpy()[tile.order] for c in ("component", "mine", "own"))
-        band, off = table.column("band")[0].as_py(), table.column("row")[0].as_py() != table.column("col")[0].as_py()
+        lead = table.column("lead").to_pylist()
+        shingle, band = (table.column(c)[0].as_py() for c in ("shingle", "band"))
+        off = table.column("row")[0].as_py() != table.column("col")[0].as_py()
+        before: dict[int, set] = {}
 
-        def fits(i: int, later: np.ndarray) -> np.ndarray:
-            fit = (comp[later] != comp[i]) & ((own[later] == band) | (own[i] == band))
-            return fit & (mine[later] != mine[i]) if off else fit
+        def earlier(i: int) -> set:
+            if i not in before:
+                x = np.frombuffer(lead[tile.order[i]], np.int64)
+                before[i] = set(x[: int(np.flatnonzero(x == shingle)[0])].tolist())
+            return before[i]
 
-        got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, np.arange(len(comp)), fits, lambda i, j: True)]
-        return [a for a, _ in got], [b for _, b in got]
+        a, b = [], []
+        for i in range(len(comp) - 1):
+            later = np.arange(i + 1, len(comp))
+            fit = (comp[later] != comp[i]) & ((own[later] == band) | (own[i] == band))
+            if off:
+                fit &= mine[later] != mine[i]
+            for j in tile.near(i, later[fit]):
+                if earlier(i).isdisjoint(earlier(int(j))):
+                    a.append(tile.node[i])
+                    b.append(tile.node[j])
+        return a, b
 
-    found = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _pairs(b, keys, candidates), schema)
-    families = components(found, "candidate")
-    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
-    members = _squared(families.join(sizes, "component").withColumnRenamed("component", "family"), "n").drop("n")
-    members = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).join(kept.select("node", "size", "bits", "shingles"), "node")
-    square = ["family", "row", "col"]
+    schema = "a long, b long"
+    found = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _pairs(b, keys, pairs), schema)
+    found = B.stored(found, "pairs")
+    sets = [kept.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
 
-    def decided(table: pa.Table) -> tuple[list, list]:
-        tile = _Tile(table, t)
-        raw = table.column("shingles").to_pylist()
-        sets = [np.sort(B.unplanes(raw[i], U64)) for i in tile.order]
-        comp, mine = (table.column(c).to_numpy()[tile.order] for c in ("component", "mine"))
-        off = table.column("row")[0].as_py() != table.column("col")[0].as_py()
-        _, root = np.unique(comp, return_inverse=True)
-        got = [(tile.node[i], tile.node[j]) for i, j in _connected(tile, root, lambda i, later: (mine[later] != mine[i]) | (not off), lambda i, j: _linked(sets[i], sets[j], tile.size[i], tile.size[j], t))]
-        return [a for a, _ in got], [b for _, b in got]
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            cols = [T.column(part, c).to_pylist() for c in ("set_a", "set_b", "size_a", "size_b")]
+            fit = [_linked(np.sort(np.frombuffer(x, U64)), np.sort(np.frombuffer(y, U64)), n, m, t) for x, y, n, m in zip(*cols, strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return B.stored(members.repartition(parts, *square).sortWithinPartitions(*square).mapInArrow(lambda b: _pairs(b, square, decided), schema), "links")
+    return B.stored(found.join(sets[0], "a").join(sets[1], "b").select("a", "b", "size_a", "size_b", "set_a", "set_b").mapInArrow(decide, schema), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_mb: int = 8) -> DataFrame:

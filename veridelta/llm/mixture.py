@@ -75,9 +75,10 @@ part AS (SELECT source, greatest(1, ceil(r / {STEP}))::INT AS parts, r / greates
 cdf AS (SELECT source, i, sum(exp(-r + i * ln(r) - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS c
         FROM (SELECT source, r, unnest(range(0, (25 + ceil(r + 12 * sqrt(r)))::INT)) AS i FROM part)),
 cdfs AS (SELECT source, list(c ORDER BY i) AS cs FROM cdf GROUP BY source),
-draws AS (SELECT d.doc_id, d.source, any_value(j) AS j, len(list_filter(any_value(cs), lambda c: c <= {u.replace("CAST(j AS VARCHAR)", "'1'")})) AS copies
-          FROM (SELECT DISTINCT doc_id, source, 1 AS j FROM {relation}) d JOIN cdfs s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL)
+parted AS (SELECT d.doc_id, d.source, s.cs, unnest(range(1, p.parts + 1)) AS j FROM (SELECT DISTINCT doc_id, source FROM {relation}) d
+  JOIN part p ON d.source IS NOT DISTINCT FROM p.source JOIN cdfs s ON d.source IS NOT DISTINCT FROM s.source),
+draws AS (SELECT doc_id, source, sum(len(list_filter(cs, lambda c: c <= {u}))) AS copies FROM parted d GROUP BY doc_id, source)
 SELECT {columns}, w.copies::INT AS copies, t.copy::INT AS copy,
        md5(concat('{seed}:order:', coalesce(CAST(d.doc_id AS VARCHAR), 'null'), ':', CAST(t.copy AS VARCHAR))) AS order_key
 FROM {relation} d JOIN draws w ON d.doc_id IS NOT DISTINCT FROM w.doc_id AND d.source IS NOT DISTINCT FROM w.source,
-     LATERAL (SELECT unnest(range(0, w.copies)) AS copy) t"""
+     LATERAL (SELECT unnest(range(0, w.copies::BIGINT)) AS copy) t"""
