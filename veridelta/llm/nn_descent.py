@@ -40,6 +40,8 @@ from . import tokens as T
 GRAPH = "node long, block int, nbrs binary, sims binary"
 #: list length, nodes of a block, rounds, share of list entries that must change, beam, expansions of a round
 K, BLOCK, ROUNDS, LEAST, EF, WIDTH = 40, 2048, 8, 0.002, 128, 48
+#: queries that walk together and share the records they have met
+PART = 128
 
 
 def usable(emb: DataFrame, key: str, vector: str) -> DataFrame:
@@ -210,7 +212,7 @@ STATE = "q long, part int, vector binary, ids binary, sims binary, open binary,
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n_queries: int, ef: int = EF, width: int = WIDTH, rounds: int = 32) -> DataFrame:
     """(q, found, sim) of the ef nodes nearest to each query node that greedy search meets."""
-    parts = max(1, -(-n_queries // 256))
+    parts = max(1, -(-n_queries // PART))
     record = graph.join(nodes.select("node", "x"), "node").select("node", "x", "nbrs")
     record = B.stored(record, "records")
     own = queries.select(F.col("node").alias("q")).join(graph, F.col("q") == F.col("node"))
@@ -224,20 +226,26 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n_queries: in
     state = own.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).select("q", "part", "vector", "nbrs", "sims").mapInArrow(begin, STATE)
     state = B.stored(state, "beams")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            part, node = [], []
-            for b, ids, still in zip(p.column("part").to_pylist(), p.column("ids").to_pylist(), p.column("open").to_pylist(), strict=True):
-                x = np.frombuffer(ids, np.int64)[np.frombuffer(still, bool)][:width]
-                part += [b] * len(x)
-                node += x.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(node, pa.int64())], names=["part", "node"])
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            lists = [np.frombuffer(b, np.int64) for b in p.column("nbrs").to_pylist()]
+            lists = [np.frombuffer(b, np.int64) for b in p.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column("part").to_numpy(), [len(x) for x in lists]), pa.int32()), pa.array(np.concatenate(lists) if lists else [], pa.int64())], names=["part", "node"])
 
+    def fetched(asked: DataFrame) -> DataFrame:
+        """Records of the nodes that a part asks for; a part asks for a node once."""
+        return B.stored(asked.join(record, "node").select("part", "node", "x", "nbrs"), "met")
+
+    def ask(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
+        ids = T.column(known, "node").to_numpy()
+        place = {int(i): j for j, i in enumerate(ids)}
+        lists = known.column("nbrs").to_pylist()
+        near = [ids[:0]]
+        for a, still in zip(own.column("ids").to_pylist(), own.column("open").to_pylist(), strict=True):
+            go = np.frombuffer(a, np.int64)[np.frombuffer(still, bool)][:width]
+            near += [np.frombuffer(lists[place[int(i)]], np.int64) for i in go]
+        new = np.setdiff1d(np.concatenate(near), ids)
+        return pa.table({"part": pa.array(np.full(len(new), key[0].as_py()), pa.int32()), "node": pa.array(new, pa.int64())})
+
     def walk(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
         ids = T.column(known, "node").to_numpy()
         x = _matrix(T.column(known, "x"))
@@ -260,14 +268,12 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n_queries: in
             out["moved"].append(bool(fresh[best].any()))
         return pa.table([own.column("q"), own.column("part"), own.column("vector"), *(pa.array(out[c], pa.binary()) for c in ("ids", "sims", "open")), pa.array(out["moved"], pa.bool_())], names=[c.split()[0] for c in STATE.split(", ")])
 
+    known = fetched(state.mapInArrow(beams, "part int, node long").distinct())
     for _ in range(rounds):
         if state.where("moved").limit(1).count() == 0:
             break
-        first = B.stored(state.mapInArrow(wanted, "part int, node long").distinct(), "expanded")
-        lists = first.join(record.select("node", "nbrs"), "node").select("part", "node", "nbrs")
-        asked = first.union(lists.mapInArrow(pick, "part int, node long")).distinct()
-        got = asked.join(record, "node").select(*[F.col(c).alias(c) for c in ("part", "node", "x", "nbrs")])
-        state = B.stored(state.groupBy("part").cogroup(got.groupBy("part")).applyInArrow(walk, STATE), "beams")
+        known = known.unionByName(fetched(state.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(ask, "part int, node long")))
+        state = B.stored(state.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(walk, STATE), "beams")
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
