@@ -30,6 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _members(table: pa.Table, got: pa.Table, k: int) -> list[tuple[int, np.ndarray]]:
     """Sets of the block's rows that stand for a class, smallest id first."""
-    own = got.filter(pa.compute.is_valid(got.column("rep")))
+    own = got.filter(pc.is_valid(got.column("rep")))
     wanted = set(zip(own.column("rep").to_pylist(), own.column("d1").to_pylist(), strict=True))
     ids = T.column(table, "doc_id").to_pylist()
     found = {}
@@ -124,7 +125,7 @@ def _repeated(docs: DataFrame, reps: DataFrame, k: int, t: Fraction, block_mb: i
     def keep(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         members = _members(table, got, k)
         keys, _ = _frequencies(members)
-        rank = B.read_answers(got.filter(pa.compute.is_valid(got.column("bucket"))), keys, n, np.uint8)
+        rank = B.read_answers(got.filter(pc.is_valid(got.column("bucket"))), keys, n, np.uint8)
         out: dict[str, list] = {c.split()[0]: [] for c in KEPT.split(", ")}
         for node, s in members:
             r = rank[np.searchsorted(keys, s & ~U64(0xFFFF))]

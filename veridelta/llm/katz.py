@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ class _Known:
 
     def __init__(self, block: _Block, got: pa.Table, k: int, buckets: int, alphas: bool) -> None:
         def of(kind: str) -> pa.Table:
-            return got.filter(pa.compute.and_(pa.compute.equal(got.column("kind"), kind), pa.compute.equal(got.column("order"), k)))
+            return got.filter(pc.and_(pc.equal(got.column("kind"), kind), pc.equal(got.column("order"), k)))
 
         x = B.read_answers(of("count"), block.grams[k].keys, buckets, np.int64)
         self.count, self.owner = x >> 1, x & 1 > 0
@@ -228,7 +229,7 @@ def katz_scores(docs: DataFrame, train: F.Column, order: int = 2, block_mb: int
         base = np.log10((c + 1) / (model.total + model.types + 1))
         sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(c)), c > 0, base, np.log10(_probabilities(block, known, model, order, slice(None))))]
         cols = [x.astype(np.int64) for x in sums[:2]] + sums[2:]
-        held = pa.compute.invert(T.column(table, "train"))
+        held = pc.invert(T.column(table, "train"))
         return pa.table([T.column(table, "doc_id"), held, *map(pa.array, cols[:2]), pa.array(np.full(table.num_rows, model.total, np.int64)), *map(pa.array, cols[2:])], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, SCORES)

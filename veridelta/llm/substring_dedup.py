@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def repeats(docs: DataFrame, k: int = 13, block_mb: int = 8) -> tuple[DataFrame,
 
     def shared_of(table: pa.Table, got: pa.Table) -> np.ndarray:
         keys, _ = _sketch(table, k, m)
-        first = got.filter(pa.compute.equal(got.column("step"), 1))
+        first = got.filter(pc.equal(got.column("step"), 1))
         return keys[B.read_answers(first, keys, n, np.uint8) > 0]
 
     def edges(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
@@ -166,7 +167,7 @@ def repeats(docs: DataFrame, k: int = 13, block_mb: int = 8) -> tuple[DataFrame,
 
     def paths(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         e = _Edges(table, shared_of(table, got), k, m)
-        flags = B.read_answers(got.filter(pa.compute.equal(got.column("step"), 2)), e.keys, n, np.uint8)
+        flags = B.read_answers(got.filter(pc.equal(got.column("step"), 2)), e.keys, n, np.uint8)
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for ids, w, at, g in e.parts:
             if not len(at):
