@@ -29,9 +29,9 @@ def brute(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 3])
-def test_round_trip(spark, least):
-    got = W.round_trip(pages(spark, ROWS), least).collect()
+@pytest.mark.parametrize(("least", "compression"), [(0, "gzip"), (3, "none")])
+def test_round_trip(spark, least, compression):
+    got = W.round_trip(pages(spark, ROWS), least, compression).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(ROWS, least)
 
 

@@ -239,11 +239,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, compression: str = "gzip") -> DataFrame:
     """Writes the pages' archives to the shared folder, and what reading them gives."""
     spark = pages.sparkSession
     path = f"{B.shared_dir(spark)}/veridelta/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path, min_bytes=min_bytes)
+    write_warc(pages, path, min_bytes=min_bytes, compression=compression)
     r = read_warc(spark, path)
     stored = F.col("record_type") == "response"
     number = lambda c: F.when(F.col(c).startswith(_ID), F.substr(F.col(c), F.lit(len(_ID) + 1)).cast("long"))
