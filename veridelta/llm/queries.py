@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+__all__ = ["ORACLES", "QUERIES"]
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, katz, licences, mixture, nn_descent, pii, substring_dedup, toxicity, warc
 from .blocks import stored
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLES: dict[str, str] = {
-    "op3_mixture": mixture.oracle_sql(),
-}
