@@ -35,3 +35,21 @@ def test_no_python_on_executors(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = L.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notices_without_licen(spark):
+    """Every line with a feature reaches the classifier, whichever anchor it holds."""
+    notices = ["Distributed under GPL-3.0-or-later", "CC BY-NC 4.0", "CC BY 4.0", "Apache-2.0", "BSD 3-Clause", "GNU General Public", "Subject to the terms of the Mozilla Public, v. 2.0."]
+    rows = [(i, f"thon\n{x}\nerre") for i, x in enumerate(notices)] + [(99, "erre thon\nApache2 is a server; the account was closed; thon")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    w, b, t = L.model()
+
+    def family(text):
+        grams = L.ngrams(L._words(text))
+        z = {f: sum(w.get((g, f), 0.0) for g in grams) + b[f] for f in L.TEMPLATES}
+        return max(z, key=z.get), L._softmax({f: v / t for f, v in z.items()})
+
+    want = [(i, k, f, round(p[f], 5)) for i, text in rows for k, line in enumerate(text.split("\n")) for f, p in [family(line)] if f != "unknown" and p[f] >= 0.5]
+    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 5)) for r in L.scan(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert {(0, "gpl-3.0"), (1, "cc-by-nc-4.0"), (3, "apache-2.0")} <= {(d, f) for d, _, f, _ in got}

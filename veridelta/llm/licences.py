@@ -63,7 +63,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: a feature holds one of these; searched for as plain substrings of the lower-cased text
 ANCHORS = ("licen", "apache", "gnu", "gpl", "mozilla", "creative", "cc", "bsd", "permission", "redistribut", "spdx", "foundation")
-_SEARCH = ("licen", "permission", "redistribut", "creative commons", "spdx")
 NGRAMS = 3
 
 
@@ -133,7 +132,7 @@ def _softmax(z: dict[str, float]) -> dict[str, float]:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, row, paragraph (line number from 0) and its words, for lines with an anchor word."""
     t = F.lower("text")
-    any_of = lambda c: [c.contains(a) for a in _SEARCH]
+    any_of = lambda c: [c.contains(a) for a in ANCHORS]
 
     def has(c):
         out = F.lit(False)
