@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from veridelta.llm import queries as Q
 from veridelta.llm.katz import discounts, katz_scores
 
 
@@ -96,3 +98,15 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = katz_scores(df, F.lit(False)).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0, 0)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_query_is_a_trigram_model(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    held = {d: zlib.crc32(str(d).encode() if d is not None else b"") % 7 == 2 for d, _ in rows}
+    m = Plain([words(t) for d, t in rows if not held[d]], 3)
+    got = Q.op5_katz(spark, SF).collect()
+    assert sorted(((r.doc_id, round(r.score, 5)) for r in got), key=str) == sorted(((d, round(m.score(words(t)), 5)) for d, t in rows), key=str)
