@@ -1,3 +1,5 @@
+import textwrap
+
 from veridelta.llm import licences as L
 
 
@@ -53,3 +55,20 @@ def test_notices_without_licen(spark):
     got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 5)) for r in L.scan(df).collect()]
     assert sorted(got) == sorted(want)
     assert {(0, "gpl-3.0"), (1, "cc-by-nc-4.0"), (3, "apache-2.0")} <= {(d, f) for d, _, f, _ in got}
+
+
+def test_wrapped_notices(spark):
+    """A notice over several lines meets its template whole, at the line where its block begins."""
+    gpl, bsd = L.TEMPLATES["gpl-3.0"][1], L.TEMPLATES["bsd-3-clause"][1]
+    wrap = lambda t, n, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    rows = [
+        (1, "thon: erre\n \t\n\n" + wrap(gpl, 80)),
+        (2, "\n" + wrap(bsd, 40, " * ") + "\r\n\r\n" + wrap(gpl, 30, "# ")),
+        (3, "7:erre\n" + gpl + "\nthon\n\nReleased under the MIT License.\nReleased under the MIT License."),
+        (4, "erre\n\n" * 3000 + wrap(bsd, 14)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family, r.similarity, r.confirmed) for r in L.scan(df).collect())
+    second = len(textwrap.wrap(bsd, 40)) + 2
+    want = [(1, 3, "gpl-3.0"), (2, 1, "bsd-3-clause"), (2, second, "gpl-3.0"), (3, 1, "gpl-3.0"), (3, 4, "mit"), (3, 5, "mit"), (4, 6000, "bsd-3-clause")]
+    assert got == [(*x, 1.0, True) for x in want]

@@ -7,7 +7,8 @@ multinomial logistic regression (L1 proximal gradient) over these n-grams is tra
 import of its templates: each family's notices, variations of them, and sentences that
 speak of licences without granting one, as class unknown.  Held-out variations set the
 temperature of the probabilities.  A prediction is confirmed if most word pairs of one of
-the family's templates stand in the paragraph.
+the family's templates stand in the paragraph.  Paragraphs are lines and, for notices that
+are wrapped, the blocks of lines between blank lines.
 
 Training data are the templates below, a bounded set; the scan covers every paragraph of
 every whole text.  The weights are a small table (its size is fixed by the templates) that
@@ -24,7 +25,7 @@ import math
 import random
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: fixed values: notices as their licences word them
@@ -130,8 +131,11 @@ def _softmax(z: dict[str, float]) -> dict[str, float]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, paragraph (line number from 0) and its words, for lines with an anchor word."""
-    t = F.lower("text")
+    """doc_id, row, block, paragraph, lines, text and words of the paragraphs with an anchor word.
+
+    A paragraph is a line, or all lines of a block between blank lines; paragraph is the number
+    from 0 of its first line, block that of the block's first line, lines how many it has.
+    """
     any_of = lambda c: [c.contains(a) for a in ANCHORS]
 
     def has(c):
@@ -140,10 +144,20 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             out = out | x
         return out
 
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text")).where(has(t))
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text")).where(has(F.lower("text")))
     d = d.withColumn("row", F.struct(F.monotonically_increasing_id().alias("row"))["row"])
-    lines = d.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(has(F.lower("line")))
-    return lines.select("doc_id", "row", "paragraph", "line", F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z0-9.+-]*[a-z0-9+]"), F.lit(0)).alias("words"))
+    # each line carries its number, so that a block split off the text knows its place
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(":"), x)), "")
+    blocks = d.select("doc_id", "row", F.explode(F.split(numbered, r"\n[0-9]+:[ \t\r\f\x0b]*(?=\n|\z)")).alias("block")).where(has(F.lower("block")))
+    lines = blocks.select("doc_id", "row", F.split(F.substr("block", F.lit(2)), "\n").alias("lines"))
+    number = lambda x: F.substring_index(x, ":", 1).cast("int")
+    plain = lambda x: F.substr(x, F.instr(x, ":") + 1)
+    unit = lambda at, n, line: F.struct(number(at).alias("paragraph"), F.lit(n).cast("int").alias("lines"), line.alias("line"))
+    first = F.get("lines", F.lit(0))
+    whole = F.array(F.struct(number(first).alias("paragraph"), F.size("lines").alias("lines"), F.array_join(F.transform("lines", plain), "\n").alias("line")))
+    units = F.transform("lines", lambda x: unit(x, 1, plain(x)))
+    p = lines.select("doc_id", "row", number(first).alias("block"), F.explode(F.when(F.size("lines") > 1, F.concat(units, whole)).otherwise(units)).alias("u")).select("doc_id", "row", "block", "u.*").where(has(F.lower("line")))
+    return p.withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z0-9.+-]*[a-z0-9+]"), F.lit(0)))
 
 
 def _weights(spark: SparkSession) -> DataFrame:
@@ -162,19 +176,22 @@ def _pairs(words: list[str]) -> list[str]:
 
 
 def scan(docs: DataFrame, least: float = 0.5, alike: float = 0.6) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed and text of every paragraph that is not predicted unknown."""
+    """doc_id, paragraph, family, probability, similarity, confirmed and text of every paragraph that is not predicted unknown.
+
+    A block's own row stands for its lines of the same family if they are not confirmed and it is, or if there are none.
+    """
     spark = docs.sparkSession
     families = list(TEMPLATES)
     _, b, t = model()
     p = paragraphs(docs)
     n = lambda k: F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.array_join(F.slice("words", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
-    grams = p.select("row", "paragraph", F.explode(F.array_distinct(F.concat(*[n(k) for k in range(1, NGRAMS + 1)]))).alias("gram"))
-    sums = grams.join(_weights(spark), "gram").groupBy("row", "paragraph").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(families))])
+    grams = p.select("row", "paragraph", "lines", F.explode(F.array_distinct(F.concat(*[n(k) for k in range(1, NGRAMS + 1)]))).alias("gram"))
+    sums = grams.join(_weights(spark), "gram").groupBy("row", "paragraph", "lines").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(families))])
     z = [(F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + b[f]) / t for i, f in enumerate(families)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     best = F.array_max(F.array(*[F.struct(x.alias("z"), F.lit(f).alias("family")) for x, f in zip(z, families, strict=True)]))
-    found = p.join(sums, ["row", "paragraph"]).withColumns({"family": best["family"], "probability": 1 / total})
+    found = p.join(sums, ["row", "paragraph", "lines"]).withColumns({"family": best["family"], "probability": 1 / total})
     found = found.where((F.col("family") != "unknown") & (F.col("probability") >= least))
     own = F.array_distinct(n(2))
     similar = F.lit(0.0)
@@ -184,5 +201,11 @@ def scan(docs: DataFrame, least: float = 0.5, alike: float = 0.6) -> DataFrame:
             if f != "unknown" and pairs:
                 share = F.size(F.array_intersect(own, F.array(*map(F.lit, pairs)))) / len(pairs)
                 similar = F.greatest(similar, F.when(F.col("family") == f, share).otherwise(0.0))
-    found = found.withColumn("similarity", similar)
-    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= alike).alias("confirmed"), F.col("line").alias("text"))
+    found = found.withColumn("similarity", similar).withColumn("confirmed", F.col("similarity") >= alike)
+    # a wrapped notice is reported once: whole if only the block meets its template, else by its lines
+    alone, own_family = F.col("lines") == 1, Window.partitionBy("row", "block", "family")
+    any_in = lambda c: F.coalesce(F.max(c.cast("int")).over(own_family), F.lit(0)) > 0
+    found = found.withColumns({"by_line": any_in(alone & F.col("confirmed")), "met": any_in(alone), "by_block": any_in(~alone & F.col("confirmed"))})
+    block_wins = ~F.col("by_line") & (F.col("by_block") | ~F.col("met"))
+    found = found.where(F.when(alone, ~block_wins).otherwise(block_wins))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed", F.col("line").alias("text"))
