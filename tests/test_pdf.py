@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from veridelta.operators.layout import build_blocks, rows_of
-from veridelta.plans.samples import pdf_file
+from veridelta.plans.pdf_samples import Style, pdf_file
 from veridelta.sources import pdf_syntax as P
 from veridelta.sources import pdf_text as X
 from veridelta.sources.pdf import extract_blocks, pdf_blocks, read_pdfs
@@ -79,7 +79,7 @@ def test_fonts():
     assert X.to_unicode(cmap) == {1: "A", 2: "fi", 16: "a", 17: "b", 18: "c", 32: "X", 33: "Y"}
     assert [X.glyph_text(n) for n in ("fi", "uni0041", "u1F600", "x", "weird", ".notdef")] == ["fi", "A", "\U0001f600", "x", "", ""]
     assert X.Font({1: "A"}, True).decode(b"\x00\x01\x00\x02\x00") == "A"
-    doc = P.Document(pdf_file([[(1, 1, 9, "x")]]))
+    doc = P.Document(pdf_file([[[(1, 1, 9, "x")]]]))
     f = X.font({"Subtype": P.Name("Type1"), "Encoding": {"BaseEncoding": P.Name("MacRomanEncoding"), "Differences": [65, P.Name("fl"), P.Name("b")]}}, doc)
     assert f.decode(b"ABC\x8a") == "flbC" + b"\x8a".decode("mac_roman")
     assert X.font({"Subtype": P.Name("Type0")}, doc).decode(b"\x00A") == ""
@@ -115,7 +115,7 @@ def test_layout_rules():
 
 
 def test_files(spark, tmp_path):
-    data = pdf_file([[(72, 700, 18, "System (Design) Review"), (72, 600, 10, "First café paragraph."), (72, 588, 10, "goes on")], [(72, 700, 10, "Second page")]])
+    data = pdf_file([[[(72, 700, 18, "System (Design) Review")], [(72, 600, 10, "First café paragraph."), (72, 588, 10, "goes on")]], [[(72, 700, 10, "Second page")]]])
     want = [("System (Design) Review", True, 1), ("First café paragraph. goes on", False, 1), ("Second page", False, 2)]
     assert [(b.text, b.is_heading, b.page) for b in extract_blocks(b"junk\n" + data)] == want
     (tmp_path / "a.pdf").write_bytes(data)
@@ -134,7 +134,7 @@ def test_command_line(spark, tmp_path, capsys):
     paths = []
     for name, text in (("a", "The cat sat on the mat."), ("b", "The cat sat on the rug.")):
         paths.append(str(tmp_path / f"{name}.pdf"))
-        (tmp_path / f"{name}.pdf").write_bytes(pdf_file([[(72, 700, 18, "Title"), (72, 600, 10, text)]]))
+        (tmp_path / f"{name}.pdf").write_bytes(pdf_file([[[(72, 700, 18, "Title")], [(72, 600, 10, text)]]]))
     assert main([*paths, "--output", "md"], spark) == 0
     assert "| paragraph ★ |" in capsys.readouterr().out
     assert main([paths[0], paths[0], "--granularity", "section"], spark) == 0

@@ -24,9 +24,9 @@ def blocks(table: str = "documents") -> str:
 blocks AS (SELECT doc_id, block_ord, text, false AS is_heading FROM lines WHERE trim(text) <> '')"""
     if table == "conversations":
         return "blocks AS (SELECT conv_id AS doc_id, turn AS block_ord, text, false AS is_heading FROM conversations WHERE text IS NOT NULL)"
-    return r"""found AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<(?:h1|p)[^>]*>.*?</(?:h1|p)>') AS els FROM pages),
+    return r"""found AS (SELECT page_id, regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<article[^>]*>(.*?)</article>', 1), chr(10)), '(?s)<(?:h[1-6]|p|li|pre|blockquote|td|th)(?:\s[^>]*)?>.*?</(?:h[1-6]|p|li|pre|blockquote|td|th)>') AS els FROM pages),
 parts AS (SELECT page_id AS doc_id, unnest(els) AS el, unnest(range(len(els))) AS block_ord FROM found),
-blocks AS (SELECT doc_id, block_ord, starts_with(el, '<h1') AS is_heading,
+blocks AS (SELECT doc_id, block_ord, regexp_matches(el, '^<h[1-6]') AS is_heading,
   replace(replace(replace(replace(replace(regexp_replace(el, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS text FROM parts)"""
 
 
@@ -120,3 +120,68 @@ def trimmed(c: str) -> str:
 
 
 TEXT_PAIRS = f"{blocks()}, {PAIRS}, {chunks('paragraph')}, {features('(SELECT * FROM chunks WHERE doc_id IN (SELECT doc_a FROM pairs UNION SELECT doc_b FROM pairs))')}, {candidates()}, {MATCHED}"
+
+
+def pdf_pages(columns: str = "doc_id, block_ord, page, text, is_heading, error", per_page: int = 40, words: int = 12, leading: int = 12) -> str:
+    """What files made of page blocks hold: lines of `words` words, headings in 18 points of a body of 10."""
+    return f"""WITH {blocks('pages')},
+flat AS (SELECT doc_id, block_ord, is_heading AS big, list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> '') AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord) - 1 AS k FROM blocks),
+placed AS (SELECT doc_id, k, (k // {per_page} + 1)::INTEGER AS page, CASE WHEN big THEN 18.0 ELSE 10.0 END AS size, array_to_string(ws, ' ') AS text, CASE WHEN len(ws) = 0 THEN 0 WHEN big THEN 1 ELSE (len(ws) + {words} - 1) // {words} END::INTEGER AS n_lines FROM flat),
+ys AS (SELECT *, 2000.0 - coalesce(sum({leading} * n_lines + 40) OVER (PARTITION BY doc_id, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM placed),
+body AS (SELECT doc_id, page, median(size) AS body FROM (SELECT doc_id, page, size, unnest(range(n_lines)) FROM placed) GROUP BY doc_id, page),
+read AS (SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS block_ord, page, text, size >= 1.2 * body AS is_heading, NULL::VARCHAR AS error, 72.0::DOUBLE AS x, y::DOUBLE AS y, size::DOUBLE AS size, n_lines
+  FROM ys JOIN body USING (doc_id, page) WHERE n_lines > 0)
+SELECT {columns} FROM read"""
+
+
+LISTINGS = """cells AS (SELECT s_suppkey % 5 AS doc, s_suppkey AS key, [s_suppkey::VARCHAR, CASE WHEN s_suppkey % 7 = 3 THEN '' ELSE s_name END, s_nationkey::VARCHAR] AS cs FROM supplier),
+listed AS (SELECT doc::VARCHAR AS doc_id, 1 AS block_ord, 1 AS page, count(*)::INTEGER AS n_rows, 3 AS n_columns, string_agg(array_to_string(cs, '|'), chr(10) ORDER BY key) AS grid,
+  array_to_string(list_filter(flatten(list(cs ORDER BY key)), lambda c: c <> ''), ' ') AS text FROM cells GROUP BY doc)"""
+
+#: left edges: the listing's line and its cells, clustered where neighbours are at most 12 apart
+COLUMNS = f"""WITH {LISTINGS}, edges AS (SELECT DISTINCT doc_id, 72.0 AS x FROM listed
+  UNION SELECT doc::VARCHAR, [72.0, 190.0, 330.0][i] + key % 3 * 1.5 FROM (SELECT doc, key, cs, unnest([1, 2, 3]) AS i FROM cells) WHERE cs[i] <> ''),
+gaps AS (SELECT doc_id, x, coalesce(x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) > 12, true) AS opens FROM edges)
+SELECT doc_id, 1 AS page, round(x, 6)::DOUBLE AS anchor FROM gaps WHERE opens"""
+
+
+def reports(fmt: str) -> str:
+    """Reports of the paragraph comparison of first-line pairs, without a judge."""
+    flat = lambda c: f"array_to_string(list_filter(string_split_regex({c}, '{SPACE}'), lambda w: w <> ''), ' ')"
+    cut = lambda c: f"CASE WHEN length({flat(c)}) <= 100 THEN {flat(c)} ELSE substr({flat(c)}, 1, 99) || '…' END"
+    place = "coalesce(nullif(coalesce(sa, sb), ''), 'p1')"
+    alone = f"CASE kind WHEN 'deleted' THEN {cut('ta')} ELSE {cut('tb')} END"
+    lines = lambda *parts: " || chr(10) || ".join(parts)
+
+    def entry(indent: int, name: str, sql: str, end: str = ",") -> str:
+        return f"""'{" " * indent}"{name}": ' || {sql} || '{end}'"""
+
+    quoted = lambda c: f"coalesce(to_json({c}::VARCHAR)::VARCHAR, 'null')"
+    if fmt == "text":
+        changed = lines(f"'  [CHANGED · sim ' || printf('%.2f', similarity) || ' · ' || printf('%.0f', weight) || 'w · ' || {place} || ']'", f"""'    A: "' || {cut("ta")} || '"'""", f"""'    B: "' || {cut("tb")} || '"'""")
+        one, joined = f"""CASE WHEN kind = 'changed' THEN {changed} ELSE '  [' || upper(kind) || ' · ' || {place} || '] "' || {alone} || '"' END""", "chr(10)"
+        whole = lines(
+            "'PDF semantic comparison'", "'  A: ' || doc_a", "'  B: ' || doc_b", "'  embed: hash:1024   judge: none'", "''", "'SIMILARITY  paragraph=' || printf('%.1f', similarity_pct) || '%'", "''",
+            "'── PARAGRAPH ★ ' || repeat('─', 40)", "'  similarity: ' || printf('%5.1f', similarity_pct) || '%   difference: ' || printf('%5.1f', difference_pct) || '%'",
+            "'  chunks: A=' || n_a || ' B=' || n_b || '   judged pairs: 0'", "'  equivalent (unchanged in meaning): ' || coalesce(n_same, 0) || CASE WHEN body IS NULL THEN '' ELSE chr(10) || chr(10) || body END", "''",
+        )
+    elif fmt == "md":
+        changed = lines(f"'- **CHANGED** · sim ' || printf('%.2f', similarity) || ' · ' || {place}", f"'  - A: ' || {cut('ta')}", f"'  - B: ' || {cut('tb')}")
+        one, joined = f"CASE WHEN kind = 'changed' THEN {changed} ELSE '- **' || upper(kind) || '** · ' || {place} || ': ' || {alone} END", "chr(10)"
+        whole = lines(
+            "'# PDF semantic comparison'", "''", "'- **A:** `' || doc_a || '`'", "'- **B:** `' || doc_b || '`'", "'- **embed:** hash:1024 · **judge:** none'", "''", "'## Similarity'", "''", "'| Granularity | Similarity | Difference |'", "'| --- | --- | --- |'",
+            "'| paragraph ★ | ' || printf('%.1f', similarity_pct) || '% | ' || printf('%.1f', difference_pct) || '% |'", "''", "'## Changes — paragraph'", "''", "coalesce(body || chr(10), '_No material differences._' || chr(10))",
+        )
+    else:
+        similarity = "CASE WHEN kind = 'changed' THEN round(similarity, 4)::VARCHAR ELSE 'null' END"
+        one, joined = lines("'        {'", *(entry(10, *x) for x in (("kind", quoted("kind")), ("similarity", similarity), ("weight", "weight::VARCHAR"), ("section", quoted(place)), ("a", quoted("ta")), ("b", quoted("tb")), ("explanation", "'null'", ""))), "'        }'"), "',' || chr(10)"
+        level = (("similarity_pct", "round(similarity_pct, 2)::VARCHAR"), ("difference_pct", "round(difference_pct, 2)::VARCHAR"), ("n_chunks_a", "n_a"), ("n_chunks_b", "n_b"), ("judged_pairs", "0"), ("changes", "'[' || CASE WHEN body IS NULL THEN '' ELSE chr(10) || body || chr(10) || '      ' END", "]"))
+        head = (("pdf_a", quoted("doc_a")), ("pdf_b", quoted("doc_b")), ("embed_backend", quoted("'hash:1024'")), ("judge_backend", quoted("'none'")), ("primary", quoted("'paragraph'")), ("granularities", "'{'", ""))
+        whole = lines("'{'", *(entry(2, *x) for x in head), entry(4, "paragraph", "'{'", ""), *(entry(6, *x) for x in level), "'    }'", "'  }'", "'}'")
+    return f"""WITH {TEXT_PAIRS}, {changes()},
+sums AS (SELECT pair_id, sum((1 - similarity) * weight) AS num, sum(weight) AS den, count(ta) AS n_a, count(tb) AS n_b, count(*) FILTER (kind = 'same') AS n_same FROM changes GROUP BY pair_id),
+real AS (SELECT *, CASE kind WHEN 'changed' THEN 0 WHEN 'deleted' THEN 1 ELSE 2 END AS o, weight * (1 - similarity) AS mass FROM changes WHERE kind <> 'same'),
+shown AS (SELECT pair_id, string_agg({one}, {joined} ORDER BY o, mass DESC, k, n) AS body FROM real GROUP BY pair_id),
+heads AS (SELECT pair_id, doc_a, doc_b, 100 * (1 - CASE WHEN den > 0 THEN num / den ELSE 0 END) AS similarity_pct, 100 - 100 * (1 - CASE WHEN den > 0 THEN num / den ELSE 0 END) AS difference_pct, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, n_same, body
+  FROM pairs LEFT JOIN sums USING (pair_id) LEFT JOIN shown USING (pair_id))
+SELECT pair_id, {whole} AS report FROM heads"""

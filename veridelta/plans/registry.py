@@ -19,10 +19,10 @@ from veridelta.operators import match as M
 from veridelta.operators import report as R
 from veridelta.operators import score as S
 from veridelta.plans import oracles as O
-from veridelta.plans import samples
+from veridelta.plans import pdf_samples, samples
 from veridelta.plans.compare import CompareConfig, Comparison, candidates, compare
 from veridelta.sources import adapters as A
-from veridelta.sources.pdf import pdf_blocks
+from veridelta.sources.pdf import column_anchors, pdf_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,37 +287,68 @@ def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).listed().select("pair_id", "rank", "kind", F.round("similarity", 6).alias("similarity"), "weight", "section", "a", "b")
 
 
-@query(None)
+@query(O.reports("text"))
 def rendered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text report for each pair; Python formats its numbers, so there is no SQL"""
+    """A text report for each pair"""
     return _compared(spark, sf_dir).reports("text")
 
 
-@query(
-    "WITH runs AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({p}, {x}::DOUBLE)" for p, x in samples.EDGES)
-    + f") AS r(page, x)), gaps AS (SELECT page, x, CASE WHEN x - lag(x) OVER (PARTITION BY page ORDER BY x) <= {samples.TOLERANCE} THEN 0 ELSE 1 END AS g FROM runs),"
-    " ids AS (SELECT page, x, sum(g) OVER (PARTITION BY page ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM gaps) SELECT page, min(x) AS anchor, count(*) AS n FROM ids GROUP BY page, c"
-)
+@query(O.reports("json"))
+def rendered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7, R8"""
+    return _compared(spark, sf_dir).reports("json")
+
+
+@query(O.reports("md"))
+def rendered_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9"""
+    return _compared(spark, sf_dir).reports("md")
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in five listings, one cell now and then empty."""
+    s = table(spark, sf_dir, "supplier")
+    cells = F.array(F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 7 == 3, F.lit("")).otherwise(F.col("s_name")), F.col("s_nationkey").cast("string"))
+    return pdf_samples.table_pdfs(s.select((F.col("s_suppkey") % 5).alias("doc_id"), F.col("s_suppkey").alias("key"), cells.alias("cells")))
+
+
+@query(O.COLUMNS)
 def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L5 as gaps and islands"""
-    from pyspark.sql import Window
+    """L1-L5 of listings in PDF files"""
+    return column_anchors(_tables(spark, sf_dir)).withColumn("anchor", F.round("anchor", 6))
+
 
-    w = Window.partitionBy("page").orderBy("x")
-    runs = spark.createDataFrame(samples.EDGES, "page int, x double")
-    gap = F.when(F.col("x") - F.lag("x").over(w) <= samples.TOLERANCE, 0).otherwise(1)
-    ids = runs.withColumn("g", gap).withColumn("c", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ids.groupBy("page", "c").agg(F.min("x").alias("anchor"), F.count("*").alias("n")).drop("c")
+@query(f"WITH {O.LISTINGS} SELECT doc_id, block_ord, n_rows, n_columns, grid FROM listed")
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found in PDF files, row by row"""
+    found = pdf_blocks(_tables(spark, sf_dir)).where("`table` is not null")
+    grid = F.array_join(F.transform("table", lambda r: F.array_join(r, "|")), "\n")
+    return found.select("doc_id", "block_ord", F.size("table").alias("n_rows"), F.size(F.element_at("table", 1)).alias("n_columns"), grid.alias("grid"))
 
 
-@query(f"SELECT array_to_string(list_filter(flatten({samples.GRID!r}), lambda c: c <> ''), ' ') AS text")
+@query(f"WITH {O.LISTINGS} SELECT doc_id, text, page, false AS is_heading FROM listed")
 def flatten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L11"""
-    rows = spark.createDataFrame([(samples.GRID,)], "grid array<array<string>>")
-    return rows.select(F.array_join(F.filter(F.flatten("grid"), lambda c: c != ""), " ").alias("text"))
+    return pdf_blocks(_tables(spark, sf_dir)).where("`table` is not null").select("doc_id", "text", "page", "is_heading")
 
 
-@query(None)
+@query(O.pdf_pages())
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1-S5, P, F, I, L: every page's article, written as a PDF file and read back; byte-level, so there is no SQL"""
-    return pdf_blocks(samples.page_pdfs(_page_blocks(spark, sf_dir))).select("doc_id", "block_ord", "page", "text", "is_heading", "error")
+    """S1-S5, P, F, I, L: every page's article, written as a PDF file in a style of its own and read back"""
+    return pdf_blocks(pdf_samples.page_pdfs(_page_blocks(spark, sf_dir))).select("doc_id", "block_ord", "page", "text", "is_heading", "error")
+
+
+@query(O.pdf_pages("doc_id, block_ord, round(x, 6) AS x, round(y, 6) AS y, size, n_lines"))
+def pdf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the blocks of the same files stand"""
+    found = pdf_blocks(pdf_samples.page_pdfs(_page_blocks(spark, sf_dir)))
+    return found.select("doc_id", "block_ord", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("size", 6).alias("size"), F.size("lines").alias("n_lines"))
+
+
+@query(
+    "SELECT page_id::VARCHAR AS doc_id, CASE page_id % 3 WHEN 0 THEN 'no %PDF- header' WHEN 1 THEN 'no catalog' ELSE 'the file is encrypted' END AS error FROM pages"
+)
+def pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a header, without a catalog, and encrypted ones give one row with an error"""
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.expr("repeat(' ', int(page_id) % 3 * 40)"), F.when(F.col("page_id") % 3 == 0, F.lit("no file")).when(F.col("page_id") % 3 == 1, F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Font >>\nendobj\n")).otherwise(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj\ntrailer\n<< /Root 1 0 R /Encrypt 2 0 R >>\n"))).cast("binary").alias("content"))
+    return pdf_blocks(files).select("doc_id", "error")

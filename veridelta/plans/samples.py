@@ -1,14 +1,7 @@
-"""Literal inputs of registered queries, and small PDF files made from blocks."""
+"""Literal inputs of registered queries."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 #: answer, similarity, explanation; None: no usable object
 VERDICTS = [
     ('{"similarity": 0.5, "explanation": "other date"}', 0.5, "other date"),
@@ -19,48 +12,3 @@ VERDICTS = [
     ("no object", None, None),
     ('{"similarity": "0.25", "explanation": "as text"}', 0.25, "as text"),
 ]
-TOLERANCE = 12.0
-EDGES = [(1, 10.0), (1, 11.5), (1, 60.0), (1, 71.0), (1, 82.5), (1, 110.0), (2, 5.0), (2, 17.0), (2, 29.5)]
-GRID = [["Service", "", "Owner"], ["API", "99.5%", ""], ["", "", "Infra"]]
-
-
-def pdf_file(pages: list[list[tuple[float, float, float, str]]]) -> bytes:
-    """A PDF of pages with text at (x, y, size), compressed, WinAnsi encoded."""
-    objects: list[bytes] = []
-
-    def add(body: bytes) -> int:
-        objects.append(body)
-        return len(objects)
-
-    font = add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
-    tree = len(objects) + 1
-    add(b"")
-    kids = []
-    for texts in pages:
-        ops = []
-        for x, y, size, text in texts:
-            raw = text.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-            ops.append(b"BT /F1 %g Tf %g %g Td (%s) Tj ET" % (size, x, y, raw))
-        data = zlib.compress(b"\n".join(ops))
-        content = add(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data))
-        kids.append(add(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (tree, content)))
-    refs = b" ".join(b"%d 0 R" % k for k in kids)
-    objects[tree - 1] = b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 %d 0 R >> >> >>" % (refs, len(kids), font)
-    root = add(b"<< /Type /Catalog /Pages %d 0 R >>" % tree)
-    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
-    return body + b"trailer\n<< /Root %d 0 R /Size %d >>\n%%%%EOF\n" % (root, len(objects) + 1)
-
-
-def page_pdfs(blocks: DataFrame, per_page: int = 40) -> DataFrame:
-    """(doc_id, content): a file for each document, headings in 18 points, paragraphs in 10, far apart."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            files = []
-            for parts in b.column("parts").to_pylist():
-                pages = [parts[i : i + per_page] for i in range(0, len(parts), per_page)]
-                files.append(pdf_file([[(72, 2000 - 40 * k, 18 if p["is_heading"] else 10, p["text"]) for k, p in enumerate(page)] for page in pages]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], names=["doc_id", "content"])
-
-    grouped = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "text", "is_heading"))).alias("parts"))
-    return grouped.mapInArrow(write, "doc_id long, content binary")

@@ -12,15 +12,19 @@ def document_blocks(documents: DataFrame) -> DataFrame:
     return lines.where(F.trim("text") != "").select("doc_id", "block_ord", F.lit(1).alias("page"), "text", F.lit(False).alias("is_heading"))
 
 
+#: elements that are blocks of a page
+_BLOCK_TAGS = "h[1-6]|p|li|pre|blockquote|td|th"
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """h1 (heading) and p elements of the first article, tags and entities of the five basic characters resolved."""
-    article = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)
-    found = F.regexp_extract_all(article, F.lit(r"(?s)<(?:h1|p)[^>]*>.*?</(?:h1|p)>"), F.lit(0))
+    """Headings, paragraphs, list items, quotations and cells of all articles, tags and entities of the five basic characters resolved."""
+    article = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<article[^>]*>(.*?)</article>"), F.lit(1)), "\n")
+    found = F.regexp_extract_all(article, F.lit(rf"(?s)<(?:{_BLOCK_TAGS})(?:\s[^>]*)?>.*?</(?:{_BLOCK_TAGS})>"), F.lit(0))
     parts = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("block_ord", "element"))
     text = F.regexp_replace("element", "<[^>]*>", "")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return parts.select("doc_id", "block_ord", F.lit(1).alias("page"), text.alias("text"), F.col("element").startswith("<h1").alias("is_heading"))
+    return parts.select("doc_id", "block_ord", F.lit(1).alias("page"), text.alias("text"), F.col("element").rlike("^<h[1-6]").alias("is_heading"))
 
 
 def conversation_blocks(conversations: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.operators.layout import Block, build_blocks
+from veridelta.operators.layout import Block, anchors, build_blocks, rows_of, tolerance_of
 from veridelta.sources.pdf_syntax import Document, PdfError
 from veridelta.sources.pdf_text import page_runs
 
@@ -54,6 +54,25 @@ def pdf_blocks(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(parse, BLOCKS)
 
 
+def column_anchors(files: DataFrame) -> DataFrame:
+    """(doc_id, page, anchor) of the columns that left edges on each page make; unreadable files have none."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, int, float]] = []
+            for doc_id, content in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    doc = Document(content or b"")
+                    pages = [rows_of(page_runs(p, doc)) for p in doc.pages()]
+                except (PdfError, RecursionError, MemoryError):
+                    continue
+                out += [(doc_id, n, a) for n, rows in enumerate(pages, 1) if rows for a in anchors(rows, tolerance_of(rows))]
+            cols = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "page", "anchor"])
+
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(find, "doc_id string, page int, anchor double")
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of the PDF files under a path or pattern; doc_id is the file's path."""
     files = spark.read.format("binaryFile").load(path)
