@@ -5,6 +5,7 @@ import pytest
 
 from veridelta.llm import jaccard_join as J
 from veridelta.llm.components import components
+from tests.llm.collisions import thue_morse, thue_morse_words
 
 
 def brute(rows, k, percent):
@@ -65,3 +66,22 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in range(71)} | {100: 100, 101: 100}
+
+
+def test_regular_texts_do_not_collide(spark):
+    x, y = thue_morse_words()
+    one, other = thue_morse(10, "left", "right")
+    rows = [(1, x), (2, y), (3, f"{x} {y}"), (4, f"{y} {x}"), (5, " ".join([x] * 9)), (6, " ".join([y] * 9)), (7, " ".join(one)), (8, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in J.near_duplicates(df, 4, 85).collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near = list(long)
+    for i in range(0, 60_000, 600):
+        near[i] = f"x{i}"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(reversed(long))), (4, "w" * 300_000), (5, "W" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in J.near_duplicates(df, 4, 85).collect()), key=str) == brute(rows, 4, 85)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veridelta.llm import queries as Q
 from veridelta.llm.katz import discounts, katz_scores
+from tests.llm.collisions import thue_morse_words
 
 
 class Plain:
@@ -110,3 +111,15 @@ def test_registered_query_is_a_trigram_model(spark):
     m = Plain([words(t) for d, t in rows if not held[d]], 3)
     got = Q.op5_katz(spark, SF).collect()
     assert sorted(((r.doc_id, round(r.score, 5)) for r in got), key=str) == sorted(((d, round(m.score(words(t)), 5)) for d, t in rows), key=str)
+
+
+def test_regular_and_very_long_words(spark):
+    x, y = thue_morse_words()
+    rows = [(1, f"{x} {x} stone"), (2, y), (3, f"{x} {y} {x}"), (4, "river stone " * 40_000), (5, "z" * 200_000)]
+    held = {d: d in (2, 3) for d, _ in rows}
+    m = Plain([words(t) for d, t in rows if not held[d]], 3)
+    got = katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), ~F.col("doc_id").isin(2, 3), 3).collect()
+    for r in got:
+        w = words(dict(rows)[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (len(w) + 1, sum(m.c[1][(z,)] > 0 for z in [*w, "</s>"]))
+        assert r.score == pytest.approx(m.score(w), abs=1e-4)

@@ -3,6 +3,7 @@ import random
 import re
 
 from veridelta.llm.substring_dedup import dedup_substrings
+from tests.llm.collisions import thue_morse, thue_morse_words
 
 
 def brute(rows, k):
@@ -52,3 +53,29 @@ def test_periodic_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 13) == []
+
+
+def test_regular_texts_do_not_collide(spark):
+    x, y = thue_morse_words()
+    one, other = thue_morse(10, "left", "right")
+    rows = [(1, " ".join([x] * 14)), (2, " ".join([y] * 14)), (3, " ".join(one)), (4, " ".join(other)), (5, " ".join([f"{x}{i}" for i in range(20)])), (6, " ".join([f"{y}{i}" for i in range(20)]))]
+    assert run(spark, rows, 13) == brute(rows, 13)
+
+
+def test_spans_are_compared_by_their_words(spark, monkeypatch):
+    """Windows that hash alike are no repetition where the words differ."""
+    import numpy as np
+
+    from veridelta.llm import substring_dedup as S
+    from veridelta.llm import tokens as T
+
+    w = next(T.words(pa_array(["a b c d", "a  b\tc e"]), T.whitespace_words(), T.as_written()))
+    same = S._digests(w, np.array([0, 4]), np.array([2, 6]))
+    differ = S._digests(w, np.array([0, 4]), np.array([3, 7]))
+    assert same[0] == same[1] and differ[0] != differ[1] and len(same[0]) == 16
+
+
+def pa_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts)

@@ -1,6 +1,7 @@
 """Blocks of documents that ask a distributed dictionary, without a row per word.
 
-Documents are dealt into blocks by a hash of their key.  A block sums up its own items
+Documents are dealt into blocks by a hash of their key and text, into a bucketed table that
+all passes read in place.  A block sums up its own items
 (n-grams, shingles, words) into sorted distinct 64-bit keys and sends one packed row per
 (block, bucket of the key space).  A bucket merges what all blocks sent and answers every
 block in the order of its keys.  A key that half of all documents hold is one entry per
@@ -11,10 +12,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -22,11 +24,20 @@ REQUEST = "bucket int, block int, keys binary, extra binary"
 ANSWER = "block int, bucket int, answer binary"
 
 
+#: Spark drops the shuffle files of a query when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or SparkContext's own setting.
+
+    Only a session in one JVM (local mode), as in tests, gets a folder of its own where neither is set.
+    """
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
     if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridelta-"))
@@ -34,49 +45,50 @@ def shared_dir(spark: SparkSession) -> str:
     return own.get().rstrip("/")
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends there."""
+    """The rows, written to the shared folder and read again: lineage and shuffle files end there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridelta/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("overwrite").option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    with _setting(spark, CLEANUP, "true"):
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished jobs now and not at some later collection.
-
-    Python's references go first, then what they held in the JVM, then what that held.
-    """
-    import gc
-    import time
+def dealt(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """The rows in a table bucketed by their column block: every later pass over blocks reads it without an exchange."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    w = rows.repartition(n, "block").write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/veridelta/{table}")
+    with _setting(spark, CLEANUP, "true"):
+        w.saveAsTable(table, format="parquet")
+    return spark.table(table)
 
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the rows' size; of files it is their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def block_count(df: DataFrame, mb: int = 8) -> int:
-    """Blocks of about so many MB of input files; their number follows the input.
-
-    Where Catalyst has no estimate (rows of an RDD or of Python), the session's number of
-    shuffle partitions, which is set by the size of the data, takes its place.
-    """
-    if (size := estimated_bytes(df)) >= 1 << 55:
-        return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def block_count(docs: DataFrame, text: str = "text", mb: int = 14) -> int:
+    """Blocks of about so many MB of text; their number follows the text's true size."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     return max(8, -(-size // (mb << 20)))
 
 
-def blocked(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, whole text (null: empty) and block of each document."""
+def blocked(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", name: str = "blocks") -> DataFrame:
+    """Key, whole text (null: empty) and block of each document; rows of one key, or without, are spread by their texts."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    return dealt(d.withColumn("block", block_of(n, F.col("doc_id"), F.xxhash64("text"))), n, name)
+
+
+def block_of(n: int, key: Column, text_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(key, text_hash), F.lit(n)).cast("int")
 
 
 def planes(x: np.ndarray) -> bytes:

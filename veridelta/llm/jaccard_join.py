@@ -39,7 +39,7 @@ from . import tokens as T
 from .components import components
 
 U64 = np.uint64
-SETS = "doc_id long, n int, d1 long, d2 long"
+SETS = "doc_id long, t long, n int, d1 long, d2 long"
 KEPT = "node long, size int, lead binary, tile0 long, tile1 long, bits binary, shingles binary"
 #: sets in a sub-tile's side, words of a bitmap
 SIDE, BITMAP = 256, 128
@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for w in T.words(texts, T.whitespace_words(), T.folded()):
         first, last = w.first[:-1], w.first[1:]
         g = T.ngrams(w.hash, k)
-        short = T.span_hash(w.hash, first, last)
+        short = T.short_sequences(w.hash, first, last, k)
         for i, row in enumerate(w.rows):
             n = last[i] - first[i]
             yield int(row), np.unique(g[first[i] : last[i] - k + 1]) if n >= k else short[i : i + 1] if n else short[:0]
@@ -77,9 +77,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             n, d1, d2 = (np.zeros(part.num_rows, np.int64) for _ in range(3))
             for row, s in shingle_sets(T.column(part, "text"), k):
                 n[row], (d1[row], d2[row]) = len(s), _digest(s)
-            yield pa.RecordBatch.from_arrays([T.column(part, "doc_id"), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([T.column(part, "doc_id"), T.column(part, "t"), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2)], names=["doc_id", "t", "n", "d1", "d2"])
 
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     return B.stored(d.mapInArrow(sets, SETS), "sets")
 
 
@@ -104,9 +104,9 @@ def _frequencies(members: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _repeated(docs: DataFrame, reps: DataFrame, k: int, t: Fraction, block_mb: int) -> DataFrame:
     """The sets that have enough repeated shingles, rarest first."""
-    n = B.block_count(docs, block_mb)
-    blocks = B.blocked(docs, n)
-    mine = reps.select(F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("block"), "rep", "d1")
+    n = B.block_count(docs, mb=block_mb)
+    blocks = B.blocked(docs.where(F.col("doc_id").cast("long").isNotNull()), n)
+    mine = reps.select(B.block_of(n, F.col("rep"), F.col("t")).alias("block"), "rep", "d1")
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         keys, count = _frequencies(_members(table, got, k))
@@ -310,16 +310,16 @@ def _rest(kept: DataFrame, known: DataFrame, t: Fraction, parts: int) -> DataFra
     return B.stored(found.join(sets[0], "a").join(sets[1], "b").select("a", "b", "size_a", "size_b", "set_a", "set_b").mapInArrow(decide, schema), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_mb: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_mb: int = 14) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link at a Jaccard similarity of percent / 100 or more of their word k-shingles."""
     t = Fraction(percent, 100)
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = _sets(docs, k)
     full = sets.where("n > 0 and doc_id is not null")
-    reps = B.stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "t")).alias("rep"))
+    reps = B.stored(reps.select("d1", "d2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("t")), "classes")
     kept = _repeated(docs, reps, k, t, block_mb)
-    B.release(spark)
     # a row's own id joins it to the class that stands for its set, also where ids repeat
     same = full.join(reps, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = components(_first_links(kept, t, parts), "near")

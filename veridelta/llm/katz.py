@@ -80,11 +80,11 @@ class _Text:
 
     def grams(self, k: int) -> np.ndarray:
         """The k-gram that ends at each scored position."""
-        return T.span_hash(self.h, self.at - k + 1, self.at + 1)
+        return T.grams(self.h, self.at - k + 1, k)
 
     def histories(self, k: int) -> np.ndarray:
         """The k - 1 words before each scored position."""
-        return T.span_hash(self.h, self.at - k + 1, self.at)
+        return T.grams(self.h, self.at - k + 1, k - 1)
 
 
 class _Block:
@@ -208,19 +208,17 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
     return B.stored(rows, f"alpha-{k}").withColumn("kind", F.lit("alpha"))
 
 
-def katz_scores(docs: DataFrame, train: F.Column, order: int = 2, block_mb: int = 8) -> DataFrame:
+def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> DataFrame:
     """The scores of all whole texts by the model of those where train holds (null: not)."""
-    n = B.block_count(docs, block_mb)
+    n = B.block_count(docs, mb=block_mb)
     flagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    blocks = B.dealt(flagged.withColumn("block", B.block_of(n, F.col("doc_id"), F.xxhash64("text"))), n, "texts")
     counts = _count_tables(blocks, order, n)
-    B.release(docs.sparkSession)
     stats = counts.where("stat is not null").groupBy("order").agg(*[F.sum(F.element_at("stat", i + 1)).alias(f"s{i}") for i in range(GT_MAX + 3)]).collect()
     model = Model({r[0]: list(r[1:]) for r in stats}, order)
     got = counts.select("block", "bucket", "answer", "order", "kind")
     for k in range(2, order + 1):
         got = got.unionByName(_alphas(blocks, got, model, k, order, n))
-        B.release(docs.sparkSession)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)

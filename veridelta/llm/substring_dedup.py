@@ -9,14 +9,15 @@ of documents (see blocks.py); what a pass learns comes back to the blocks that a
 2. edges: the remaining k-mers with their neighbours.  An edge is repeated if two documents
    have it; a side of it is a branch if occurrences differ there or one is at a text's end.
 3. paths: a run of repeated edges without a branch between them is one nonbranching path;
-   each document gives one row for each path it holds, with its source coordinates.  A
-   Spark aggregation and join over (head, length, hash of all words of the span) compacts
-   occurrences into paths and verifies that the spans are the same words.
+   each document gives one row for each path it holds, with its source coordinates and a
+   128-bit digest of the words that stand there in the text.  A Spark aggregation and join
+   over (head, length, digest) compacts occurrences into paths, so only spans of the same
+   words meet, whatever the hashes say that led to them.
 4. removal: spans whose path also occurs in a document with a smaller id leave the text.
 
 Defined cases: null and empty texts have no words; a null doc_id is returned but neither
 removes nor loses words; repeated ids are not smaller than each other; other columns are
-ignored; texts are never cut.  Equality of words is equality of 64-bit hashes.
+ignored; texts are never cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from . import tokens as T
 
 U64 = np.uint64
 _NONE = np.iinfo(np.int64).min
-PIECES = "head long, len int, span long, doc_id long, row long, start int, block int"
+PIECES = "head long, len int, span binary, doc_id long, row long, start int, block int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -81,6 +82,19 @@ def _sketch(table: pa.Table, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     return key[at], (np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)).astype(np.uint8)
 
 
+def _rows(texts: pa.Array) -> np.ndarray:
+    """A 63-bit digest of each text, which tells rows of one id apart."""
+    off, data = T.raw(texts)
+    raw = memoryview(data)
+    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") >> 1 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+
+
+def _digests(w: T.Words, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """128 bits of the words from first to last, joined by one space, as they stand in the text."""
+    raw = w.data.tobytes()
+    return [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(w.start[first].tolist(), w.end[last].tolist(), strict=True)]
+
+
 class _Edges:
     """A block's distinct k-mers among the windows with shared minimizers."""
 
@@ -91,7 +105,7 @@ class _Edges:
             at, least = _windows(w, k, m)
             i = np.searchsorted(shared, least)
             at = at[shared[np.minimum(i, len(shared) - 1)] == least] if len(shared) else at[:0]
-            g = T.span_hash(w.hash, at, at + k)
+            g = T.grams(w.hash, at, k)
             self.parts.append((ids, w, at, g))
             if len(at):
                 keys.append(g)
@@ -122,10 +136,10 @@ def _agree(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.where(lo == hi, lo, U64(0))
 
 
-def repeats(docs: DataFrame, k: int = 13, block_mb: int = 8) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, k: int = 13, block_mb: int = 14) -> tuple[DataFrame, DataFrame]:
     """Blocks of the documents, and a row (block, doc_id, row, start, len) for each span that repeats an earlier document."""
     m = max(1, (k + 1) // 2)
-    n = B.block_count(docs, block_mb)
+    n = B.block_count(docs, mb=block_mb)
     blocks = B.blocked(docs, n)
 
     def sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -168,7 +182,9 @@ def repeats(docs: DataFrame, k: int = 13, block_mb: int = 8) -> tuple[DataFrame,
     def paths(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         e = _Edges(table, shared_of(table, got), k, m)
         flags = B.read_answers(got.filter(pc.equal(got.column("step"), 2)), e.keys, n, np.uint8)
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        spans: list[bytes] = []
+        rows = _rows(T.column(table, "text"))
         for ids, w, at, g in e.parts:
             if not len(at):
                 continue
@@ -183,24 +199,25 @@ def repeats(docs: DataFrame, k: int = 13, block_mb: int = 8) -> tuple[DataFrame,
             last = np.append(first[1:], len(at)) - 1
             length = at[last] - at[first] + 1
             doc = w.doc[at[first]]
-            whole = T.span_hash(w.hash, w.first[:-1], w.first[1:])
-            cols = (g[first], length, T.span_hash(w.hash, at[first], at[first] + length + k - 1), ids[doc], whole[doc], at[first] - w.first[doc])
+            row = rows[w.rows]
+            spans.extend(_digests(w, at[first], at[last] + k - 1))
+            cols = (g[first], length, ids[doc], row[doc], at[first] - w.first[doc])
             for o, c in zip(out, cols, strict=True):
                 o.append(c)
         cols = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
-        head, length, span, doc, whole, start = cols
-        return pa.table({"head": head.view(np.int64), "len": length.astype(np.int32), "span": span.view(np.int64), "doc_id": doc.astype(np.int64), "row": whole.view(np.int64), "start": start.astype(np.int32), "block": np.full(len(head), key[0].as_py(), np.int32)})
+        head, length, doc, row, start = cols
+        return pa.table({"head": head.view(np.int64), "len": length.astype(np.int32), "span": pa.array(spans, pa.binary()), "doc_id": doc.astype(np.int64), "row": row.astype(np.int64), "start": start.astype(np.int32), "block": np.full(len(head), key[0].as_py(), np.int32)})
 
     both = asked.unionByName(B.stored(flagged, "branches"))
     pieces = B.stored(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(paths, PIECES), "paths")
-    B.release(docs.sparkSession)
     path = ["head", "len", "span"]
-    compacted = pieces.groupBy(*path).agg(F.min("doc_id").alias("first_doc"))
+    # a table of its own: the join then exchanges both sides and Spark may split a path that many documents hold
+    compacted = B.stored(pieces.groupBy(*path).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "compacted")
     later = pieces.join(compacted, path).where("doc_id > first_doc")
     return blocks, later.select("block", "doc_id", "row", "start", (F.col("len") + (k - 1)).alias("len"))
 
 
-def dedup_substrings(docs: DataFrame, k: int = 13, block_mb: int = 8, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 13, block_mb: int = 14, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (digest: kept_sha256): the texts without spans of k or more words that an earlier document has."""
     blocks, spans = repeats(docs, k, block_mb)
 
@@ -209,13 +226,12 @@ def dedup_substrings(docs: DataFrame, k: int = 13, block_mb: int = 8, digest: bo
         texts = T.column(table, "text")
         off, data = T.raw(texts)
         data = data.tobytes()
-        by = got.column("row").to_numpy()
+        by, own_rows = got.column("row").to_numpy(), _rows(texts)
         order = np.argsort(by, kind="stable")
         by, doc, start, length = (got.column(c).to_numpy()[order] for c in ("row", "doc_id", "start", "len"))
         total, gone, kept = [], [], []
         for w in T.words(texts, T.whitespace_words(), T.as_written()):
-            whole = T.span_hash(w.hash, w.first[:-1], w.first[1:]).view(np.int64)
-            lo, hi = np.searchsorted(by, whole), np.searchsorted(by, whole, side="right")
+            lo, hi = np.searchsorted(by, own_rows[w.rows]), np.searchsorted(by, own_rows[w.rows], side="right")
             for i, row in enumerate(w.rows):
                 text = data[off[row] : off[row + 1]].split()
                 n = 0

@@ -1,9 +1,11 @@
 """Vectorised words, word hashes and n-gram hashes over Arrow string columns.
 
 Everything works on the UTF-8 bytes of many texts at once: a byte is either part of a
-word or a separator, words never cross texts, and a word's 64-bit hash is a polynomial
-over its (optionally case-folded) bytes, finished by a mixing step.  An n-gram's hash is
-the same construction over its words' hashes, so both cost a constant per byte or word.
+word or a separator, and words never cross texts.  A word's 64-bit hash is multilinear:
+each of its (optionally case-folded) bytes stands for a random number, which is multiplied
+by a random number of the byte's place in the word, so no regular pattern of bytes can make
+two words equal, as it can with powers of one base.  A mixing step finishes the sum.  An
+n-gram's hash is built in the same way from its words' hashes.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xD6E8FEB86659FD93 | 1
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_SEEDS = np.random.Generator(np.random.PCG64(20240607))
+_BYTE = _SEEDS.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_WORD = _SEEDS.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 #: bytes of texts handled at once, unless one text alone is longer
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def whitespace_words() -> np.ndarray:
@@ -58,44 +60,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
+class _Places:
+    """A random number for each place in a word: a counter, mixed; the table grows with the longest word."""
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, base, U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+    def __init__(self) -> None:
+        self.table = np.zeros(0, U64)
 
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.table) < n:
+            i = np.arange(1, max(n, 2 * len(self.table), 64) + 1, dtype=U64)
+            self.table = mix(mix(i * U64(0x9E3779B97F4A7C15)) + U64(0xD6E8FEB86659FD93)) | U64(1)
+        return self.table
 
-_bytes, _grams = _Powers(_BASE), _Powers(_GRAM)
 
+_places = _Places()
 
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the word sequences h[start:end]."""
-    up, down = _grams(len(h) + 1)
-    s = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=s[1:])
-    return mix((s[ends] - s[starts]) * down[starts] + U64(7) * (ends - starts).astype(U64))
+
+def byte_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Prefix sums of the values of words that stand one after the other, each value times the number of its place in its word."""
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(len(values)) - np.repeat(at, lengths)
+    s = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _places(int(lengths.max()) if len(lengths) else 0)[place], out=s[1:])
+    return s
+
+
+def grams(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the word sequences h[i:i+n] for the places i in at."""
+    s = np.full(len(at), U64(n))
+    for j in range(n):
+        s += h[at + j] * _WORD[j]
+    return mix(s)
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of h[i:i+n] for each i; the caller drops those that cross texts."""
-    if len(h) < n:
-        return np.zeros(0, U64)
-    i = np.arange(len(h) - n + 1)
-    return span_hash(h, i, i + n)
+    m = max(0, len(h) - n + 1)
+    s = np.full(m, U64(n))
+    for j in range(n):
+        s += h[j : j + m] * _WORD[j]
+    return mix(s)
 
 
-def sequence_hash(words: list[int], n: int | None = None) -> int:
-    """Hash of one sequence of word hashes, as span_hash gives it."""
-    h = np.array(words, U64)
-    return int(span_hash(h, np.array([0]), np.array([len(h)]))[0])
+def short_sequences(h: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the sequences h[first:last] of those texts that have fewer than n words; 0 for others."""
+    out = np.zeros(len(first), U64)
+    for m in range(1, n):
+        own = np.flatnonzero(last - first == m)
+        out[own] = grams(h, first[own], m)
+    return out
 
 
 @dataclass
@@ -153,10 +166,10 @@ def words(texts: pa.Array, is_word: np.ndarray, value: np.ndarray, chunk: int =
         till[:-1] &= ~inside[1:]
         till[e] |= inside[e]
         start, end = np.flatnonzero(at), np.flatnonzero(till) + 1
-        up, down = _bytes(len(data) + 1)
-        s = np.zeros(len(data) + 1, U64)
-        np.cumsum(value[data] * up[: len(data)], out=s[1:])
-        h = mix((s[end] - s[start]) * down[start])
+        length = end - start
+        s = byte_sums(value[data[inside]], length)
+        edge = np.append(0, np.cumsum(length))
+        h = mix(s[edge[1:]] - s[edge[:-1]])
         first = np.searchsorted(start, o)
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
         yield Words(h, doc, first, np.arange(lo, hi), data, start, end)
