@@ -2,6 +2,7 @@ import random
 import re
 
 from veridelta.llm import decontaminate as D
+from tests.llm.collisions import thue_morse_words
 
 
 def words(t):
@@ -66,3 +67,11 @@ def test_empty_tables(spark):
     assert D.find(D.build_index(d), q).collect() == []
     d, q = data(spark, [(1, "a b")], [])
     assert [tuple(r)[:3] for r in D.find(D.build_index(d), q).collect()] == [(1, 2, 0)]
+
+
+def test_regular_words_do_not_collide(spark):
+    x, y = thue_morse_words()
+    docs, items = [(1, f"{x} stone"), (2, f"{y} stone"), (3, " ".join([y] * 12))], [(1, x), (2, " ".join([x] * 12))]
+    d, i = data(spark, docs, items)
+    got = sorted((tuple(r) for r in D.digest(D.find(D.build_index(d), i, n=10)).collect()), key=str)
+    assert got == brute(docs, items, 10)

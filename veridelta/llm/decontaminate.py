@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-build_index stores the training text's token postings as segments of about four MB of text:
+build_index stores the training text's token postings as segments of some half a million words:
 the segment's documents and their lengths, its sorted terms (64-bit hashes of lower-cased
 words) and, term by term, the ascending word positions.  Segments are rows of a written
 table, so an index of any size is searched without a shuffle, each segment on its own.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,41 +32,54 @@ from . import blocks as B
 from . import tokens as T
 
 U64 = np.uint64
-SEGMENT = "docs binary, no_id binary, lengths binary, terms binary, counts binary, positions binary"
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+SEGMENT = "segment long, docs binary, no_id binary, lengths binary, terms binary, counts binary, positions binary"
+RESULT = "segment long, place int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 #: rows and bytes of text in one block of the query set
-QUERY_ROWS, QUERY_BYTES = 20_000, 16 << 20
+QUERY_ROWS, QUERY_BYTES = 20_000, 4 << 20
 
 
-def _terms(texts: pa.Array, chunk: int) -> Iterator[T.Words]:
-    return T.words(texts, T.alnum_words(), T.folded(), chunk)
+def _terms(texts: pa.Array) -> Iterator[T.Words]:
+    return T.words(texts, T.alnum_words(), T.folded())
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_bytes: int = 4 << 20) -> DataFrame:
-    """The stored index of all whole texts."""
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_words: int = 1 << 19) -> DataFrame:
+    """The stored index of all whole texts, in segments of at least so many words (but for a partition's last)."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, ...]] = []  # ids, missing ids, lengths, word hashes
         for part in parts:
             ids = T.column(part, "doc_id")
             empty = np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            for w in _terms(T.column(part, "text"), segment_bytes):
-                order = np.argsort(w.hash, kind="stable")
-                h = w.hash[order]
-                at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-                gaps = np.diff(order, prepend=0)
-                gaps[at] = order[at]  # each list begins anew
-                row = [B.planes(ids[w.rows]), np.packbits(empty[w.rows]).tobytes(), B.planes(np.diff(w.first).astype(np.int32)), B.pack(h[at]), B.planes(np.diff(np.append(at, len(h))).astype(np.int32)), B.planes(gaps.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["docs", "no_id", "lengths", "terms", "counts", "positions"])
+            for w in _terms(T.column(part, "text")):
+                held.append((ids[w.rows], empty[w.rows], np.diff(w.first).astype(np.int32), w.hash))
+                if sum(len(x[3]) for x in held) >= segment_words:
+                    yield _segment(number, held)
+                    number, held = number + 1, []
+        if held:
+            yield _segment(number, held)
 
     return B.stored(d.mapInArrow(segments, SEGMENT), "postings")
 
 
+def _segment(number: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    ids, empty, lengths, words = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(words, kind="stable")
+    h = words[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    gaps = np.diff(order, prepend=0)
+    gaps[at] = order[at]  # each list begins anew
+    row = [B.planes(ids), np.packbits(empty).tobytes(), B.planes(lengths), B.pack(h[at]), B.planes(np.diff(np.append(at, len(h))).astype(np.int32)), B.planes(gaps.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in SEGMENT.split(", ")])
+
+
 class Segment:
     """One row of the index, decoded; lists of positions are cut out on demand."""
 
     def __init__(self, row: dict) -> None:
+        self.number = row["segment"]
         self.docs, self.lengths = B.unplanes(row["docs"], np.int64), B.unplanes(row["lengths"], np.int32)
         self.no_id = np.unpackbits(np.frombuffer(row["no_id"], np.uint8), count=len(self.docs)).astype(bool)
         self.terms, counts = B.unpack(row["terms"]), B.unplanes(row["counts"], np.int32)
@@ -122,21 +136,38 @@ class Segment:
 
 
 class Phrases:
-    """A block of the query set: distinct windows as rows of term numbers, and the items of each."""
+    """A block of the query set: distinct windows as rows of term numbers, and the items of each.
+
+    At most QUERY_BYTES of text, or one item, is in a block, so the matrix has at most some
+    QUERY_BYTES / 2 rows of n numbers.
+    """
 
     def __init__(self, rows: list[tuple[str | None, str | None]], n: int) -> None:
-        windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for w in _terms(pa.array([t or "" for _, t in rows], pa.string()), T.CHUNK):
-            for i, row in enumerate(w.rows):
-                h = w.hash[w.first[i] : w.first[i + 1]].tolist()
-                for p in range(max(1, len(h) - n + 1) if h else 0):
-                    windows[tuple(h[p : p + n])].add(rows[row][0])
-        self.items = [sorted(x for x in s if x is not None) for s in windows.values()]
-        self.length = np.array([len(x) for x in windows], np.int64)
-        self.vocabulary = np.unique(np.array([t for x in windows for t in x], U64))
-        self.terms = np.full((len(windows), n), -1, np.int64)
-        for k, x in enumerate(windows):
-            self.terms[k, : len(x)] = np.searchsorted(self.vocabulary, np.array(x, U64))
+        hashes, starts, lengths, owners = [np.zeros(0, U64)], [], [], []
+        at = 0
+        for w in _terms(pa.array([t or "" for _, t in rows], pa.string())):
+            size = np.diff(w.first)
+            count = np.where(size > 0, np.maximum(1, size - n + 1), 0)
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            starts.append(at + np.repeat(w.first[:-1], count) + inner)
+            lengths.append(np.repeat(np.minimum(size, n), count))
+            owners.append(np.repeat(w.rows, count))
+            hashes.append(w.hash)
+            at += len(w.hash)
+        words = np.concatenate(hashes)
+        start, length, owner = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (starts, lengths, owners))
+        self.vocabulary, number = np.unique(words, return_inverse=True)
+        number = np.append(number.astype(np.int32), np.int32(-1))
+        place = start[:, None] + np.arange(n)
+        windows = number[np.where(np.arange(n) < length[:, None], place, len(words))].reshape(-1, n)
+        self.terms, which = np.unique(windows, axis=0, return_inverse=True)
+        self.length = (self.terms >= 0).sum(axis=1)
+        pairs = np.unique(np.stack([which.ravel(), owner]), axis=1)
+        self.edge, self.owner = np.searchsorted(pairs[0], np.arange(len(self.terms) + 1)), pairs[1]
+        self.names = [x for x, _ in rows]
+
+    def items(self, window: int) -> list[str]:
+        return [x for i in self.owner[self.edge[window] : self.edge[window + 1]] if (x := self.names[i]) is not None]
 
     def possible(self, size: np.ndarray) -> np.ndarray:
         """Windows all of whose terms the segment has."""
@@ -168,7 +199,7 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                     np.add.at(mark, start, 1)
                     np.add.at(mark, np.minimum(start + width, s.first[doc + 1]), -1)
                     for d in np.unique(doc):
-                        items[int(d)].update(q.items[k])
+                        items[int(d)].update(q.items(k))
                 hit = (np.cumsum(mark[:-1]) > 0).astype(np.int8)
                 total = np.append(0, np.cumsum(hit, dtype=np.int64))
                 found = np.flatnonzero(total[s.first[1:]] > total[s.first[:-1]])
@@ -177,8 +208,8 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                     edge = np.flatnonzero(np.diff(np.r_[0, hit[s.first[d] : s.first[d + 1]], 0]))
                     spans[int(d)] = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.docs, pa.int64(), mask=s.no_id), pa.array(s.lengths, pa.int64()), pa.array(total[s.first[1:]] - total[s.first[:-1]], pa.int64()), pa.array([sorted(items.get(d, ())) for d in range(len(s.docs))], pa.list_(pa.string())), pa.array([spans.get(d, []) for d in range(len(s.docs))], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [pa.array(np.full(len(s.docs), s.number)), pa.array(np.arange(len(s.docs)), pa.int32()), pa.array(s.docs, pa.int64(), mask=s.no_id), pa.array(s.lengths, pa.int64()), pa.array(total[s.first[1:]] - total[s.first[:-1]], pa.int64()), pa.array([sorted(items.get(d, ())) for d in range(len(s.docs))], pa.list_(pa.string())), pa.array([spans.get(d, []) for d in range(len(s.docs))], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    names=["segment", "place", "doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
     return index.mapInArrow(search, RESULT)
@@ -197,14 +228,12 @@ def find(index: DataFrame, items: DataFrame, n: int = 10, slop: int = 0, key: st
         # a block of the stated size: the number of passes grows with the query set, memory does not
         own = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b)
         one = _search(index, Phrases([tuple(r) for r in own.collect()], n), slop)
-        if n_blocks > 1:
-            one = one.withColumn("row", F.monotonically_increasing_id())
         found = one if found is None else found.unionByName(one)
-    return found if n_blocks == 1 else _merged(found)
+    return (found if n_blocks == 1 else _merged(found)).drop("segment", "place")
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """Results of several query blocks: spans united; a document's row number is the same in each."""
+    """Results of several query blocks: spans united; a document's place in the stored index is the same in each."""
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     joined = F.aggregate(
         spans,
@@ -214,8 +243,8 @@ def _merged(found: DataFrame) -> DataFrame:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    united = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), joined.alias("spans"))
-    return united.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("n_hit"), "items", "spans")
+    united = found.groupBy("segment", "place", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), joined.alias("spans"))
+    return united.select("segment", "place", "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("n_hit"), "items", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:
