@@ -12,8 +12,16 @@ BAD = ["idiot", "worthless", "stupid", "moron", "trash", "pathetic"]
 GOOD = ["window", "letter", "garden", "river", "stone", "planet", "market", "silver", "button", "coffee", "a", "of"]
 
 
+def trigrams(words):
+    n = Counter()
+    for w in words:
+        s = "^^" + w + "$"
+        n.update(s[i : i + 3] for i in range(len(s) - 2))
+    return n
+
+
 def chars():
-    return X.CharModel(Counter({w: 50 for w in BAD + GOOD}))
+    return X.CharModel({t: 50 * n for t, n in trigrams(BAD + GOOD).items()})
 
 
 def test_viterbi_restores():
@@ -29,6 +37,56 @@ def test_suspicious_stretches():
     assert sorted(got) == sorted(["1d10t", "stuuupid", "idiot", "stupid"])
 
 
+def test_viterbi_against_all_paths():
+    m = chars()
+
+    def best(written, h="^^", last="", word=""):
+        if not written:
+            return m.logp(h, "$"), word
+        ch, rest = written[0], written[1:]
+        letters = [(c, X.LEET) for c in X.LOOKALIKES.get(ch, "")] + ([(ch, X.SAME)] if X._is_letter(ch) else [])
+        options = []
+        for c, cost in letters:
+            s, w = best(rest, h[1] + c, c, word + c)
+            options.append((cost + m.logp(h, c) + s, w))
+            if c == last:
+                s, w = best(rest, h, c, word)
+                options.append((cost + X.DROPPED + s, w))
+        if not letters or not X._is_letter(ch):
+            s, w = best(rest, h, last, word)
+            options.append(((X.KEPT if letters else X.DROPPED) + s, w))
+        return max(options, key=lambda x: x[0])
+
+    r = random.Random(4)
+    for _ in range(60):
+        written = "".join(r.choice("idotssee01!3$5-") for _ in range(r.randint(1, 7)))
+        assert m.decode(written) == best(written)[1]
+
+
+def test_letter_trigrams_of_all_texts(spark):
+    texts = ["Stone River", "stone  x1 st0ne", "ñandú", None, "", "a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    plain = ["stone", "river", "stone", "ñandú".encode().decode("latin-1"), "a"]
+    assert X.letter_trigrams(docs) == dict(trigrams(plain))
+    assert X.letter_trigrams(docs.where("doc_id > 9")) == {}
+
+
+def test_signs_alone_are_decoded_and_numbers_are_not():
+    known = np.zeros(0, np.uint64)
+    got = [w for p in X._pieces(pa.array(["an @55 of 2019 and i - d - i"])) for _, w, _ in p.suspicious(known)]
+    assert sorted(got) == ["@55", "idi"]
+
+
+def test_ties_and_repeated_rows(spark):
+    docs, labels = data(spark, 120)
+    split = F.lit(True)
+    one = X.fit(docs, labels, split)
+    again = X.fit(docs.union(docs), labels.union(labels), split)
+    text = pa.array(["a worthless stone of a river", "m0r0n", ""])
+    # repeated rows teach once; the character model counts them twice
+    assert np.allclose(one.score(text), again.score(text), atol=0.05)
+
+
 def data(spark, n=600):
     r = random.Random(1)
     rows, labels = [], []

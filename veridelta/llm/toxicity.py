@@ -3,23 +3,31 @@
 The channel writes a letter as itself, as a look-alike (leetspeak), several times, or with
 a separator after it.  A suspicious stretch of text becomes a lattice: each written
 character may stand for several letters or for none.  Viterbi decoding under a trigram
-character language model (words with word ends) finds the likeliest original.  Stretches
-are suspicious if they mix letters and look-alikes, repeat a letter three times or more,
-repeat one so that the plain form is a word the classifier knows, or are at least three
-separated single characters; every other word's lattice has one path, itself.
+character language model (words with word ends) finds the likeliest original; no path of
+the lattice is cut.  Stretches are suspicious if they mix letters and look-alikes, consist
+of look-alikes that are not all digits, repeat a letter three times or more, repeat one so
+that the plain form is a word the classifier knows, or are at least three separated single
+characters; every other word's lattice has one path, itself.
+
+The character model counts the letter trigrams of all plain words of all whole texts, by
+bytes: its table has at most 155 ** 3 rows however much text there is, and some thousands
+in practice, so it is small enough to broadcast.
 
 The score is a logistic regression over hashed features of the restored words: whole words
 and their prefixes, which meet inflected forms.  Feature extraction is vectorised over the
 bytes of many texts (tokens.py), decoding is memoised by spelling.
 
-fit() reads labels of the training rows only and takes at most `sample` rows of each label
-(the smallest hashes of doc_id); the bound is what keeps text and design matrix on the
-driver small.  The intercept is set back to the labels' shares in all training rows.
+fit() reads labels of the training rows only and takes at most `sample` ids of each label
+(the smallest hashes of doc_id), one row of each, and of these at most `sample_bytes` of text
+in the same order; the bounds keep text and design matrix on the driver small.  The
+intercept is set back to the labels' shares in all training rows.
 
 Defined cases: null and empty texts are scored by the intercept; a null doc_id has no label
-and counts as the text "" in the split rule; repeated ids are scored row by row; rows with
-a null label teach nothing; without both labels every score is the share of label 1 (0 if
-there is none); other columns are ignored; whole texts are read.
+and counts as the text "" in the split rule; repeated ids are scored row by row, and the row
+with the smallest text hash teaches; rows with a null label teach nothing; without both
+labels every score is the share of label 1 (0 if there is none); spellings that are equally
+likely are decoded to the first in the order of the look-alikes; other columns are ignored;
+whole texts are read.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -46,19 +54,16 @@ MEMO = 200_000
 
 
 class CharModel:
-    """Interpolated trigram model over the letters of words."""
+    """Interpolated trigram model over the letters (bytes) of words."""
 
-    def __init__(self, words: Counter) -> None:
-        self.three: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self, trigrams: dict[str, int]) -> None:
+        self.three: dict[str, dict[str, int]] = defaultdict(dict)
         self.two: dict[str, Counter] = defaultdict(Counter)
         self.one: Counter = Counter()
-        for w, n in words.items():
-            n = math.log1p(n)  # types count more than tokens, so that rare words stay reachable
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                self.three[s[i - 2 : i]][s[i]] += n
-                self.two[s[i - 1]][s[i]] += n
-                self.one[s[i]] += n
+        for t, n in trigrams.items():
+            self.three[t[:2]][t[2]] = n
+            self.two[t[1]][t[2]] += n
+            self.one[t[2]] += n
         self.sum3 = {h: sum(c.values()) for h, c in self.three.items()}
         self.sum2 = {h: sum(c.values()) for h, c in self.two.items()}
         self.sum1 = sum(self.one.values()) + 1
@@ -70,12 +75,12 @@ class CharModel:
             if n := self.sum2.get(h[1]):
                 p = (self.two[h[1]][c] + 2 * p) / (n + 2)
             if n := self.sum3.get(h):
-                p = (self.three[h][c] + p) / (n + 1)
+                p = (self.three[h].get(c, 0) + p) / (n + 1)
             x = self.memo[h, c] = math.log(p)
         return x
 
     def decode(self, written: str) -> str:
-        """The likeliest word behind the written characters: Viterbi over (last two letters), with the letters so far."""
+        """The likeliest word behind the written characters: Viterbi over (last two letters, letter that may still repeat)."""
         states: dict[tuple[str, str], tuple[float, str]] = {("^^", ""): (0.0, "")}
         for ch in written:
             after: dict[tuple[str, str], tuple[float, str]] = {}
@@ -85,17 +90,21 @@ class CharModel:
                     after[h, last] = (score, word)
 
             letters = [(c, LEET) for c in LOOKALIKES.get(ch, "")]
-            if ch.isalpha():
+            if _is_letter(ch):
                 letters.append((ch, SAME))
             for (h, last), (score, word) in states.items():
                 for c, cost in letters:
                     reach(h[1] + c, c, score + cost + self.logp(h, c), word + c)
                     if c == last:  # one more writing of the same letter
                         reach(h, c, score + cost + DROPPED, word)
-                if not letters or not ch.isalpha():  # a separator, or a sign that stands for nothing
+                if not letters or not _is_letter(ch):  # a separator, or a sign that stands for nothing
                     reach(h, last, score + (DROPPED if not letters else KEPT), word)
-            states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:64])
-        return max(((s + self.logp(h, "$"), w) for (h, _), (s, w) in states.items()), default=(0.0, written))[1]
+            states = after
+        return max(((s + self.logp(h, "$"), w) for (h, _), (s, w) in states.items()), key=lambda x: x[0], default=(0.0, written))[1]
+
+
+def _is_letter(ch: str) -> bool:
+    return "a" <= ch <= "z" or ch >= "\x80"
 
 
 def _fold() -> np.ndarray:
@@ -130,19 +139,20 @@ class Pieces:
         last = np.maximum.accumulate(plain) if len(plain) else plain
         self.start = w.start
         self.end = np.maximum(w.start + 1, np.minimum(w.end, last[w.end - 1])) if len(w.start) else w.end
-        up, down = T._bytes(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(T._BYTE[self.data] * up[: len(self.data)], out=self.sums[1:])
-        self.down = down
+        length = self.end - self.start
+        self.edge = np.append(0, np.cumsum(length))
+        self.at = np.arange(self.edge[-1]) - np.repeat(self.edge[:-1], length) + np.repeat(self.start, length)
+        self.values = T._BYTE[self.data[self.at]]
+        self.sums = T.byte_sums(self.values, length)
 
     def whole(self) -> np.ndarray:
-        return T.mix((self.sums[self.end] - self.sums[self.start]) * self.down[self.start])
+        return T.mix(self.sums[self.edge[1:]] - self.sums[self.edge[:-1]])
 
     def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Words longer than n bytes, and the hash of their first n."""
         at = np.flatnonzero(self.end - self.start > n)
-        s = self.start[at]
-        return at, T.mix((self.sums[s + n] - self.sums[s]) * self.down[s] + U64(n))
+        s = self.edge[at]
+        return at, T.mix(self.sums[s + n] - self.sums[s] + U64(n))
 
     def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices of words and the hashes of one of their features."""
@@ -156,15 +166,14 @@ class Pieces:
         again = np.zeros(len(d), bool)
         again[1:] = (d[1:] == d[:-1]) & _LETTER[d[1:]]
         again[self.start] = False
-        n = _prefix_sums(again)
-        at = np.flatnonzero(n[self.end] > n[self.start])
-        kept = d[~again]
-        up, down = T._bytes(len(kept) + 1)
-        s = np.zeros(len(kept) + 1, U64)
-        np.cumsum(T._BYTE[kept] * up[: len(kept)], out=s[1:])
-        i = self.start[at] - n[self.start[at]]
-        j = self.end[at] - n[self.end[at]]
-        return at, T.mix((s[j] - s[i]) * down[i])
+        gone = _prefix_sums(again[self.at])
+        lost = gone[self.edge[1:]] - gone[self.edge[:-1]]
+        at = np.flatnonzero(lost)
+        length = (self.end - self.start - lost)[at]
+        kept = np.repeat(lost > 0, self.end - self.start) & ~again[self.at]
+        s = T.byte_sums(self.values[kept], length)
+        edge = np.append(0, np.cumsum(length))
+        return at, T.mix(s[edge[1:]] - s[edge[:-1]])
 
     def suspicious(self, known: np.ndarray) -> list[tuple[int, str, bool]]:
         """Text, spelling and whether it is a run of single characters, of each stretch that the channel may have changed.
@@ -174,22 +183,25 @@ class Pieces:
         d = self.data
         letters, signs = _prefix_sums(_LETTER[d]), _prefix_sums(_SIGN[d])
         mixed = (letters[self.end] > letters[self.start]) & (signs[self.end] > signs[self.start])
+        plain_digits = _prefix_sums((d >= 0x30) & (d <= 0x39))
+        n_signs = signs[self.end] - signs[self.start]
+        mixed |= (n_signs == self.end - self.start) & (n_signs >= 3) & (plain_digits[self.end] - plain_digits[self.start] < n_signs)
         thrice = np.zeros(len(d), bool)
         thrice[2:] = (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & _LETTER[d[2:]]
         n = _prefix_sums(thrice)
         mixed |= n[self.end] - n[np.minimum(self.start + 2, self.end)] > 0
         at, plain = self.collapsed()
         mixed[at[_member(known, plain)]] = True
-        out = [(int(self.w.doc[i]), d[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace"), False) for i in np.flatnonzero(mixed)]
-        # single characters, at most two bytes apart
+        out = [(int(self.w.doc[i]), d[self.start[i] : self.end[i]].tobytes().decode("latin-1"), False) for i in np.flatnonzero(mixed)]
+        # single characters, at most three bytes apart
         single = self.end - self.start == 1
         near = np.zeros(len(single), bool)
-        near[1:] = single[1:] & single[:-1] & (self.start[1:] - self.end[:-1] <= 2) & (self.w.doc[1:] == self.w.doc[:-1])
+        near[1:] = single[1:] & single[:-1] & (self.start[1:] - self.end[:-1] <= 3) & (self.w.doc[1:] == self.w.doc[:-1])
         first = np.flatnonzero(~near)
         length = np.diff(np.append(first, len(single)))
         for i, m in zip(first[length >= 3], length[length >= 3], strict=True):
-            chars = d[self.start[i : i + m]].tobytes().decode("utf-8", "replace")
-            if any(c.isalpha() for c in chars):
+            chars = d[self.start[i : i + m]].tobytes().decode("latin-1")
+            if any(_is_letter(c) for c in chars):
                 out.append((int(self.w.doc[i]), chars, True))
         return out
 
@@ -220,7 +232,8 @@ class Classifier:
         if (x := self.memo.get(written)) is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            x = self.memo[written] = self.chars.decode(written)
+            plain = self.chars.decode(written)
+            x = self.memo[written] = plain.encode("latin-1").decode("utf-8", "replace")
         return x
 
     def counts(self, texts: pa.Array) -> list[dict[int, float]]:
@@ -251,7 +264,33 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 2500, features: int = 2500, l2: float = 1.0) -> Classifier:
+def letter_trigrams(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often each trigram of bytes occurs in the plain words of all texts, with two starts and an end around each word."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for part in parts:
+            for p in _pieces(T.column(part, "text")):
+                letters = _prefix_sums(_LETTER[p.data])
+                own = np.flatnonzero(letters[p.end] - letters[p.start] == p.end - p.start)
+                start, length = p.start[own], (p.end - p.start)[own]
+                if not len(own):
+                    continue
+                edge = np.cumsum(length + 3) - (length + 3)
+                s = np.full(int((length + 3).sum()), ord("^"), np.int32)
+                inner = np.repeat(edge + 2, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                s[inner] = p.data[np.repeat(start, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
+                s[edge + length + 2] = ord("$")
+                last = np.concatenate([inner, edge + length + 2])
+                code, n = np.unique(s[last - 2] << 16 | s[last - 1] << 8 | s[last], return_counts=True)
+                total.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["code", "n"])
+
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n")).collect()
+    return {bytes([c >> 16, c >> 8 & 255, c & 255]).decode("latin-1"): n for c, n in sorted(rows)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 2500, sample_bytes: int = 32 << 20, features: int = 2500, l2: float = 1.0) -> Classifier:
     """A classifier from the labels where train (of doc_id) holds."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where(train & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     shares = {r[0]: r[1] for r in own.groupBy("y").count().collect()}
@@ -260,15 +299,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 2500, f
         part = own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows are broadcast
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of 2 * sample rows at most
+    rows = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
     prior = math.log((shares.get(1, 0) + 1e-9) / (shares.get(0, 0) + 1e-9)) if shares else -30.0
     y = rows.column("y").to_numpy()
     text = T.column(rows, "text")
-    words: Counter = Counter()
-    for p in _pieces(text):
-        clean = Counter(p.data[a:b].tobytes() for a, b in zip(p.start, p.end, strict=True) if _LETTER[p.data[a:b]].all())
-        words.update({w.decode("utf-8", "replace"): n for w, n in clean.items()})
-    chars = CharModel(words)
+    chars = CharModel(letter_trigrams(docs))
     if len(np.unique(y)) < 2:
         return Classifier(chars, np.zeros(0, U64), np.zeros(0), max(-30.0, min(30.0, prior)))
     keys = _selected(text, y, features)
