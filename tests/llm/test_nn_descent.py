@@ -40,14 +40,41 @@ def test_odd_vectors_and_copies(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-12)
 
 
-def test_recall_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 300)
+def test_recall_of_a_graph_built_from_random_groups(spark, monkeypatch):
+    monkeypatch.setattr(N, "GROUP", 64)  # lists of 20 begin among 64 of 2,000 vectors
     x = np.random.default_rng(3).normal(size=(2000, 24)).astype(np.float32)
     df = frame(spark, x)
-    found = N.neighbours(df, F.col("vec_id") % 20 == 0)
+    found = N.neighbours(df, F.col("vec_id") % 20 == 0, list_length=20, ef=64)
     assert N.recall(df, found, F.col("vec_id") % 20 == 0) >= 0.9
 
 
+def test_rounds_improve_the_lists(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.astype(np.float16).tobytes())) for i, v in enumerate(x)], "node long, h binary")
+    near = np.argsort(-(x @ x.T) + 4 * np.eye(len(x)), axis=1)[:, :5]
+
+    def share(rows):
+        got = {r.node: set(np.frombuffer(r.nbrs, np.int64).tolist()) for r in rows}
+        return np.mean([len(set(near[i].tolist()) & got[i]) / 5 for i in range(len(x))])
+
+    first = share(N._start(nodes, len(x), 12, 4).collect()) if N.GROUP >= len(x) else 0.0
+    built = share(N.build_graph(nodes, len(x), k=12, sample=8).collect())
+    assert built > 0.8 > first
+
+
+def test_a_hub_and_ties(spark):
+    x = np.tile(np.eye(4, 16, dtype=np.float32), (50, 1)) + np.repeat(np.linspace(0, 1e-3, 50, dtype=np.float32), 4)[:, None]
+    df = frame(spark, x)
+    got = N.neighbours(df, F.col("vec_id") % 10 == 0)
+    want = brute([(i, v.tolist()) for i, v in enumerate(x)], 5, 10)
+    scores = {}
+    for r in got.collect():
+        scores.setdefault(r.query_id, []).append(r.score)
+    for q in want:
+        assert sorted(scores[q], reverse=True) == pytest.approx([s for _, s in want[q]], abs=1e-5)
+
+
 def test_few_and_no_rows(spark):
     df = frame(spark, np.eye(3, 16, dtype=np.float32))
     got = N.neighbours(df, F.col("vec_id") == 0).collect()

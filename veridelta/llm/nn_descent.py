@@ -4,19 +4,23 @@ Dong, Moses and Li, Efficient k-nearest neighbor graph construction for generic
 measures (2011), on tables in the shared folder:
 
 1. Rows with equal vectors are one node, the smallest vec_id; copies are put back at the end.
-2. Nodes start with their nearest neighbours inside random blocks, of two dealings, so
-   that lists lead from block to block.
-3. A round sends each node's lists, forwards and backwards, to the node's block; the block
-   asks once for each distinct vector that its nodes' lists name, compares all members of
-   a list with each other (neighbours of neighbours), and sends back what improves a
-   member's list.  Rounds end when few lists change.
-4. Queries walk the graph greedily from their own node: the best unexpanded nodes' records
-   (vector and list) are joined in, until a round brings no better node among the best EF.
+2. Nodes are dealt twice into random groups of about GROUP and begin with their nearest
+   neighbours there; two dealings lead from group to group.
+3. A round joins neighbours of neighbours.  Each node takes SAMPLE entries of its list that
+   no round has used yet and SAMPLE used ones, and as many of the lists that name it; a join
+   fetches the members' vectors, all pairs with an unused member are compared, and what
+   is nearer than a member's worst entry is merged into that member's list.  Rounds go on
+   until they change less than LEAST of all entries, however many that takes.
+4. Queries walk the graph greedily from their own node: the best unexpanded nodes' lists and
+   then the vectors of what is new in them are joined in, until all of the best EF nodes
+   of a query are expanded.
 5. The best found are scored again in double precision on the original vectors.
 
-What a task holds is bounded by the block size and the list lengths.  Backward lists are
-sampled to twice the forward length, as the paper does; everything else is whole.  recall()
-measures the result against brute force on a stated sample of queries.
+Samples are drawn by a hash of both ends and the round, as in the paper; entries that were
+not drawn stay unused and have their turn later.  Every table has a bounded number of rows
+for each node or query and every task streams over sorted rows, so memory does not depend on
+the data; lists that name a hub are cut to SAMPLE by a window with a rank limit, which Spark
+applies before the exchange too.  recall() measures the result against brute force.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite numbers take no part, neither do rows with a null vec_id; repeated rows
@@ -26,22 +30,22 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import tokens as T
 
-GRAPH = "node long, block int, nbrs binary, sims binary"
-#: list length, nodes of a block, rounds, share of list entries that must change, beam, expansions of a round
-K, BLOCK, ROUNDS, LEAST, EF, WIDTH = 40, 2048, 8, 0.002, 128, 48
-#: queries that walk together and share the records they have met
-PART = 128
+U64 = np.uint64
+#: h: vector in half precision; bar: the worst similarity of a full list; fresh: which entries no round has used
+RECORD = "node long, h binary, nbrs binary, sims binary, fresh binary, bar float"
+FOUND = "node long, nbrs binary, sims binary"
+#: list length, entries a node hands on in a round, nodes of a random group, share of entries that must change, beam, expansions of a round
+K, SAMPLE, GROUP, LEAST, EF, WIDTH = 40, 16, 128, 0.002, 128, 32
 
 
 def usable(emb: DataFrame, key: str, vector: str) -> DataFrame:
@@ -61,224 +65,283 @@ def _unit(v: pa.Array) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _vectors(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in x], pa.binary())
-
-
 def _matrix(c: pa.Array, dtype: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(c.to_pylist()), dtype).reshape(len(c), -1) if len(c) else np.zeros((0, 1), dtype)
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best distinct ids, best first; ties to the smaller id."""
-    order = np.lexsort((ids, -sims))
-    ids, sims = ids[order], sims[order]
-    _, first = np.unique(ids, return_index=True)
-    first.sort()
-    return ids[first[:k]], sims[first[:k]]
-
-
-def _start(nodes: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    """Lists from brute force inside random blocks, dealt twice."""
-
-    def within(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, x = T.column(table, "node").to_numpy(), _matrix(T.column(table, "x"))
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        m = min(k, len(ids) - 1)
-        best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m > 0 else np.zeros((len(ids), 0), np.int64)
-        sims = np.take_along_axis(s, best, 1)
-        return pa.table({"node": ids, "block": pa.array(np.full(len(ids), key[0].as_py()), pa.int32()), "nbrs": pa.array([ids[b].tobytes() for b in best], pa.binary()), "sims": pa.array([b.tobytes() for b in sims], pa.binary())})
-
-    if n_blocks == 1:
-        return B.stored(nodes.groupBy("block").applyInArrow(within, GRAPH), "graph")
-    deal = F.pmod(F.xxhash64("node", F.lit("again")), F.lit(n_blocks)).cast("int")
-    again = nodes.select("node", "x", deal.alias("block")).groupBy("block").applyInArrow(within, GRAPH)
-    both = nodes.groupBy("block").applyInArrow(within, GRAPH).unionByName(again.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int")))
-
-    def united(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lists: dict[int, list[tuple[bytes, bytes]]] = defaultdict(list)
-        for node, a, b in zip(*(table.column(c).to_pylist() for c in ("node", "nbrs", "sims")), strict=True):
-            lists[node].append((a, b))
-        best = [_top(np.concatenate([np.frombuffer(a, np.int64) for a, _ in x]), np.concatenate([np.frombuffer(b, np.float32) for _, b in x]), k) for x in lists.values()]
-        return pa.table({"node": pa.array(list(lists), pa.int64()), "block": pa.array([key[0].as_py()] * len(best), pa.int32()), "nbrs": pa.array([i.tobytes() for i, _ in best], pa.binary()), "sims": pa.array([s.astype(np.float32).tobytes() for _, s in best], pa.binary())})
-
-    return B.stored(both.groupBy("block").applyInArrow(united, GRAPH), "graph")
-
-
-def _round(graph: DataFrame, nodes: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    """One round: the graph with improved lists, and how many entries of each are new (changed)."""
-
-    def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            if not p.num_rows:
-                continue
-            node = T.column(p, "node").to_numpy()
-            lists = [np.frombuffer(b, np.int64) for b in T.column(p, "nbrs").to_pylist()]
-            sims = np.concatenate([np.frombuffer(b, np.float32) for b in T.column(p, "sims").to_pylist()])
-            u, v = np.repeat(node, [len(x) for x in lists]), np.concatenate(lists)
-            back = np.repeat([False, True], len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, v]), pa.array(np.r_[v, u]), pa.array(np.r_[sims, sims]), pa.array(back)], names=["at", "member", "sim", "back"])
-
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(n_blocks)).cast("int")
+def _binaries(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
-    edges = B.stored(graph.mapInArrow(links, "at long, member long, sim float, back boolean").withColumn("block", block("at")), "edges")
-    bound = graph.select(F.col("node").alias("member"), F.col("sims"))
 
-    def worst(c: pa.Array, kk: int) -> np.ndarray:
+def _flat(c: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binaries, and how many each has."""
+    parts = c.to_pylist()
+    return np.frombuffer(b"".join(parts), dtype), np.array([len(x) // np.dtype(dtype).itemsize for x in parts], np.int64)
+
+
+def _cut(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary for each stretch of x."""
+    size, raw, at = x.dtype.itemsize, np.ascontiguousarray(x).tobytes(), np.append(0, np.cumsum(lengths))
+    return pa.array([raw[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
+def _rank(group: np.ndarray) -> np.ndarray:
+    """Place of each row in its run of equal values."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.arange(len(group)) - np.repeat(at, np.diff(np.append(at, len(group))))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of a partition sorted by key that hold all rows of each of their keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = b.column(key).to_numpy()
+        new = np.flatnonzero(at[1:] != at[:-1])
+        if held and at[0] != held[-1].column(key)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):  # the last key may go on in the next batch
+            cut = int(new[-1]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _grouped(rows: DataFrame, parts: int, key: str, f, schema: str, *order: str) -> DataFrame:
+    """f over tables of whole groups of key, in sorted partitions: no group or partition is held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, key):
+            yield from f(table).to_batches()
+
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def _best(u: np.ndarray, w: np.ndarray, s: np.ndarray, k: int) -> pa.Table:
+    """FOUND rows: the k best w of each u by similarity."""
+    nodes, place = np.unique(u, return_inverse=True)
+    bits = s.astype(np.float32).view(np.uint32)
+    down = np.where(s < 0, bits, np.uint32(0x7FFFFFFF) - bits)  # ascending for falling similarity
+    order = np.argsort(place.astype(U64) << U64(32) | down.astype(U64), kind="stable")
+    place, w, s = place[order], w[order], s[order]
+    again = np.zeros(len(w), bool)
+    again[1:] = (w[1:] == w[:-1]) & (place[1:] == place[:-1])
+    place, w, s = place[~again], w[~again], s[~again]
+    keep = _rank(place) < k
+    place, w, s = place[keep], w[keep], s[keep]
+    n = np.bincount(place, minlength=len(nodes))
+    return pa.table({"node": nodes, "nbrs": _cut(w, n), "sims": _cut(s.astype(np.float32), n)})
+
+
+def _start(nodes: DataFrame, n: int, k: int, parts: int) -> DataFrame:
+    """FOUND rows from brute force inside random groups, dealt twice."""
+    groups = max(1, n // GROUP)
+    deal = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(groups)) * 2 + i
+    rows = nodes.select(F.explode(F.array(deal(0), deal(1))).alias("group"), "node", "h")
+
+    def within(table: pa.Table) -> pa.Table:
+        at, ids = (T.column(table, c).to_numpy() for c in ("group", "node"))
+        x = _matrix(T.column(table, "h"), np.float16).astype(np.float32)
+        edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
         out = []
-        for b in c.to_pylist():
-            s = np.frombuffer(b, np.float32)
-            out.append(s.min() if len(s) >= kk else -np.inf)
-        return np.array(out, np.float32)
-
-    asked = edges.select("block", "member").union(edges.select("block", F.col("at").alias("member"))).distinct()
-    got = asked.join(nodes.select(F.col("node").alias("member"), "x"), "member").join(bound, "member")
-    got = got.select(*[F.col(c).alias(c) for c in ("block", "member", "x", "sims")])  # new columns: both sides of the cogroup come from the edges
-
-    def join(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
-        ids = T.column(known, "member").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], _matrix(T.column(known, "x"))[order]
-        bar = worst(T.column(known, "sims"), k)[order]
-        at, member, sim, back = (T.column(own, c).to_numpy(zero_copy_only=False) for c in ("at", "member", "sim", "back"))
-        order = np.lexsort((-sim, back, at))
-        at, member, back = at[order], np.searchsorted(ids, member[order]), back[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        us, ws, ss = [], [], []
-        for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
-            forward = int(np.count_nonzero(~back[i:j]))
-            m = np.unique(np.r_[member[i : min(j, i + forward + 2 * k)], np.searchsorted(ids, at[i])])
-            s = x[m] @ x[m].T
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            s = x[i:j] @ x[i:j].T
             np.fill_diagonal(s, -np.inf)
-            a, b = np.nonzero(s > bar[m][:, None])
-            us.append(m[a])
-            ws.append(m[b])
-            ss.append(s[a, b])
-        u, w, s = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (us, ws, ss))
-        order = np.lexsort((w, -s, u))
-        u, w, s = u[order], w[order], s[order]
-        new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])] if len(u) else np.zeros(0, bool)
-        u, w, s = u[new], w[new], s[new]
-        begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-        rank = np.arange(len(u)) - np.repeat(begin, np.diff(np.append(begin, len(u))))
-        u, w, s = u[rank < k], w[rank < k], s[rank < k]
-        begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-        ends = np.append(begin[1:], len(u))
-        return pa.table({"node": pa.array(ids[u[begin]], pa.int64()), "nbrs": pa.array([ids[w[i:j]].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary()), "sims": pa.array([s[i:j].astype(np.float32).tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary())})
-
-    better = edges.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(join, "node long, nbrs binary, sims binary").withColumn("block", block("node"))
-
-    def merge(key: tuple[pa.Scalar, ...], old: pa.Table, found: pa.Table) -> pa.Table:
-        more: dict[int, list[tuple[bytes, bytes]]] = defaultdict(list)
-        for node, a, b in zip(*(found.column(c).to_pylist() for c in ("node", "nbrs", "sims")), strict=True):
-            more[node].append((a, b))
-        nbrs, sims, changed = [], [], []
-        for node, a, b in zip(*(old.column(c).to_pylist() for c in ("node", "nbrs", "sims")), strict=True):
-            extra = more.get(node, [])
-            if extra:
-                was = np.frombuffer(a, np.int64)
-                ids, s = _top(np.concatenate([was, *(np.frombuffer(x, np.int64) for x, _ in extra)]), np.concatenate([np.frombuffer(b, np.float32), *(np.frombuffer(x, np.float32) for _, x in extra)]), k)
-                changed.append(len(np.setdiff1d(ids, was)))
-                a, b = ids.tobytes(), s.astype(np.float32).tobytes()
-            else:
-                changed.append(0)
-            nbrs.append(a)
-            sims.append(b)
-        return pa.table({"node": old.column("node"), "block": old.column("block"), "nbrs": pa.array(nbrs, pa.binary()), "sims": pa.array(sims, pa.binary()), "changed": pa.array(changed, pa.int32())})
-
-    return B.stored(graph.select("node", "block", "nbrs", "sims").groupBy("block").cogroup(better.groupBy("block")).applyInArrow(merge, f"{GRAPH}, changed int"), "graph")
-
-
-def build_graph(nodes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """Neighbour lists of all nodes (node, x, block), n in number."""
-    n_blocks = _blocks(n)
-    graph = _start(nodes, n_blocks, k)
-    for _ in range(rounds if n_blocks > 1 else 0):
-        graph = _round(graph, nodes, n_blocks, k)
-        B.release(nodes.sparkSession)
-        if graph.agg(F.sum("changed")).first()[0] <= LEAST * n * k:
-            break
-    return graph.select("node", "block", "nbrs", "sims")
-
-
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
-STATE = "q long, part int, vector binary, ids binary, sims binary, open binary, moved boolean"
-
-
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n_queries: int, ef: int = EF, width: int = WIDTH, rounds: int = 32) -> DataFrame:
-    """(q, found, sim) of the ef nodes nearest to each query node that greedy search meets."""
-    parts = max(1, -(-n_queries // PART))
-    record = graph.join(nodes.select("node", "x"), "node").select("node", "x", "nbrs")
-    record = B.stored(record, "records")
-    own = queries.select(F.col("node").alias("q")).join(graph, F.col("q") == F.col("node"))
-    own = own.join(nodes.select(F.col("node").alias("q"), F.col("x").alias("vector")), "q")
+            m = min(k, j - i - 1)
+            if m > 0:
+                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                out.append((np.repeat(ids[i:j], m), ids[i:j][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        u, w, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return _best(u, w, s, k)
+
+    return _grouped(rows, parts, "group", within, FOUND)
+
+
+def _chosen(node: np.ndarray, nbr: np.ndarray, fresh: np.ndarray, n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries that a round hands on: n unused and n used ones of each node, by a hash; and the hash of all."""
+    mark = T.mix(T.mix(node.view(U64) + U64(turn)) ^ T.mix(nbr.view(U64) * U64(0x9E3779B97F4A7C15)))
+    order = np.lexsort((mark, ~fresh, node))
+    first = np.r_[True, (node[order][1:] != node[order][:-1]) | (fresh[order][1:] != fresh[order][:-1])] if len(order) else np.zeros(0, bool)
+    return order[_rank(np.cumsum(first)) < n], mark
+
+
+def _merge(records: DataFrame, found: DataFrame, k: int, sample: int, turn: int, parts: int) -> DataFrame:
+    """The records with found entries merged in, and how many entries are new (changed); entries that round `turn` has used are no longer fresh."""
+    rows = records.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def merge(table: pa.Table) -> pa.Table:
+        kind = T.column(table, "kind").to_numpy()
+        own = table.filter(pa.array(kind == 0))
+        nodes, place = np.unique(T.column(table, "node").to_numpy(), return_inverse=True)
+        (ids, n), (sims, _) = _flat(T.column(table, "nbrs"), np.int64), _flat(T.column(table, "sims"), np.float32)
+        at, late = np.repeat(place, n), np.repeat(kind, n)
+        fresh = np.ones(len(ids), bool)
+        fresh[late == 0] = _flat(T.column(own, "fresh"), np.bool_)[0]
+        mine = np.flatnonzero(late == 0)
+        used, _ = _chosen(nodes[at[mine]], ids[mine], fresh[mine], sample, turn)
+        fresh[mine[used]] = False
+        order = np.lexsort((late, ids, at))  # of a repeated entry the record's stays
+        at, ids, sims, late, fresh = (x[order] for x in (at, ids, sims, late, fresh))
+        once = np.r_[True, (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])] if len(at) else np.zeros(0, bool)
+        at, ids, sims, late, fresh = (x[once] for x in (at, ids, sims, late, fresh))
+        order = np.lexsort((ids, -sims, at))
+        at, ids, sims, late, fresh = (x[order] for x in (at, ids, sims, late, fresh))
+        keep = _rank(at) < k
+        at, ids, sims, late, fresh = (x[keep] for x in (at, ids, sims, late, fresh))
+        n = np.bincount(at, minlength=len(nodes))
+        bar = np.full(len(nodes), -2, np.float32)
+        full = n >= k
+        bar[full] = sims[np.cumsum(n)[full] - 1]
+        changed = np.bincount(at, late, len(nodes)).astype(np.int32)
+        return pa.table({"node": nodes, "h": T.column(own, "h"), "nbrs": _cut(ids, n), "sims": _cut(sims, n), "fresh": _cut(fresh, n), "bar": bar, "changed": changed})
+
+    return B.stored(_grouped(rows, parts, "node", merge, f"{RECORD}, changed int", "kind"), "graph")
+
+
+def _joined(records: DataFrame, k: int, sample: int, turn: int, parts: int) -> DataFrame:
+    """FOUND rows of one round: pairs of members of a node's lists, forwards and backwards."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            (ids, n), (fresh, _) = _flat(T.column(p, "nbrs"), np.int64), _flat(T.column(p, "fresh"), np.bool_)
+            node = np.repeat(T.column(p, "node").to_numpy(), n)
+            go, mark = _chosen(node, ids, fresh, sample, turn)
+            u, v, f, m = node[go], ids[go], fresh[go], mark[go].view(np.int64)
+            back = np.repeat([False, True], len(u))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[u, v], np.r_[v, u], np.r_[f, f], back, np.r_[m, m])], names=["at", "member", "fresh", "back", "mark"])
+
+    every = B.stored(records.select("node", "nbrs", "fresh").mapInArrow(links, "at long, member long, fresh boolean, back boolean, mark long"), "links")
+    backward = every.where("back").withColumn("i", F.row_number().over(_by(("at", "fresh"), "mark", "member"))).where(F.col("i") <= sample).drop("i")
+    asked = every.where("not back").unionByName(backward).select("at", "member", "fresh")
+    rows = asked.join(records.select(F.col("node").alias("member"), "h", "bar"), "member")
+
+    def join(table: pa.Table) -> pa.Table:
+        at, member, fresh, bar = (T.column(table, c).to_numpy(zero_copy_only=False) for c in ("at", "member", "fresh", "bar"))
+        once = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (member[1:] != member[:-1])])
+        fresh = np.logical_or.reduceat(fresh, once)
+        at, member, bar = at[once], member[once], bar[once]
+        x = _matrix(T.column(table.select(["h"]).take(once), "h"), np.float16).astype(np.float32)
+        place = _rank(at)
+        group = np.cumsum(place == 0) - 1
+        out = []
+        width = int(place.max()) + 1
+        step = max(1, (1 << 20) // (width * max(width, x.shape[1])))  # groups compared at once
+        for lo in range(0, int(group[-1]) + 1, step):
+            i, j = np.searchsorted(group, [lo, lo + step])
+            g, p = group[i:j] - lo, place[i:j]
+            shape = (int(g[-1]) + 1, width)
+            padded = np.zeros((*shape, x.shape[1]), np.float32)
+            padded[g, p] = x[i:j]
+            row = np.full(shape, -1, np.int64)
+            row[g, p] = np.arange(i, j)
+            bars, new = np.full(shape, np.inf, np.float32), np.zeros(shape, bool)
+            bars[g, p], new[g, p] = bar[i:j], fresh[i:j]
+            s = padded @ padded.transpose(0, 2, 1)
+            fit = (s > bars[:, :, None]) & (new[:, :, None] | new[:, None, :]) & (row[:, None, :] >= 0)
+            fit[:, np.arange(width), np.arange(width)] = False
+            a, b, c = np.nonzero(fit)
+            out.append((member[row[a, b]], member[row[a, c]], s[a, b, c]))
+        u, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return _best(u, w, s, k)
+
+    return _grouped(rows, parts, "at", join, FOUND, "member")
+
+
+def build_graph(nodes: DataFrame, n: int, k: int = K, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
+    """RECORD rows: the neighbour lists of all nodes (node, h), n in number."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 8192))
+    empty = nodes.select("node", "h", *[F.lit(b"").alias(c) for c in ("nbrs", "sims", "fresh")], F.lit(-2.0).cast("float").alias("bar"))
+    records = _merge(empty, _start(nodes, n, k, parts), k, sample, 0, parts).drop("changed")
+    turn = 0
+    while True:
+        merged = _merge(records, _joined(records, k, sample, turn, parts), k, sample, turn, parts)
+        records, turn = merged.drop("changed"), turn + 1
+        if (merged.agg(F.sum("changed")).first()[0] or 0) <= least * n * k:
+            return records
+
+
+STATE = "q long, v binary, ids binary, sims binary, open binary, seen binary"
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF, width: int = WIDTH) -> DataFrame:
+    """(q, found) of the ef nodes nearest to each query node that greedy search meets."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = B.stored(graph.select("node", "nbrs"), "lists")
+    own = queries.select(F.col("node").alias("q")).join(graph.select(F.col("node").alias("q"), "nbrs", "sims"), "q")
+    own = own.join(nodes.select(F.col("node").alias("q"), F.col("x").alias("v")), "q")
+    names = [c.split()[0] for c in STATE.split(", ")]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            lists = [np.frombuffer(b, np.int64) for b in p.column("nbrs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([p.column("q"), p.column("part"), p.column("vector"), p.column("nbrs"), p.column("sims"), pa.array([np.ones(len(x), bool).tobytes() for x in lists], pa.binary()), pa.array([len(x) > 0 for x in lists])], names=[c.split()[0] for c in STATE.split(", ")])
+            _, n = _flat(p.column("nbrs"), np.int64)
+            yield pa.RecordBatch.from_arrays([p.column("q"), p.column("v"), p.column("nbrs"), p.column("sims"), _cut(np.ones(int(n.sum()), bool), n), p.column("nbrs")], names=names)
 
-    state = own.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).select("q", "part", "vector", "nbrs", "sims").mapInArrow(begin, STATE)
-    state = B.stored(state, "beams")
+    state = B.stored(own.mapInArrow(begin, STATE), "beams")
 
-    def beams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expanded(open_: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(open_)[:width]  # beams are sorted, best first
+
+    def expansions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            lists = [np.frombuffer(b, np.int64) for b in p.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column("part").to_numpy(), [len(x) for x in lists]), pa.int32()), pa.array(np.concatenate(lists) if lists else [], pa.int64())], names=["part", "node"])
-
-    def fetched(asked: DataFrame) -> DataFrame:
-        """Records of the nodes that a part asks for; a part asks for a node once."""
-        return B.stored(asked.join(record, "node").select("part", "node", "x", "nbrs"), "met")
-
-    def ask(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
-        ids = T.column(known, "node").to_numpy()
-        place = {int(i): j for j, i in enumerate(ids)}
-        lists = known.column("nbrs").to_pylist()
-        near = [ids[:0]]
-        for a, still in zip(own.column("ids").to_pylist(), own.column("open").to_pylist(), strict=True):
-            go = np.frombuffer(a, np.int64)[np.frombuffer(still, bool)][:width]
-            near += [np.frombuffer(lists[place[int(i)]], np.int64) for i in go]
-        new = np.setdiff1d(np.concatenate(near), ids)
-        return pa.table({"part": pa.array(np.full(len(new), key[0].as_py()), pa.int32()), "node": pa.array(new, pa.int64())})
-
-    def walk(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
-        ids = T.column(known, "node").to_numpy()
-        x = _matrix(T.column(known, "x"))
-        place = {int(i): j for j, i in enumerate(ids)}
-        lists = known.column("nbrs").to_pylist()
-        out = {c: [] for c in ("ids", "sims", "open", "moved")}
-        for q, v, a, s, still in zip(*(own.column(c).to_pylist() for c in ("q", "vector", "ids", "sims", "open")), strict=True):
-            have, sim, still = np.frombuffer(a, np.int64), np.frombuffer(s, np.float32), np.frombuffer(still, bool).copy()
-            go = np.flatnonzero(still)[:width]
-            still[go] = False
-            near = [np.frombuffer(lists[place[int(i)]], np.int64) for i in have[go]]
-            new = np.setdiff1d(np.concatenate(near), np.r_[have, q]) if near else have[:0]
-            near_x = x[[place[int(i)] for i in new]] if len(new) else np.zeros((0, len(v) // 4), np.float32)
-            all_ids, all_sims = np.r_[have, new], np.r_[sim, near_x @ np.frombuffer(v, np.float32)]
-            fresh = np.r_[still, np.ones(len(new), bool)]
-            best = np.lexsort((all_ids, -all_sims))[:ef]
-            out["ids"].append(all_ids[best].tobytes())
-            out["sims"].append(all_sims[best].astype(np.float32).tobytes())
-            out["open"].append(fresh[best].tobytes())
-            out["moved"].append(bool(fresh[best].any()))
-        return pa.table([own.column("q"), own.column("part"), own.column("vector"), *(pa.array(out[c], pa.binary()) for c in ("ids", "sims", "open")), pa.array(out["moved"], pa.bool_())], names=[c.split()[0] for c in STATE.split(", ")])
-
-    known = fetched(state.mapInArrow(beams, "part int, node long").distinct())
-    for _ in range(rounds):
-        if state.where("moved").limit(1).count() == 0:
+            q, node = [], [np.zeros(0, np.int64)]
+            for i, a, o in zip(p.column("q").to_pylist(), p.column("ids").to_pylist(), p.column("open").to_pylist(), strict=True):
+                node.append(np.frombuffer(a, np.int64)[expanded(np.frombuffer(o, bool))])
+                q += [i] * len(node[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(node))], names=["q", "node"])
+
+    def unseen(table: pa.Table) -> pa.Table:
+        q = T.column(table, "q").to_numpy()
+        (ids, n), kind = _flat(T.column(table, "nbrs"), np.int64), T.column(table, "kind").to_numpy()
+        at, known = np.repeat(q, n), np.repeat(kind == 0, n)
+        order = np.lexsort((~known, ids, at))
+        at, ids, known = at[order], ids[order], known[order]
+        new = (np.r_[True, (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])] if len(at) else np.zeros(0, bool)) & ~known & (at != ids)
+        return pa.table({"q": at[new], "node": ids[new]})
+
+    def walk(table: pa.Table) -> pa.Table:
+        kind, q = T.column(table, "kind").to_numpy(), T.column(table, "q").to_numpy()
+        edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
+        node, x = T.column(table, "node"), T.column(table, "x")
+        old = {c: T.column(table, c) for c in ("v", "ids", "sims", "open", "seen")}
+        out: dict[str, list] = {c: [] for c in names}
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            assert kind[i] == 0, "a query's own row comes first"
+            v, a, s, o, seen = (old[c][i].as_py() for c in ("v", "ids", "sims", "open", "seen"))
+            ids, sims, open_ = np.frombuffer(a, np.int64), np.frombuffer(s, np.float32), np.frombuffer(o, bool).copy()
+            open_[expanded(open_)] = False
+            if j > i + 1:
+                new = node.slice(i + 1, j - i - 1).to_numpy()
+                near = _matrix(x.slice(i + 1, j - i - 1)) @ np.frombuffer(v, np.float32)
+                ids, sims, open_ = np.r_[ids, new], np.r_[sims, near], np.r_[open_, np.ones(len(new), bool)]
+                seen += new.tobytes()
+            best = np.lexsort((ids, -sims))[:ef]
+            row = (int(q[i]), v, ids[best].tobytes(), sims[best].astype(np.float32).tobytes(), open_[best].tobytes(), seen)
+            for c, y in zip(names, row, strict=True):
+                out[c].append(y)
+        return pa.table({c: pa.array(y, pa.int64() if c == "q" else pa.binary()) for c, y in out.items()})
+
+    vectors = nodes.select("node", "x")
+    while True:
+        go = B.stored(state.select("q", "ids", "open").mapInArrow(expansions, "q long, node long"), "expansions")
+        if go.isEmpty():
             break
-        known = known.unionByName(fetched(state.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(ask, "part int, node long")))
-        state = B.stored(state.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(walk, STATE), "beams")
+        near = go.join(lists, "node").select("q", "nbrs", F.lit(1).alias("kind"))
+        known = state.select("q", F.col("seen").alias("nbrs"), F.lit(0).alias("kind"))
+        new = B.stored(_grouped(known.unionByName(near), parts, "q", unseen, "q long, node long"), "met")
+        rows = state.withColumn("kind", F.lit(0)).unionByName(new.join(vectors, "node").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        state = B.stored(_grouped(rows, parts, "q", walk, STATE, "kind"), "beams")
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            lists = [np.frombuffer(b, np.int64) for b in p.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column("q").to_numpy(), [len(x) for x in lists]), pa.int64()), pa.array(np.concatenate(lists) if lists else [], pa.int64())], names=["q", "found"])
+            ids, n = _flat(p.column("ids"), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column("q").to_numpy(), n)), pa.array(ids)], names=["q", "found"])
 
     return state.mapInArrow(result, "q long, found long")
 
@@ -295,23 +358,22 @@ def neighbours(emb: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     rows = B.stored(usable(emb, key, vector), "vectors")
     copies = B.stored(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "distinct")
     n = copies.count()
-    n_blocks = _blocks(n)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
             if p.num_rows:
-                yield pa.RecordBatch.from_arrays([p.column("node"), _vectors(_unit(p.column("v")))], names=["node", "x"])
+                x = _unit(p.column("v"))
+                yield pa.RecordBatch.from_arrays([p.column("node"), _binaries(x), _binaries(x.astype(np.float16))], names=["node", "x", "h"])
 
-    nodes = copies.mapInArrow(units, "node long, x binary").withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int"))
-    nodes = B.stored(nodes, "nodes")
-    graph = build_graph(nodes, n, list_length)
+    nodes = B.stored(copies.mapInArrow(units, "node long, x binary, h binary"), "nodes")
+    graph = build_graph(nodes.select("node", "h"), n, max(list_length, k))
     # a node's first k + 1 rows are enough for any query; ranks are limited before the exchange
     members = rows.join(copies, "v").select("node", "vec_id")
     members = B.stored(members, "members")
     few = members.withColumn("i", F.row_number().over(_by("node", "vec_id"))).where(F.col("i") <= k + 1).select("node", "vec_id")
     queries = members.where(is_query).select(F.col("vec_id").alias("query_id"), "node")
     own = B.stored(queries.select("node").distinct(), "query-nodes")
-    found = search(graph, nodes, own, own.count(), max(ef, 4 * k))
+    found = search(graph, nodes, own, max(ef, 4 * k))
     found = found.union(own.select(F.col("node").alias("q"), F.col("node").alias("found")))
     of = lambda name: copies.select(F.col("node").alias(name), F.col("v").alias(f"v_{name}"))
     exact = B.stored(found.join(of("q"), "q").join(of("found"), "found").select("q", "found", cosine(F.col("v_q"), F.col("v_found")).alias("score")), "scores")
@@ -322,10 +384,8 @@ def neighbours(emb: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _by(key: str, *order: Column | str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
+def _by(key: str | tuple[str, ...], *order: Column | str) -> WindowSpec:
+    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
 
 
 def recall(emb: DataFrame, found: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> float:
