@@ -23,14 +23,38 @@ def test_scan(spark):
     assert L.scan(df.where("doc_id > 100")).collect() == []
 
 
-def test_held_out_accuracy():
+def plain(text):
+    """Family and probability of a paragraph by the model's definition."""
     w, b, t = L.model()
-    right = 0
-    held = L._variants(99, 8)
-    for x, y in held:
-        z = {f: (sum(w.get((g, f), 0.0) for g in x) + b[f]) / t for f in L.TEMPLATES}
-        right += max(z, key=z.get) == y
-    assert right / len(held) > 0.93
+    grams = L.ngrams(L._words(text))
+    p = L._softmax({f: (sum(w.get((g, f), 0.0) for g in grams) + b[f]) / t for f in L.TEMPLATES})
+    f = max(p, key=lambda x: (p[x], x))
+    return f, p[f]
+
+
+def test_held_out_accuracy():
+    variants = L._variants(99, 8)
+    w, b, _ = L.model()
+    right = sum(max(L.TEMPLATES, key=lambda f: sum(w.get((g, f), 0.0) for g in x) + b[f]) == y for x, y in variants)
+    assert right / len(variants) > 0.93
+    # lines of other origin, which only set the temperature
+    assert sum(plain(t)[0] == f for t, f in L.HELD) / len(L.HELD) > 0.85
+    assert len(L.TEMPLATES) > 20
+
+
+def test_against_plain_python(spark):
+    """Scores, similarities and families of lines, by their definition."""
+    lines = [t for t, _ in L.HELD] + [t for texts in L.TEMPLATES.values() for t in texts] + ["", "erre thon", "cc cc cc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(len(lines) + i, t) for i, t in enumerate(lines[:9] * 3)], "doc_id long, text string")
+    want = []
+    for r in df.collect():
+        f, p = plain(r.text)
+        if f != "unknown" and p >= 0.5 and any(a in r.text.lower() for a in L.ANCHORS):
+            own = set(L._pairs(L._words(r.text)))
+            alike = max(len(own & set(x)) / len(x) for t in L.TEMPLATES[f] if (x := L._pairs(L._words(t))))
+            want.append((r.doc_id, f, round(p, 4), round(alike, 4)))
+    got = [(r.doc_id, r.family, round(r.probability, 4), round(r.similarity, 4)) for r in L.scan(df).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_no_python_on_executors(spark):
@@ -44,14 +68,7 @@ def test_notices_without_licen(spark):
     notices = ["Distributed under GPL-3.0-or-later", "CC BY-NC 4.0", "CC BY 4.0", "Apache-2.0", "BSD 3-Clause", "GNU General Public", "Subject to the terms of the Mozilla Public, v. 2.0."]
     rows = [(i, f"thon\n{x}\nerre") for i, x in enumerate(notices)] + [(99, "erre thon\nApache2 is a server; the account was closed; thon")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    w, b, t = L.model()
-
-    def family(text):
-        grams = L.ngrams(L._words(text))
-        z = {f: sum(w.get((g, f), 0.0) for g in grams) + b[f] for f in L.TEMPLATES}
-        return max(z, key=z.get), L._softmax({f: v / t for f, v in z.items()})
-
-    want = [(i, k, f, round(p[f], 5)) for i, text in rows for k, line in enumerate(text.split("\n")) for f, p in [family(line)] if f != "unknown" and p[f] >= 0.5]
+    want = [(i, k, f, round(p, 5)) for i, text in rows for k, line in enumerate(text.split("\n")) for f, p in [plain(line)] if f != "unknown" and p >= 0.5]
     got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 5)) for r in L.scan(df).collect()]
     assert sorted(got) == sorted(want)
     assert {(0, "gpl-3.0"), (1, "cc-by-nc-4.0"), (3, "apache-2.0")} <= {(d, f) for d, _, f, _ in got}
