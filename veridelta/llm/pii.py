@@ -2,9 +2,10 @@
 
 Base spans are exact formats (email, ip, card with Luhn, phone) and always stay.  Weaker
 candidates (spelled-out addresses, national phone numbers, grouped long numbers, identity
-numbers) come from one more pattern.  Three labelers vote +1, 0 or -1 on every candidate: the
-strict format (regex), lists of known domains, ranges and prefixes (gazetteer) and words
-before the span (context).  Only the counts of vote patterns, a table whose size is fixed
+numbers, keys and tokens, account numbers) come from further patterns.  Three labelers vote
++1, 0 or -1 on every candidate of either sort alike: a stricter form of the kind, with its
+check digits where it has some (regex), lists of known domains, ranges, prefixes and lengths
+(gazetteer), and words before the span (context).  Only the counts of vote patterns, a table whose size is fixed
 by the number of kinds and votes, reach the driver: expectation-maximisation (Dawid and
 Skene, 1979) estimates each labeler's reliability there, and a logistic span classifier is
 trained on the posteriors with votes and surface features.  Its weights are literals in the
@@ -14,7 +15,7 @@ A regular expression gives no positions: the text is split by it too, and length
 and matches add up to code-point offsets.  Patterns use possessive loops and fixed look-
 behinds, so that long runs neither recurse nor rescan.
 
-Defined cases: null and empty texts have no spans; every row is answered on its own, with
+Defined cases: null and empty texts have no spans (very long ones are read whole); every row is answered on its own, with
 null and repeated ids too; other columns pass through `annotate`, which replaces `pii_`
 columns only; an empty table gives no rows and accepts no weaker candidates.
 """
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret", "iban")
 _SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
 _LOCAL = "A-Za-z0-9._%+-"
 #: \G: also right after a match, where a look-behind would see the match's last character
@@ -37,12 +38,24 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: what a text must contain for a pattern to match; saves the scan
-_SIGN = {"email": "@", "phone": "+"}
+_SIGN = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 WEAK = {
-    "email": rf"(?<![{_LOCAL}])[A-Za-z0-9._%+-]++(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]++(?: ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z]{{2,6}}(?![A-Za-z])",
+    "email": rf"(?i)(?<![{_LOCAL}])[a-z0-9._%+-]++(?: ?[\[({{]at[\])}}] ?| at )[a-z0-9-]++(?: ?[\[({{]dot[\])}}] ?| dot )[a-z]{{2,6}}(?![a-z])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9-])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}(?![0-9])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+}
+#: what a text must match for a weaker pattern to be searched for
+_WEAK_SIGN = {"email": "(?i)[^a-z]dot[^a-z]", "phone": "[0-9]{3}[-. ][0-9]{4}", "card": "[0-9]{4}[ -][0-9]", "id": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z0-9_-]{20}", "iban": "[A-Z]{2}[0-9]{2}"}
+#: regex labeler: forms for and against; card and iban are decided by their check digits
+STRICT = {
+    "email": (r"^[A-Za-z0-9](?:[A-Za-z0-9_%+-]|[.](?![.]))*(?:@| ?[\[({]).*[A-Za-z]{2,6}$", r"\.\.|^[.]|@-|[0-9]$"),
+    "ip": (r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", r"(?:^|\.)0[0-9]"),
+    "phone": (r"^(?:\+[0-9]{1,3}[ (.-]|\([0-9]{3}\)|[2-9][0-9]{2}([-. ])[2-9][0-9]{2}\1)", r"\.[0-9]{1,2}\.|([0-9])\1{6}"),
+    "id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:000|666|9)|-00-|-0000$|([0-9])\1\1-\1\1-\1{4}"),
+    "secret": (r"^(?=(?:.*?[0-9]){6})(?=(?:.*?[A-Za-z]){4})", r"^(?:[a-z]+[-_])+[0-9]*$|[-_]{3}|^[0-9-]+$"),
 }
 GAZETTEER = {
     "email": (r"(?i)[. ](com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$", r"(?i)@(localhost|invalid)"),
@@ -50,6 +63,8 @@ GAZETTEER = {
     "card": (r"^(4|5[1-5]|2[2-7]|3[4-7]|6011|65)", r"^0"),
     "phone": (r"^(\+(1|33|34|44|49)\b|\(?[2-9][0-9]{2})", r"^\+0"),
     "id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"^(000|666|9)"),
+    "secret": (r"^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)|^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$", r"(?i)0123456789|abcdefgh|(.)\\1{7}|example|sample"),
+    "iban": (r"^(AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)", r"^(XX|ZZ|AA)"),
 }
 CONTEXT = {
     "email": r"(?i)(e-?mail|mail|contact|write|correo|kontakt|courriel)\W*(\w+\W+)?$",
@@ -57,11 +72,13 @@ CONTEXT = {
     "card": r"(?i)\b(card|visa|mastercard|credit|debit|payment|carte|karte|tarjeta)\W*(\w+\W+)?$",
     "phone": r"(?i)\b(tel|phone|call|fax|mobile|cell|telefon|t.l.phone)\W*(\w+\W+)?$",
     "id": r"(?i)\b(ssn|social security|security number|identity|passport)\W*(\w+\W+)?$",
+    "secret": r"(?i)(token|secret|passw(or)?d|pwd|api[_ -]?key|\bkey|auth|bearer|credentials?)\W*$",
+    "iban": r"(?i)\b(iban|account|konto|compte|cuenta|bank)\W*(\w+\W+)?$",
 }
-AGAINST = r"(?i)\b(version|serial|order|isbn|invoice|build|release|section|no\.)\W*$"
+AGAINST = r"(?i)\b(version|serial|order|isbn|invoice|build|release|section|commit|checksum|digest|hash|sha-?(1|256)|md5|etag|uuid|no\.)\W*$"
 
 
-def _found(text: Column, regex: str, sign: str | None) -> Column:
+def _found(text: Column, regex: str, sign: str) -> Column:
     """Matches of the pattern with code-point offsets and the characters before them."""
     m, g = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     none = F.array().cast(_SPAN)
@@ -83,8 +100,7 @@ def _found(text: Column, regex: str, sign: str | None) -> Column:
         return F.when(F.size(m_) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m_) - 1), start, step, lambda a: a["out"])).otherwise(none)
 
     spans = F.element_at(F.transform(both, bound), 1)
-    has = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]")
-    return F.when(has, spans).otherwise(none)
+    return F.when(text.rlike(sign), spans).otherwise(none)
 
 
 def _digits(c: Column) -> Column:
@@ -111,17 +127,37 @@ VALID = {
 }
 
 
+def _mod97(text: Column) -> Column:
+    """Whether an account number's check digits hold (ISO 7064): letters count from 10."""
+    plain = F.replace(text, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        value = F.when(code >= 65, code - 55).otherwise(code - 48)
+        return (a * F.when(value >= 10, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
+
+
 def _vote(yes: Column, no: Column) -> Column:
-    return F.when(yes, 1).when(no, -1).otherwise(0)
+    return F.when(no, -1).when(yes, 1).otherwise(0)
+
+
+def _strict(kind: str, text: Column) -> Column:
+    if kind in ("card", "iban"):
+        holds = (_luhn if kind == "card" else _mod97)(text)
+        return _vote(holds, ~holds)
+    yes, no = STRICT[kind]
+    return _vote(text.rlike(yes), text.rlike(no))
 
 
 def _candidate(kind: str, base: bool, s: Column) -> Column:
     """A span with its votes and surface features."""
-    strict = F.lit(1) if base else _vote(F.lit(False), ~_luhn(s["text"])) if kind == "card" else F.lit(0)
     yes, no = GAZETTEER[kind]
     return F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"),
-        F.lit(KINDS.index(kind)).alias("ord"), strict.cast("int").alias("v1"),
+        F.lit(KINDS.index(kind)).alias("ord"), _strict(kind, s["text"]).cast("int").alias("v1"),
         _vote(s["text"].rlike(yes), s["text"].rlike(no)).cast("int").alias("v2"),
         _vote(s["before"].rlike(CONTEXT[kind]), s["before"].rlike(AGAINST)).cast("int").alias("v3"),
         F.least(F.lit(3), F.floor((s["end"] - s["start"]) / 8)).cast("int").alias("len"),
@@ -150,11 +186,15 @@ def _earlier(a: Column, b: Column) -> Column:
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with pii_base and pii_weak: arrays of candidates with their votes."""
     t = F.coalesce(F.col(text), F.lit(""))
-    cols = {f"pii_{k}": F.filter(_found(t, regex, _SIGN.get(k)), _valid(k)) for k, regex in BASE.items()}
-    weak = {f"pii_weak_{k}": _found(t, regex, "dot" if k == "email" else None) for k, regex in WEAK.items()}
+    cols = {f"pii_{k}": F.filter(_found(t, regex, _SIGN[k]), _valid(k)) for k, regex in BASE.items()}
+    weak = {f"pii_weak_{k}": _found(t, regex, _WEAK_SIGN[k]) for k, regex in WEAK.items()}
+    # long words are no keys
+    weak["pii_weak_secret"] = F.filter(weak["pii_weak_secret"], lambda s: s["text"].rlike("[0-9].*[0-9]") & s["text"].rlike("[A-Za-z]"))
     d = docs.withColumns(cols | weak)
     base = F.concat(*[F.transform(f"pii_{k}", _as(k, True)) for k in BASE])
     d = d.withColumn("pii_base", F.array_sort(base, _earlier))
+    # an account number is no key as well
+    d = d.withColumn("pii_weak_secret", F.when(F.size("pii_weak_iban") > 0, F.filter("pii_weak_secret", lambda s: ~F.exists("pii_weak_iban", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.col("pii_weak_secret")))
     loose = F.concat(*[F.transform(f"pii_weak_{k}", _as(k, False)) for k in WEAK])
     d = d.withColumn("pii_weak", F.when(F.size(loose) > 0, F.filter(loose, lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(loose))
     return d.drop(*cols, *weak)
@@ -164,7 +204,7 @@ FEATURES = ("kind", "v1", "v2", "v3", "len", "mixed")
 
 
 def patterns(annotated: DataFrame) -> dict[tuple, int]:
-    """How often each pattern of kind, votes and surface features occurs; at most 5 * 27 * 4 * 2 of them."""
+    """How often each pattern of kind, votes and surface features occurs; at most 7 * 27 * 4 * 2 of them."""
     spans = annotated.select(F.explode(F.concat("pii_base", "pii_weak")).alias("s")).select(*[F.col(f"s.{c}") for c in FEATURES])
     return {tuple(r)[:-1]: r[-1] for r in spans.groupBy(*FEATURES).count().collect()}
 
@@ -245,4 +285,7 @@ def _listed(spans: Column | str) -> Column:
 
 def digest(annotated: DataFrame, weights: dict[str, float]) -> DataFrame:
     n = {f"n_{k}": F.size(F.filter("pii_base", _of(k))).cast("long") for k in BASE}
-    return annotated.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(_listed("pii_base").cast("binary"), 256).alias("base_sha256"), _listed(accepted(weights)).alias("spans"))
+    every = F.array(accepted(weights))  # bound once
+    out = F.element_at(F.transform(every, lambda s: F.struct(_listed(s).alias("spans"), F.size(s).cast("long").alias("n_spans"))), 1)
+    rows = annotated.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(_listed("pii_base").cast("binary"), 256).alias("base_sha256"), out.alias("own"))
+    return rows.select("doc_id", *n, "base_sha256", "own.spans", "own.n_spans")
