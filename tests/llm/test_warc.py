@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import os
+import random
+import zlib
 
 import pytest
 
@@ -39,19 +41,63 @@ def test_no_pages(spark):
     assert W.round_trip(pages(spark, [])).collect() == []
 
 
-def test_filters_reach_the_reader(spark, tmp_path):
-    W.write_warc(pages(spark, ROWS), f"file://{tmp_path}/a")
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_filters_reach_the_reader(spark, tmp_path, compression):
+    W.write_warc(pages(spark, ROWS), f"file://{tmp_path}/a", compression=compression)
     df = W.read_warc(spark, f"file://{tmp_path}/a").where("record_type = 'revisit' AND target_uri LIKE 'http://a%'")
     assert [r.record_id for r in df.collect()] == ["urn:page:5"]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "record_type" not in plan.split("Filter", 1)[-1].split("\n")[0] if "Filter" in plan else True
-    seen = []
-    with W._opened(next(str(p) for p in (tmp_path / "a").glob("part-*") if p.stat().st_size)) as f:
-        for _, head, size, block in W.records(f, lambda h: h["warc-type"] == "revisit", True):
-            seen.append((size, block))
-    assert all(len(b) == s for s, b in seen)
+    kept = [line for line in plan.split("\n") if " Filter (" in line]
+    assert not any("record_type" in line or "target_uri" in line for line in kept), plan
     bare = W.read_warc(spark, f"file://{tmp_path}/a", payload=False)
-    assert bare.where("payload is not null").count() == 0 and bare.count() == len(ROWS)
+    assert bare.where("payload is not null").count() == 0 and bare.where("record_type <> 'warcinfo'").count() == len(ROWS)
+
+
+def test_skipped_blocks_are_not_inflated(spark, tmp_path, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, "u", "".join(chr(r.randrange(32, 1000)) for _ in range(200_000))) for i in range(6)] + [(9, "u", "short")]
+    W.write_warc(pages(spark, rows).coalesce(1), f"file://{tmp_path}/a")
+    (path,) = [p for p in (tmp_path / "a").glob("part-*")]
+    inflated = []
+
+    class Meter:
+        def __init__(self, bits):
+            self.inner = zlib_decompressobj(bits)
+
+        def decompress(self, data):
+            out = self.inner.decompress(data)
+            inflated.append(len(out))
+            return out
+
+        def flush(self):
+            return self.inner.flush()
+
+    zlib_decompressobj = zlib.decompressobj
+    monkeypatch.setattr(W.zlib, "decompressobj", Meter)
+
+    def read(wanted, payloads):
+        inflated.clear()
+        with W._opened(str(path)) as f:
+            return [(h.get("warc-record-id"), len(b or b"")) for _, h, _, b in W.records(f, wanted, payloads)], sum(inflated)
+
+    every, whole = read(lambda h: True, True)
+    assert len(every) == 8 and whole > 1_200_000
+    one, few = read(lambda h: h.get("warc-record-id") == "<urn:page:9>", True)
+    assert [x for x, _ in one] == ["<urn:page:9>"] and few < 40_000
+    assert len(read(lambda h: True, False)[0]) == 8 and sum(inflated) < 40_000
+
+
+def test_files_of_failed_attempts_are_deleted(spark, tmp_path):
+    w = W.WarcWriter({"path": f"file://{tmp_path}/a"}, False)
+    os.makedirs(tmp_path / "a")
+    for name in ("part-00000-1-x.warc.gz", "part-00000-2-y.warc.gz"):
+        (tmp_path / "a" / name).write_bytes(W.member(W.INFO))
+    w.commit([W.Written("part-00000-2-y.warc.gz"), None])
+    assert os.listdir(tmp_path / "a") == ["part-00000-2-y.warc.gz"]
+
+
+def test_members_are_gzip():
+    assert gzip.decompress(W.member(W.INFO) + W.member(b"x")) == W.INFO + b"x"
 
 
 def test_reads_gzip_members_and_foreign_records(spark, tmp_path):

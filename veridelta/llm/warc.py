@@ -1,34 +1,47 @@
-"""WARC archives: a writer by Spark's text sink and a PySpark Python data source.
+"""WARC archives: a PySpark Python data source that writes and reads them.
 
-write_warc makes one record per row with DataFrame functions and leaves file handling, task
-retries and commits to Spark: a WARC record ends with two line ends, which is the sink's
-line separator.  Of rows with equal payloads the one with the smallest key is stored, the
-others become revisit records that keep headers only.
+write_warc makes one record per row with DataFrame functions; each writing task turns its
+records into one archive, every record a gzip member of its own.  A member's header says
+in an extra field how long the member is (the skip lengths of the WARC standard's annex on
+compression: compressed and plain octets), so a reader can pass over it unread.  Files
+carry the number of the attempt that wrote them; commit keeps those of successful attempts
+and deletes the others'.  Of rows with equal payloads the one with the smallest key is
+stored, the others become revisit records that keep headers only.
 
 The source "warc" plans one partition per archive (.warc or .warc.gz).  Filters on record
-type and on header columns are pushed down; a record's headers are parsed first, and its
-block is skipped by a seek, undecoded, where a filter rejects it or payloads are not wanted
-(option payload=false).  Files are opened with pyarrow's file systems, so an archive may
-lie in any store that those know; never in a folder of one machine on a cluster.
+type and on header columns are pushed down; a record's headers are parsed first, from the
+first few inflated kilobytes of a member, and its block is skipped by a seek, neither
+inflated nor decoded, where a filter rejects it or payloads are not wanted (option
+payload=false).  Members without skip lengths are inflated to their ends, as nothing else
+says where they lie.  Files are opened with pyarrow's file systems, so an archive may lie
+in any store that those know; never in a folder of one machine on a cluster.
+
+Spark plans a query when it runs, so its setting for filters of Python sources must be on
+then: read_warc turns spark.sql.python.filterPushdown.enabled on for the session.
 
 Defined cases: a null payload is empty; a null key has no id header and is always a
 response; rows with a repeated key and payload are each a response; a null or unprintable
-address is escaped; other columns are ignored; no rows give an archive without records.
+address is escaped; other columns are ignored; very long payloads are one member each; no
+rows give an archive without pages.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import IO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from . import blocks as B
 
@@ -41,23 +54,24 @@ _ID = "urn:page:"
 BATCH_BYTES = 8 << 20
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Bare base32 of the SHA-1 of a binary column: forty bits, two groups of five hex digits, are eight letters."""
-    h = F.sha1(payload)
+def base32(sha: Column | str) -> Column:
+    """Bare base32 of a SHA-1 in hex: forty bits, two groups of five hex digits, are eight letters."""
+    h = F.col(sha) if isinstance(sha, str) else sha
     group = lambda i: F.conv(F.substr(h, (i / 8).cast("int") * 10 + 1, F.lit(10)), 16, 10).cast("long")
     letter = lambda i: F.substr(F.lit(_BASE32), (F.expr("0") + group(i).bitwiseAND(F.lit((1 << 40) - 1)) / F.pow(F.lit(2.0), 35 - 5 * (i % 8))).cast("long").bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
-def write_warc(rows: DataFrame, path: str, key: str = "page_id", payload: str = "html", address: str = "url", min_bytes: int = 0, compression: str = "none") -> None:
-    """Archives of all rows in the folder path; payloads of at least min_bytes are stored once."""
+def write_warc(rows: DataFrame, path: str, key: str = "page_id", payload: str = "html", address: str = "url", min_bytes: int = 0, compression: str = "gzip") -> None:
+    """Archives of all rows in the folder path; payloads of at least min_bytes are stored once; compression: gzip or none."""
     p = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     uri = F.col(address) if address in rows.columns else F.lit(None).cast("string")
     d = rows.select(F.col(key).cast("long").alias("id"), p.alias("payload"), F.coalesce(uri, F.lit("about:blank")).alias("uri"))
-    d = d.withColumns({"size": F.octet_length("payload").cast("long"), "digest": sha1_base32(F.col("payload").cast("binary"))})
-    # of each payload only (digest, size, key) are shuffled here
-    first = d.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("id").alias("first_id"))
-    d = d.join(first, ["digest", "size"], "left")
+    d = d.withColumns({"size": F.octet_length("payload").cast("long"), "sha": F.sha1(F.col("payload").cast("binary"))})
+    # only payloads that occur again have something to look up; as a written table their size is known when the join
+    # is planned: Spark broadcasts them below its threshold, so that no payload is exchanged, and sorts both sides above
+    again = d.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    d = d.join(B.stored(again, "revisits"), ["sha", "size"], "left").withColumn("digest", base32("sha"))
     revisit = F.col("id").isNotNull() & (F.col("id") > F.col("first_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.concat("http", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
@@ -75,8 +89,66 @@ def write_warc(rows: DataFrame, path: str, key: str = "page_id", payload: str =
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    out = d.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("http", http).withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    out.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    out = d.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("http", http).withColumn("block", block).select(F.concat(head, F.col("block"), F.lit("\r\n\r\n")).cast("binary").alias("record"))
+    rows.sparkSession.dataSource.register(WarcSource)
+    out.write.format("warc").mode("append").option("compression", compression).save(path)
+
+
+_INFO = b"software: veridelta\r\nformat: WARC File Format 1.1\r\n"
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(_INFO), _INFO)
+#: fixed values: gzip's signature, method and flag of an extra field; the extra field's mark and size
+_GZIP, _SKIP = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", b"sl\x08\0"
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member with skip lengths, which four bytes each must hold; beyond, without."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(record) + pack.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    whole = len(_GZIP) + 2 + len(_SKIP) + 8 + len(body)
+    if max(whole, len(record)) >> 32:
+        return gzip.compress(record, 6, mtime=0)
+    return _GZIP + struct.pack("<H", len(_SKIP) + 8) + _SKIP + struct.pack("<II", whole, len(record)) + body
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.compressed = options.get("compression", "gzip") != "none"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc{'.gz' if self.compressed else ''}"
+        packed = member if self.compressed else bytes
+        store, inner = _store(self.path)
+        store.create_dir(inner, recursive=True)
+        with store.open_output_stream(f"{inner}/{name}", compression=None) as f:
+            f.write(packed(INFO))
+            for batch in iterator:
+                for record in batch.column(0):
+                    f.write(packed(record.as_py()))
+        return Written(name)
+
+    def _tidy(self, keep: set[str], everything: bool) -> None:
+        store, inner = _store(self.path)
+        for x in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            if x.type == fs.FileType.File and x.base_name not in keep and (everything or x.base_name.startswith("part-")):
+                store.delete_file(x.path)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Every write has a folder of its own, so what no message names is of a failed attempt."""
+        self._tidy({m.name for m in messages if m is not None}, self.overwrite)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._tidy(set(), False)
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 class Archive(InputPartition):
@@ -86,11 +158,8 @@ class Archive(InputPartition):
 
 
 def _opened(path: str) -> IO[bytes]:
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    f = store.open_input_file(inner)
-    magic = f.read(2)
-    f.seek(0)
-    return gzip.GzipFile(fileobj=f) if magic == b"\x1f\x8b" else io.BufferedReader(_Raw(f), 1 << 18)
+    store, inner = _store(path)
+    return io.BufferedReader(_Raw(store.open_input_file(inner)), 1 << 16)
 
 
 class _Raw(io.RawIOBase):
@@ -131,8 +200,18 @@ def _headers(lines: Iterator[bytes]) -> dict[str, str]:
     return out
 
 
-def records(f: IO[bytes], wanted, payloads: bool) -> Iterator[tuple[int, dict[str, str], int, bytes | None]]:
+Found = tuple[int, dict[str, str], int, bytes | None]
+
+
+def records(f: IO[bytes], wanted, payloads: bool) -> Iterator[Found]:
     """Offset, headers, block length and block of each record that wanted(headers) accepts; other blocks are skipped."""
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        yield from _members(f, wanted, payloads)
+    else:
+        yield from _plain(f, wanted, payloads)
+
+
+def _plain(f: IO[bytes], wanted, payloads: bool) -> Iterator[Found]:
     while True:
         at = f.tell()
         version = f.readline()
@@ -144,15 +223,47 @@ def records(f: IO[bytes], wanted, payloads: bool) -> Iterator[tuple[int, dict[st
             raise ValueError(f"no WARC record at byte {at}")
         head = _headers(iter(f.readline, b""))
         size = int(head.get("content-length", 0))
-        if not wanted(head):
+        if not (payloads and wanted(head)):
             f.seek(size, 1)
+            if wanted(head):
+                yield at, head, size, None
             continue
-        kept = f.read(size) if payloads else None
-        if kept is None:
-            f.seek(size, 1)
-        elif len(kept) < size:
+        block = f.read(size)
+        if len(block) < size:
             raise ValueError(f"record at byte {at} is cut short")
-        yield at, head, size, kept
+        yield at, head, size, block
+
+
+def _members(f: IO[bytes], wanted, payloads: bool) -> Iterator[Found]:
+    """Records of an archive whose members have skip lengths; from the first without, the rest is inflated in one go."""
+    while True:
+        at = f.tell()
+        fixed = f.read(12)
+        if not fixed:
+            return
+        extra = f.read(struct.unpack("<H", fixed[10:])[0]) if fixed[:4] == _GZIP[:4] and len(fixed) == 12 else b""
+        if extra[:4] != _SKIP or len(extra) != 12:
+            f.seek(at)
+            yield from _plain(gzip.GzipFile(fileobj=f), wanted, payloads)
+            return
+        end = at + struct.unpack("<I", extra[4:8])[0]
+        inflate, text = zlib.decompressobj(-15), b""
+        while b"\r\n\r\n" not in text and f.tell() < end:
+            text += inflate.decompress(f.read(min(1024, end - f.tell())))
+        lines, _, begun = text.partition(b"\r\n\r\n")
+        version, *fields = lines.split(b"\r\n")
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {at}")
+        head = _headers(iter(fields))
+        size = int(head.get("content-length", 0))
+        if wanted(head):
+            block = None
+            if payloads:
+                block = (begun + inflate.decompress(f.read(max(0, end - f.tell()))) + inflate.flush())[:size]
+                if len(block) < size:
+                    raise ValueError(f"record at byte {at} is cut short")
+            yield at, head, size, block
+        f.seek(end)
 
 
 def _bare(x: str | None) -> str | None:
@@ -174,7 +285,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        store, inner = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        store, inner = _store(self.path)
         info = store.get_file_info(inner)
         if info.type == fs.FileType.File:
             return [Archive(self.path)]
@@ -231,6 +342,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> WarcReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(dict(self.options), overwrite)
+
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The archives' records; filters on header columns reach the reader."""
@@ -244,13 +358,14 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, compression: str = "gzip")
     spark = pages.sparkSession
     path = f"{B.shared_dir(spark)}/veridelta/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_bytes=min_bytes, compression=compression)
-    r = read_warc(spark, path)
+    # both kinds are wanted and nothing else; of revisits no block is there to be read
+    r = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
     stored = F.col("record_type") == "response"
     number = lambda c: F.when(F.col(c).startswith(_ID), F.substr(F.col(c), F.lit(len(_ID) + 1)).cast("long"))
     return r.select(
         number("record_id").alias("page_id"),
         F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.element_at("http_headers", "content-length").cast("long")).alias("payload_bytes"),
-        F.when(stored, sha1_base32(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.when(stored, base32(F.sha1("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
