@@ -8,10 +8,14 @@ similarities the later A position wins, then the later B position.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.functions.staging import stored
+
 FLOOR = 0.45
 GROUP = ("pair_id", "granularity")
 
@@ -57,21 +61,25 @@ def dense_cosine(pairs: DataFrame, vectors: DataFrame, floor: float = FLOOR) ->
 
 
 def greedy_grouped(candidates: DataFrame) -> DataFrame:
-    """M3, strategy B: one sort and two sets for each (pair_id, granularity)."""
-    schema = candidates.schema
-
-    def claim(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["s", "i", "j"], ascending=False)
-        a, b, keep = set(), set(), []
-        for i, j in zip(p["i"], p["j"], strict=True):
-            free = i not in a and j not in b
-            keep.append(free)
-            if free:
-                a.add(i)
-                b.add(j)
-        return p[keep]
-
-    return candidates.groupBy(*GROUP).applyInPandas(claim, schema)
+    """M3, strategy B: one pass over sorted candidates; a worker holds the positions that its current group has taken."""
+    names = candidates.columns
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, a, b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for key, i, j in zip(zip(*(batch.column(c).to_pylist() for c in GROUP), strict=True), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                if key != group:
+                    group, a, b = key, set(), set()
+                free = i not in a and j not in b
+                keep.append(free)
+                if free:
+                    a.add(i)
+                    b.add(j)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = candidates.select(*names).repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("s"), F.desc("i"), F.desc("j"))
+    return ordered.mapInArrow(claim, candidates.schema)
 
 
 def greedy_fold(candidates: DataFrame) -> DataFrame:
@@ -94,11 +102,11 @@ def greedy_rounds(candidates: DataFrame) -> DataFrame:
     Taking such edges until none is left gives the sequential greedy result (Preis 1999).
     """
     best = lambda side: Window.partitionBy(*GROUP, side).orderBy(F.desc("s"), F.desc("i"), F.desc("j"))
-    left, matched = candidates.checkpoint(), None
-    while left.limit(1).count():
-        top = left.withColumn("ra", F.row_number().over(best("i"))).withColumn("rb", F.row_number().over(best("j"))).where("ra = 1 and rb = 1").drop("ra", "rb").checkpoint()
+    left, matched = stored(candidates, "candidates"), None
+    while not left.isEmpty():
+        top = stored(left.withColumn("ra", F.row_number().over(best("i"))).withColumn("rb", F.row_number().over(best("j"))).where("ra = 1 and rb = 1").drop("ra", "rb"), "matched")
         matched = top if matched is None else matched.unionByName(top)
-        left = left.join(top.select(*GROUP, "i"), [*GROUP, "i"], "left_anti").join(top.select(*GROUP, "j"), [*GROUP, "j"], "left_anti").select(candidates.columns).checkpoint()
+        left = stored(left.join(top.select(*GROUP, "i"), [*GROUP, "i"], "left_anti").join(top.select(*GROUP, "j"), [*GROUP, "j"], "left_anti").select(candidates.columns), "candidates")
     return candidates if matched is None else matched.select(candidates.columns)
 
 

@@ -1,4 +1,8 @@
-"""The comparison of many document pairs as one plan."""
+"""The comparison of many document pairs.
+
+Pairs, chunks, matched pairs and changes are tables in the shared folder, each written once:
+the results read the last, whatever is asked of them.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from veridelta.operators import judge as J
 from veridelta.operators import match as M
 from veridelta.operators import report as R
 from veridelta.operators import score as S
+from veridelta.functions.staging import stored
 
 
 @dataclass(frozen=True)
@@ -46,7 +51,7 @@ class CompareConfig:
 
 @dataclass
 class Comparison:
-    """Lazy results: summary (a row for pair and granularity) and changes (a row for a chunk or matched pair)."""
+    """Results: summary (a row for pair and granularity) and changes (a row for a chunk or matched pair)."""
 
     pairs: DataFrame
     summary: DataFrame
@@ -65,19 +70,19 @@ class Comparison:
 def candidates(pairs: DataFrame, chunks: DataFrame, config: CompareConfig) -> DataFrame:
     make = E.embedder(config.embed_backend, config.embed_model)
     if make is None:
-        return M.sparse_cosine(pairs, E.hash_features(chunks, config.hash_dim), config.match_floor, chunks)
+        return M.sparse_cosine(pairs, stored(E.hash_features(chunks, config.hash_dim), "features"), config.match_floor, chunks)
     return M.dense_cosine(pairs, E.dense(chunks, make), config.match_floor)
 
 
 def compare_chunks(pairs: DataFrame, chunks: DataFrame, config: CompareConfig, verdicts: DataFrame | None = None, judge: J.Judge | None = None) -> Comparison:
     """From chunks of all documents that the pairs name."""
     judge = judge or J.judge(config.judge_backend, config.judge_model, verdicts, parts=config.judge_parts)
-    matched = M.STRATEGIES[config.strategy](candidates(pairs, chunks, config))
+    matched = stored(M.STRATEGIES[config.strategy](candidates(pairs, chunks, config)), "matched")
     scored = S.rescored(S.attach(pairs, chunks, matched), judge, config.judge_band)
-    if judge is not None and config.judge_backend not in ("none", "table"):
-        # verdicts of a service may differ between calls: both results must read the same ones, and pay once
-        scored = scored.checkpoint()
-    rows = S.changes(pairs, chunks, scored, config.sim_threshold)
+    if judge is not None:
+        # verdicts of a service may differ between calls: all results must read the same ones, and pay once
+        scored = stored(scored, "scored")
+    rows = stored(S.changes(pairs, chunks, scored, config.sim_threshold), "changes")
     name = config.judge_backend if judge is not None or config.judge_backend == "none" else "none"
     return Comparison(pairs, S.summary(pairs, rows, config.granularities), rows, config, E.embedder_name(config.embed_backend, config.embed_model, config.hash_dim), name + (f":{config.judge_model}" if config.judge_model else ""))
 
@@ -88,6 +93,8 @@ def compare(pairs: DataFrame, blocks: DataFrame, config: CompareConfig | None =
     Only documents that some pair names are chunked.
     """
     config = config or CompareConfig()
+    pairs = stored(pairs.select("pair_id", "doc_a", "doc_b"), "pairs")
     named = pairs.select(pairs["doc_a"].alias("doc_id")).union(pairs.select("doc_b")).distinct()
     own = blocks.join(named, "doc_id", "left_semi")
-    return compare_chunks(pairs, C.chunk_all(own, config.granularities, config.max_chunks), config, verdicts, judge)
+    chunks = stored(C.chunk_all(own, config.granularities, config.max_chunks), "chunks")
+    return compare_chunks(pairs, chunks, config, verdicts, judge)
