@@ -302,34 +302,49 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 2500, s
     rows = texts.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows are broadcast
     rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of 2 * sample rows at most
-    rows = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    rows = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).select("doc_id", "text", "y")
     prior = math.log((shares.get(1, 0) + 1e-9) / (shares.get(0, 0) + 1e-9)) if shares else -30.0
-    y = rows.column("y").to_numpy()
-    text = T.column(rows, "text")
     chars = CharModel(letter_trigrams(docs))
-    if len(np.unique(y)) < 2:
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights, from the bounded sample, in one worker's memory."""
+        if not (own := list(parts)):
+            return
+        table = pa.Table.from_batches(own).sort_by("doc_id")
+        y, text = table.column("y").to_numpy(), T.column(table, "text")
+        if len(np.unique(y)) < 2:
+            return
+        keys = _selected(text, y, features)
+        w, b = _logistic(_design(Classifier(chars, keys, np.ones(len(keys)), 0.0), text), y, l2)
+        drawn = math.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([float(b) - drawn])], names=["keys", "weights", "intercept"])
+
+    got = rows.mapInArrow(learn, "keys binary, weights binary, intercept double").collect()
+    if not got:
         return Classifier(chars, np.zeros(0, U64), np.zeros(0), max(-30.0, min(30.0, prior)))
-    keys = _selected(text, y, features)
-    c = Classifier(chars, keys, np.ones(len(keys)), 0.0)
-    x = np.zeros((len(y), len(keys)), np.float32)
-    for i, found in enumerate(c.counts(text)):
+    return Classifier(chars, np.frombuffer(got[0].keys, U64), np.frombuffer(got[0].weights, np.float64), got[0].intercept + prior)
+
+
+def _design(model: Classifier, text: pa.Array) -> np.ndarray:
+    x = np.zeros((len(text), len(model.keys)), np.float32)
+    for i, found in enumerate(model.counts(text)):
         for k, n in found.items():
             x[i, k] = math.log1p(n)
-    w, b = _logistic(x, y, l2)
-    drawn = math.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
-    return Classifier(chars, keys, w, b + prior - drawn)
+    return x
 
 
 def _selected(text: pa.Array, y: np.ndarray, features: int) -> np.ndarray:
     """Hashes of the features whose document shares differ most between the labels."""
-    seen: dict[bool, list[np.ndarray]] = {False: [np.zeros(0, U64)], True: [np.zeros(0, U64)]}
+    n = {label: (np.zeros(0, U64), np.zeros(0, np.int64)) for label in (False, True)}
     for p in _pieces(text):
         doc, feature = zip(*((p.w.doc[at], h) for at, h in p.features()), strict=True)
         doc, feature = np.concatenate(doc), np.concatenate(feature)
-        order = np.argsort(doc, kind="stable")
-        for row, own in zip(p.w.rows, np.split(feature[order], np.searchsorted(doc[order], np.arange(1, len(p.w.rows)))), strict=True):
-            seen[bool(y[row] == 1)].append(np.unique(own))
-    n = {label: np.unique(np.concatenate(s), return_counts=True) for label, s in seen.items()}
+        order = np.lexsort((feature, doc))
+        doc, feature = doc[order], feature[order]
+        once = np.r_[True, (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, feature = doc[once], feature[once]
+        for label in n:  # counts of texts are summed piece by piece, so only distinct features are held
+            n[label] = _summed(*n[label], feature[(y[p.w.rows[doc]] == 1) == label])
     key, count = n[True]
     key, count = key[count >= 3], count[count >= 3]
     i = np.minimum(np.searchsorted(n[False][0], key), max(0, len(n[False][0]) - 1))
@@ -340,6 +355,12 @@ def _selected(text: pa.Array, y: np.ndarray, features: int) -> np.ndarray:
     return np.sort(key[best[(a > b)[best]]])
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with their counts, and once more for each of `more`."""
+    every, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    return every, np.bincount(place, np.concatenate([counts, np.ones(len(more))]), len(every)).astype(np.int64)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by Nesterov's gradient method; both labels weigh the same."""
     n = len(y)
