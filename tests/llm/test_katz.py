@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.llm import queries as Q
-from veridelta.llm.katz import discounts, katz_scores
+from veridelta.llm.katz import discounts, fit, katz_scores
 from tests.llm.collisions import thue_morse_words
 
 
@@ -123,3 +123,17 @@ def test_regular_and_very_long_words(spark):
         w = words(dict(rows)[r.doc_id])
         assert (r.n_tokens, r.n_known) == (len(w) + 1, sum(m.c[1][(z,)] > 0 for z in [*w, "</s>"]))
         assert r.score == pytest.approx(m.score(w), abs=1e-4)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_fitted_model_scores_new_texts(spark, order):
+    rows = corpus()
+    m = Plain([words(t) for _, t in rows], order)
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), order)
+    new = [(1, "w0 w1 w2 w3"), (1, "w1 never w2 W3"), (2, ""), (None, None), (3, rows[5][1]), (4, "nothing known here at all")]
+    got = model.score(spark.createDataFrame(new, "doc_id long, text string")).collect()
+    want = [(d, len(words(t)) + 1, round(m.score(words(t)), 7)) for d, t in new]
+    assert sorted(((r.doc_id, r.n_tokens, round(r.score, 7)) for r in got), key=str) == sorted(want, key=str)
+    assert model.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    kinds = {(r.kind, r.order) for r in model.table.select("kind", "order").distinct().collect()}
+    assert kinds == {("count", k) for k in range(1, order + 1)} | {("alpha", k) for k in range(2, order + 1)}

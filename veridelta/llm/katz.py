@@ -17,6 +17,10 @@ and a second exchange adds these to alpha(h).  The last pass evaluates token by
 the highest order down.  Everything gathered follows the corpus; the driver sees only
 counts of counts.
 
+fit() keeps what the buckets know as two written tables, n-grams with their counts and
+histories with c(h) and alpha(h), each partitioned by order and cut into the same buckets;
+Katz.score() looks up the n-grams and histories of any other texts there.
+
 Defined cases: null and empty texts are one token (the end); a null doc_id counts as the
 text "" in the split rule; every row is scored on its own, repeated ids too; other columns
 are ignored; without training text every token has probability 1 / (V + 1) = 1.
@@ -24,6 +28,8 @@ are ignored; without training text every token has probability 1 / (V + 1) = 1.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -152,10 +158,21 @@ def _probabilities(block: _Block, known: list[_Known], model: Model, order: int,
     return p
 
 
-COUNTS = "block int, bucket int, answer binary, stat array<bigint>"
+#: block -1: the bucket's own keys and values, kept for the model
+COUNTS = "block int, bucket int, answer binary, keys binary, stat array<bigint>"
+ALPHAS = "block int, bucket int, answer binary, keys binary"
+
 
+def _kept(rows: pa.Table, bucket: int, keys: np.ndarray | None, values: np.ndarray | None) -> pa.Table:
+    """Answers, and the bucket's row of the model where there are keys to keep."""
+    rows = rows.append_column("keys", pa.nulls(rows.num_rows, pa.binary()))
+    if keys is None:
+        return rows
+    own = pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "answer": pa.array([B.planes(values)], pa.binary()), "keys": pa.array([B.pack(keys)], pa.binary())})
+    return pa.concat_tables([rows, own.select(rows.column_names)])
 
-def _count_tables(blocks: DataFrame, order: int, n: int) -> DataFrame:
+
+def _count_tables(blocks: DataFrame, order: int, n: int, keep: bool) -> DataFrame:
     """n-gram counts of all orders, as answers to the blocks that asked, with a bucket's counts of counts."""
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -170,18 +187,19 @@ def _count_tables(blocks: DataFrame, order: int, n: int) -> DataFrame:
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = B.Merged(table, [np.int32])
         total = x.reduce(np.add, x.extra[0].astype(np.int64))
-        seen = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
-        stat = [int((total > 0).sum()), int(total.sum()), *seen[1 : GT_MAX + 2].tolist()]
+        often = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
+        stat = [int((total > 0).sum()), int(total.sum()), *often[1 : GT_MAX + 2].tolist()]
         owner = np.zeros(len(x.order), np.int64)
         owner[x.at] = 1
-        rows = x.answers(key[1].as_py(), total[x.group] * 2 + owner)
+        seen = total > 0
+        rows = _kept(x.answers(key[1].as_py(), total[x.group] * 2 + owner), key[1].as_py(), x.keys[seen] if keep else None, total[seen] * 2)
         return rows.append_column("stat", pa.array([stat, *[None] * (rows.num_rows - 1)], pa.list_(pa.int64()))).append_column("order", pa.array([key[0].as_py()] * rows.num_rows, pa.int32()))
 
     asked = blocks.groupBy("block").applyInArrow(ask, f"{B.REQUEST}, order int")
     return B.stored(asked.groupBy("order", "bucket").applyInArrow(add, f"{COUNTS}, order int"), "ngram-counts", "order").withColumn("kind", F.lit("count"))
 
 
-def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int, n: int) -> DataFrame:
+def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int, n: int, keep: bool) -> DataFrame:
     """c(h) and alpha(h) of order k, as answers to the blocks that have the history."""
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -201,24 +219,87 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
         free = 1 - lower
         alpha = np.where(free > 0, (1 - taken / np.where(c > 0, c, 1)) / np.where(free > 0, free, 1), 0)
         c = np.where((free > 0) | (c == 0), c, taken)  # nothing to back off to: the seen take all
-        return x.answers(key[0].as_py(), (c + 1j * alpha)[x.group])
+        return _kept(x.answers(key[0].as_py(), (c + 1j * alpha)[x.group]), key[0].as_py(), x.keys[c > 0] if keep else None, (c + 1j * alpha)[c > 0])
 
     asked = blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(ask, B.REQUEST)
-    rows = asked.groupBy("bucket").applyInArrow(add, B.ANSWER).select("*", F.lit(k).alias("order"))
+    rows = asked.groupBy("bucket").applyInArrow(add, ALPHAS).select("*", F.lit(k).alias("order"))
     return B.stored(rows, f"alpha-{k}").withColumn("kind", F.lit("alpha"))
 
 
-def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> DataFrame:
-    """The scores of all whole texts by the model of those where train holds (null: not)."""
+def _blocks(docs: DataFrame, train: F.Column, block_mb: int) -> tuple[DataFrame, int]:
     n = B.block_count(docs, mb=block_mb)
     flagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = B.dealt(flagged.withColumn("block", B.block_of(n, F.col("doc_id"), F.xxhash64("text"))), n, "texts")
-    counts = _count_tables(blocks, order, n)
+    return B.dealt(flagged.withColumn("block", B.block_of(n, F.col("doc_id"), F.xxhash64("text"))), n, "texts"), n
+
+
+def _learned(blocks: DataFrame, order: int, n: int, keep: bool) -> tuple[Model, DataFrame]:
+    """The driver's numbers, and the answers to all blocks with, if asked, the model's rows."""
+    counts = _count_tables(blocks, order, n, keep)
     stats = counts.where("stat is not null").groupBy("order").agg(*[F.sum(F.element_at("stat", i + 1)).alias(f"s{i}") for i in range(GT_MAX + 3)]).collect()
     model = Model({r[0]: list(r[1:]) for r in stats}, order)
-    got = counts.select("block", "bucket", "answer", "order", "kind")
+    got = counts.select("block", "bucket", "answer", "keys", "order", "kind")
     for k in range(2, order + 1):
-        got = got.unionByName(_alphas(blocks, got, model, k, order, n))
+        got = got.unionByName(_alphas(blocks, got, model, k, order, n, keep))
+    return model, got
+
+
+def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> DataFrame:
+    """The scores of all whole texts by the model of those where train holds (null: not)."""
+    blocks, n = _blocks(docs, train, block_mb)
+    return _scored(blocks, *_learned(blocks, order, n, False), order, n)
+
+
+@dataclass
+class Katz:
+    """A fitted model: its table (kind, order, bucket, keys, answer) and what the driver knows."""
+
+    table: DataFrame
+    model: Model
+    order: int
+    buckets: int
+
+    def score(self, docs: DataFrame, block_mb: int = 14) -> DataFrame:
+        """Scores of any texts; all count as held out."""
+        blocks, _ = _blocks(docs, F.lit(False), block_mb)
+        order, buckets = self.order, self.buckets
+
+        def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            block = _Block(table, order)
+            out = []
+            for kind, lists in (("count", block.grams), ("alpha", block.histories)):
+                for k, own in lists.items():
+                    rows = B.requests(key[0].as_py(), own.keys, buckets).drop_columns(["extra"])
+                    out.append(rows.append_column("kind", pa.array([kind] * rows.num_rows, pa.string())).append_column("order", pa.array([k] * rows.num_rows, pa.int32())))
+            return pa.concat_tables(out)
+
+        def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
+            dtype = np.int64 if key[0].as_py() == "count" else np.complex128
+            keys = B.unpack(known.column("keys")[0].as_py()) if known.num_rows else np.zeros(0, U64)
+            values = B.unplanes(known.column("answer")[0].as_py(), dtype) if known.num_rows else np.zeros(0, dtype)
+            keys, values = np.append(keys, U64(0)), np.append(values, dtype(0))  # where nothing is found
+            answers = []
+            for packed in asked.column("keys").to_pylist():
+                own = B.unpack(packed)
+                i = np.minimum(np.searchsorted(keys[:-1], own), len(keys) - 1)
+                answers.append(B.planes(np.where(keys[i] == own, values[i], dtype(0))))
+            return asked.drop_columns(["keys"]).append_column("answer", pa.array(answers, pa.binary()))
+
+        by = ("kind", "order", "bucket")
+        asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, kind string, order int")
+        got = asked.groupBy(*by).cogroup(self.table.groupBy(*by)).applyInArrow(look_up, "bucket int, block int, kind string, order int, answer binary")
+        return _scored(blocks, self.model, B.stored(got, "looked-up"), order, buckets)
+
+
+def fit(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> Katz:
+    """The model of the texts where train holds (null: not), in a table partitioned by order."""
+    blocks, n = _blocks(docs, train, block_mb)
+    model, got = _learned(blocks, order, n, True)
+    own = got.where("block = -1").select("kind", "order", "bucket", "keys", "answer")
+    return Katz(B.stored(own, "katz-model", "order"), model, order, n)
+
+
+def _scored(blocks: DataFrame, model: Model, got: DataFrame, order: int, n: int) -> DataFrame:
+    """Scores of the blocks' texts from the answers to them."""
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
@@ -230,4 +311,5 @@ def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int
         held = pc.invert(T.column(table, "train"))
         return pa.table([T.column(table, "doc_id"), held, *map(pa.array, cols[:2]), pa.array(np.full(table.num_rows, model.total, np.int64)), *map(pa.array, cols[2:])], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, SCORES)
+    answers = got.where("block >= 0").select("block", "bucket", "answer", "order", "kind")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)

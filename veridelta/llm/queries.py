@@ -42,7 +42,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"), remainder(7) != 2, order=3)
+    scores = katz.katz_scores(table(spark, sf_dir, "documents"), remainder(7) != 2, order=3)
+    return scores.withColumn("score_per_token", F.col("score") / F.col("n_tokens"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
