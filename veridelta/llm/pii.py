@@ -48,14 +48,14 @@ WEAK = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 #: what a text must match for a weaker pattern to be searched for
-_WEAK_SIGN = {"email": "(?i)[^a-z]dot[^a-z]", "phone": "[0-9]{3}[-. ][0-9]{4}", "card": "[0-9]{4}[ -][0-9]", "id": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z0-9_-]{20}", "iban": "[A-Z]{2}[0-9]{2}"}
+_WEAK_SIGN = {"email": "(?i)[^a-z]dot[^a-z]", "phone": "[0-9]{3}[-. ][0-9]{4}", "card": "[0-9]{4}[ -][0-9]", "id": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z][0-9][A-Za-z0-9]|[0-9][A-Za-z]", "iban": "[A-Z]{2}[0-9]{2}"}
 #: regex labeler: forms for and against; card and iban are decided by their check digits
 STRICT = {
     "email": (r"^[A-Za-z0-9](?:[A-Za-z0-9_%+-]|[.](?![.]))*(?:@| ?[\[({]).*[A-Za-z]{2,6}$", r"\.\.|^[.]|@-|[0-9]$"),
     "ip": (r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", r"(?:^|\.)0[0-9]"),
     "phone": (r"^(?:\+[0-9]{1,3}[ (.-]|\([0-9]{3}\)|[2-9][0-9]{2}([-. ])[2-9][0-9]{2}\1)", r"\.[0-9]{1,2}\.|([0-9])\1{6}"),
     "id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:000|666|9)|-00-|-0000$|([0-9])\1\1-\1\1-\1{4}"),
-    "secret": (r"^(?=(?:.*?[0-9]){6})(?=(?:.*?[A-Za-z]){4})", r"^(?:[a-z]+[-_])+[0-9]*$|[-_]{3}|^[0-9-]+$"),
+    "secret": (r"^(?=(?:[^0-9]*+[0-9]){6})(?=(?:[^A-Za-z]*+[A-Za-z]){4})", r"^(?:[a-z]+[-_])+[0-9]*$|[-_]{3}|^[0-9-]+$"),
 }
 GAZETTEER = {
     "email": (r"(?i)[. ](com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$", r"(?i)@(localhost|invalid)"),
