@@ -75,6 +75,12 @@ def dealt(rows: DataFrame, n: int, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the rows' size, of files their size; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else None
+
+
 def block_count(docs: DataFrame, text: str = "text", mb: int = 14) -> int:
     """Blocks of about so many MB of text; their number follows the text's true size."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

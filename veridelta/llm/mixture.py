@@ -22,7 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 STEP = 32.0
+#: bytes of (compressed) files whose rows one partition of the output takes
+PART_BYTES = 64 << 20
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -58,11 +62,19 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, total: int | None = N
     """
     r = rates(docs, targets, total, source)
     own = docs.drop("copy", "copies", "order_key")
-    draw = lambda j: F.size(F.filter("cdf_", lambda c: c <= uniform(seed, key, j)))
+    # the number is bound as the only element of an array, so it is hashed once and not for each entry of the distribution
+    draw = lambda j: F.element_at(F.transform(F.array(uniform(seed, key, j)), lambda u: F.size(F.filter("cdf_", lambda c: c <= u))), 1)
     rows = own.join(r, own[source].eqNullSafe(r["source_"])).withColumn("copies", F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts_")), draw), F.lit(0), lambda a, x: a + x))
     rows = rows.where("copies > 0").select(*own.columns, "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
-    return rows.repartition("order_key").sortWithinPartitions("order_key")
+    return rows.repartition(_parts(docs, total), "order_key").sortWithinPartitions("order_key")
+
+
+def _parts(docs: DataFrame, total: int | None) -> int:
+    """Partitions of the global shuffle: the session's number, or more where the files are larger than so many times PART_BYTES."""
+    least, size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), B.estimated_bytes(docs)
+    grown = 1 if total is None or size is None else max(1, total // max(1, docs.count()))
+    return max(least, -(-grown * (size or 0) // PART_BYTES))
 
 
 #: the same for op3_mixture's parameters: equal weights, as many rows as documents
