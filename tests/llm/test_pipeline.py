@@ -72,8 +72,34 @@ def test_empty_and_null_rows(spark, tmp_path):
     docs, labels, items, _ = corpus(24)
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    for df in (rows, rows.where(F.lit(False))):
-        for _, stage in C.STAGES:
-            df = stage(spark, df, str(tmp_path))
-        assert {r.doc_id for r in df.collect()} <= {None, 1}
+    plain = "lobel midor kafan puhin ragus sobel tidor nefan"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    data = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "de", None, 0), (1, "", "en", None, 0), (1, plain, "en", "a", 1), (2, f"other words here {plain}", "en", "a", 1), (3, plain.upper(), "en", "a", 1), (None, plain, "en", "a", 1)]
+    rows = spark.createDataFrame(data, schema)
+    kept = {}
+    df = rows
+    for name, stage in C.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        kept[name] = sorted(((r.doc_id, r.text, r.lang) for r in df.collect()), key=str)
+    assert kept["toxicity"] == sorted(((d, t, x) for d, t, x, *_ in data), key=str)
+    # 3 is a copy of a row of 1; rows of 1 with different texts stay, equal ones once, by their other columns
+    left = [(1, "", "de"), (1, plain, "en"), (2, f"other words here {plain}", "en"), (None, None, None), (None, plain, "en")]
+    assert kept["near-duplicates"] == kept["decontamination"] == kept["personal-data"] == sorted(left, key=str)
+    empty = rows.where(F.lit(False))
+    for _, stage in C.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.collect() == []
+
+
+def test_very_long_texts(spark, tmp_path):
+    docs, labels, items, _ = corpus(24)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    filler = " ".join(f"w{i}" for i in range(60_000))
+    late = {1: f"{filler} {items[0][1]}", 2: f"{filler} 0{filler} mail@example.com", 3: f"x{filler}"}
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in late.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in C.STAGES[1:-1]:
+        df = stage(spark, df, str(tmp_path))
+    # 3 is a near copy of 1, whose passage of the benchmark stands at its very end
+    assert {r.doc_id: r.text[-7:] for r in df.collect()} == {2: "[EMAIL]"}
