@@ -1,13 +1,20 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return
-the columns of documents.  Rows that share a doc_id share a decision; a null doc_id is an id
-of its own in filters, and its rows are never near duplicates of others.
+the columns of documents.
+
+Defined cases: rows that share a doc_id are one document: they share the decisions of near
+duplicates and decontamination, and those with different texts all stay or all go; of rows
+equal in id and text one stays (the first by their other columns).  A null doc_id is an id of
+its own in filters, and its rows are never near duplicates of others.  Null and empty texts
+are neither toxic (unless most labelled documents are), near duplicates, contaminated nor
+changed, and pass.  Very long texts are read whole by every stage; ties between near
+duplicates go to the smallest doc_id.  An empty table stays empty; further columns pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridelta.llm import decontaminate, jaccard_join, mixture, pii, toxicity
@@ -25,8 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Operator 4, five words and a similarity of 0.8: of each group the smallest doc_id stays."""
     groups = jaccard_join.near_duplicates(docs, k=5, percent=80)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # the smallest id itself may stand in several rows
-    once = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # the smallest id itself may stand in several rows: equal texts stay once
+    own = Window.partitionBy("doc_id", "text_").orderBy(F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    rows = docs.join(kept, "doc_id").withColumn("text_", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    once = rows.withColumn("number_", F.row_number().over(own)).where("number_ = 1").select(*docs.columns)
     return once.unionByName(docs.where("doc_id is null"))
 
 
