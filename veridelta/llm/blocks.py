@@ -10,67 +10,29 @@ block, so no task gathers more than its slice of the key space, whatever the dat
 
 from __future__ import annotations
 
+__all__ = ["Merged", "block_count", "block_of", "blocked", "dealt", "estimated_bytes", "planes", "pack", "read_answers", "requests", "shared_dir", "stored", "unpack", "unplanes"]
+
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridelta.functions.staging import CLEANUP, setting, shared_dir, stored
+
 U64 = np.uint64
 REQUEST = "bucket int, block int, keys binary, extra binary"
 ANSWER = "block int, bucket int, answer binary"
 
 
-#: Spark drops the shuffle files of a query when it ends
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or SparkContext's own setting.
-
-    Only a session in one JVM (local mode), as in tests, gets a folder of its own where neither is set.
-    """
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured.rstrip("/")
-    if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridelta-"))
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get().rstrip("/")
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage and shuffle files end there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veridelta/{name}-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite").option("compression", "zstd")
-    with _setting(spark, CLEANUP, "true"):
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dealt(rows: DataFrame, n: int, name: str) -> DataFrame:
     """The rows in a table bucketed by their column block: every later pass over blocks reads it without an exchange."""
     spark = rows.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     w = rows.repartition(n, "block").write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/veridelta/{table}")
-    with _setting(spark, CLEANUP, "true"):
+    with setting(spark, CLEANUP, "true"):
         w.saveAsTable(table, format="parquet")
     return spark.table(table)
 
@@ -81,10 +43,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 55 else None
 
 
-def block_count(docs: DataFrame, text: str = "text", mb: int = 14) -> int:
-    """Blocks of about so many MB of text; their number follows the text's true size."""
+def block_count(docs: DataFrame, text: str = "text", mb: int = 14, most: int = 4096, most_mb: int = 64) -> int:
+    """Blocks of about mb MB of text; their number follows the text's true size.
+
+    Blocks and buckets exchange a row for each two of them, so beyond `most` blocks they grow
+    first, up to most_mb, before their number does.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    return max(8, -(-size // (mb << 20)))
+    return max(8, min(most, -(-size // (mb << 20))), -(-size // (most_mb << 20)))
 
 
 def blocked(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", name: str = "blocks") -> DataFrame:
@@ -171,7 +137,3 @@ def read_answers(table: pa.Table, keys: np.ndarray, buckets: int, dtype: type) -
     got = dict(zip(table.column("bucket").to_pylist(), table.column("answer").to_pylist(), strict=True))
     used, _ = cuts(keys, buckets)
     return np.concatenate([unplanes(got[int(b)], dtype) for b in used]) if len(used) else np.zeros(0, dtype)
-
-
-def batches(table: pa.Table, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches(max_chunksize=rows)
