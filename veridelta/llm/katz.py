@@ -9,7 +9,7 @@ Unigrams are discounted too and what they leave is the probability of one furthe
 <unk>; so P sums to 1 over the V + 1 types after every history.  Where a history's counts
 leave nothing to back off with (all above the discounted range), its denominator is c(h)+1.
 
-Counting and look-up are one exchange per order between blocks of documents and buckets of
+Counting and look-up are one exchange per order, one order after the other, between blocks of documents and buckets of
 the n-gram space (see blocks.py): a block sends its distinct n-grams with their training
 counts, a bucket adds up, and the answers are a written table, partitioned by order.  For
 each n-gram one block is named owner; owners sum discounted and lower-order mass by history,
@@ -28,6 +28,7 @@ are ignored; without training text every token has probability 1 / (V + 1) = 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,15 +95,22 @@ class _Text:
 
 
 class _Block:
-    """All scored tokens of a block's texts: row of the text, whether it trains, n-grams and histories of each order."""
+    """All scored tokens of a block's texts: row of the text, whether it trains; n-grams and histories of one order at a time."""
 
     def __init__(self, table: pa.Table, order: int) -> None:
-        texts = [_Text(w, order) for w in T.words(T.column(table, "text"), T.whitespace_words(), T.folded())]
-        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        self.row = join([t.rows[t.doc] for t in texts], np.int64)
+        self.texts = [_Text(w, order) for w in T.words(T.column(table, "text"), T.whitespace_words(), T.folded())]
+        self.row = _join([t.rows[t.doc] for t in self.texts], np.int64)
         self.train = np.asarray(T.column(table, "train"))[self.row]
-        self.grams = {k: _Index(join([t.grams(k) for t in texts], U64)) for k in range(1, order + 1)}
-        self.histories = {k: _Index(join([t.histories(k) for t in texts], U64)) for k in range(2, order + 1)}
+
+    def grams(self, k: int) -> _Index:
+        return _Index(_join([t.grams(k) for t in self.texts], U64))
+
+    def histories(self, k: int) -> _Index:
+        return _Index(_join([t.histories(k) for t in self.texts], U64))
+
+
+def _join(parts: list[np.ndarray], dtype: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
 class _Index:
@@ -131,31 +139,31 @@ class Model:
         self.unknown = 1 - taken / self.denominator
 
 
-class _Known:
-    """What a block knows of its k-grams after the exchanges: counts and owner flags; of histories c(h) and alpha(h)."""
-
-    def __init__(self, block: _Block, got: pa.Table, k: int, buckets: int, alphas: bool) -> None:
-        def of(kind: str) -> pa.Table:
-            return got.filter(pc.and_(pc.equal(got.column("kind"), kind), pc.equal(got.column("order"), k)))
+def _answers(got: pa.Table, kind: str, k: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What the exchanges say of a block's k-grams (2 * count, + 1 for the owner) or histories (c(h) + alpha(h) i)."""
+    own = got.filter(pc.and_(pc.equal(got.column("kind"), kind), pc.equal(got.column("order"), k)))
+    return B.read_answers(own, keys, buckets, np.int64 if kind == "count" else np.complex128)
 
-        x = B.read_answers(of("count"), block.grams[k].keys, buckets, np.int64)
-        self.count, self.owner = x >> 1, x & 1 > 0
-        if alphas:
-            a = B.read_answers(of("alpha"), block.histories[k].keys, buckets, np.complex128)
-            self.total, self.alpha = a.real.copy(), a.imag.copy()
 
+def _probabilities(block: _Block, got: pa.Table, model: Model, order: int, at: np.ndarray | slice, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the k-grams that end at these positions and P of the tokens by order k, for k = 1 to order.
 
-def _probabilities(block: _Block, known: list[_Known], model: Model, order: int, at: np.ndarray | slice) -> np.ndarray:
-    """P of the tokens at these positions: from unigrams up, an order that has not seen the n-gram backs off to the one below."""
-    c = known[0].count[block.grams[1].place[at]]
-    p = np.where(c > 0, _discount(c, model.d[0]) / max(model.denominator, 1), model.unknown)
-    for k in range(2, order + 1):
-        x = known[k - 1]
-        c = x.count[block.grams[k].place[at]]
-        h = block.histories[k].place[at]
-        n, alpha = x.total[h], x.alpha[h]
-        p = np.where(c > 0, _discount(c, model.d[k - 1]) / np.where(n > 0, n, 1), np.where(n > 0, alpha * p, p))
-    return p
+    An n-gram that was not seen backs off to the order below, whose P is the one before; one
+    order's n-grams are held at a time.
+    """
+    p = np.zeros(0)
+    for k in range(1, order + 1):
+        g = block.grams(k)
+        c = (_answers(got, "count", k, g.keys, buckets) >> 1)[g.place[at]]
+        del g
+        if k == 1:
+            p = np.where(c > 0, _discount(c, model.d[0]) / max(model.denominator, 1), model.unknown)
+        else:
+            h = block.histories(k)
+            a = _answers(got, "alpha", k, h.keys, buckets)[h.place[at]]
+            del h
+            p = np.where(c > 0, _discount(c, model.d[k - 1]) / np.where(a.real > 0, a.real, 1), np.where(a.real > 0, a.imag * p, p))
+        yield c, p
 
 
 #: block -1: the bucket's own keys and values, kept for the model
@@ -173,16 +181,15 @@ def _kept(rows: pa.Table, bucket: int, keys: np.ndarray | None, values: np.ndarr
 
 
 def _count_tables(blocks: DataFrame, order: int, n: int, keep: bool) -> DataFrame:
-    """n-gram counts of all orders, as answers to the blocks that asked, with a bucket's counts of counts."""
+    """n-gram counts of all orders, one after the other, as answers to the blocks that asked, with a bucket's counts of counts."""
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = _Block(table, order)
-        out = []
-        for k, own in block.grams.items():
-            count = np.bincount(own.place[block.train], minlength=len(own.keys)).astype(np.int32)
-            rows = B.requests(key[0].as_py(), own.keys, n, [count])
-            out.append(rows.append_column("order", pa.array([k] * rows.num_rows, pa.int32())))
-        return pa.concat_tables(out)
+    def ask_for(k: int):
+        def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            block = _Block(table, order)
+            own = block.grams(k)
+            return B.requests(key[0].as_py(), own.keys, n, [np.bincount(own.place[block.train], minlength=len(own.keys)).astype(np.int32)])
+
+        return ask
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = B.Merged(table, [np.int32])
@@ -192,11 +199,15 @@ def _count_tables(blocks: DataFrame, order: int, n: int, keep: bool) -> DataFram
         owner = np.zeros(len(x.order), np.int64)
         owner[x.at] = 1
         seen = total > 0
-        rows = _kept(x.answers(key[1].as_py(), total[x.group] * 2 + owner), key[1].as_py(), x.keys[seen] if keep else None, total[seen] * 2)
-        return rows.append_column("stat", pa.array([stat, *[None] * (rows.num_rows - 1)], pa.list_(pa.int64()))).append_column("order", pa.array([key[0].as_py()] * rows.num_rows, pa.int32()))
+        rows = _kept(x.answers(key[0].as_py(), total[x.group] * 2 + owner), key[0].as_py(), x.keys[seen] if keep else None, total[seen] * 2)
+        return rows.append_column("stat", pa.array([stat, *[None] * (rows.num_rows - 1)], pa.list_(pa.int64())))
 
-    asked = blocks.groupBy("block").applyInArrow(ask, f"{B.REQUEST}, order int")
-    return B.stored(asked.groupBy("order", "bucket").applyInArrow(add, f"{COUNTS}, order int"), "ngram-counts", "order").withColumn("kind", F.lit("count"))
+    out = None
+    for k in range(1, order + 1):
+        asked = blocks.groupBy("block").applyInArrow(ask_for(k), B.REQUEST)
+        rows = B.stored(asked.groupBy("bucket").applyInArrow(add, COUNTS).withColumn("order", F.lit(k)), f"ngram-counts-{k}")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("kind", F.lit("count"))
 
 
 def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int, n: int, keep: bool) -> DataFrame:
@@ -204,12 +215,15 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
-        known = [_Known(block, answers, j, n, 1 < j < k) for j in range(1, k + 1)]
-        own, hist = known[-1], block.histories[k]
-        use = np.flatnonzero(own.owner & (own.count > 0))  # each n-gram counts once, with its owner
-        at = block.grams[k].one[use]
-        h, c = hist.place[at], own.count[use]
-        sums = [np.bincount(h, x, len(hist.keys)) for x in (c, _discount(c, model.d[k - 1]), _probabilities(block, known, model, k - 1, at))]
+        own = block.grams(k)
+        x = _answers(answers, "count", k, own.keys, n)
+        use = np.flatnonzero((x & 1 > 0) & (x > 1))  # each seen n-gram counts once, with its owner
+        at, c = own.one[use], x[use] >> 1
+        del own, x
+        *_, (_, lower) = _probabilities(block, answers, model, k - 1, at, n)
+        hist = block.histories(k)
+        h = hist.place[at]
+        sums = [np.bincount(h, y, len(hist.keys)) for y in (c, _discount(c, model.d[k - 1]), lower)]
         return B.requests(key[0].as_py(), hist.keys, n, sums)
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -243,7 +257,7 @@ def _learned(blocks: DataFrame, order: int, n: int, keep: bool) -> tuple[Model,
     return model, got
 
 
-def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> DataFrame:
+def katz_scores(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 9) -> DataFrame:
     """The scores of all whole texts by the model of those where train holds (null: not)."""
     blocks, n = _blocks(docs, train, block_mb)
     return _scored(blocks, *_learned(blocks, order, n, False), order, n)
@@ -258,7 +272,7 @@ class Katz:
     order: int
     buckets: int
 
-    def score(self, docs: DataFrame, block_mb: int = 14) -> DataFrame:
+    def score(self, docs: DataFrame, block_mb: int = 9) -> DataFrame:
         """Scores of any texts; all count as held out."""
         blocks, _ = _blocks(docs, F.lit(False), block_mb)
         order, buckets = self.order, self.buckets
@@ -266,9 +280,9 @@ class Katz:
         def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             block = _Block(table, order)
             out = []
-            for kind, lists in (("count", block.grams), ("alpha", block.histories)):
-                for k, own in lists.items():
-                    rows = B.requests(key[0].as_py(), own.keys, buckets).drop_columns(["extra"])
+            for kind, index, first in (("count", block.grams, 1), ("alpha", block.histories, 2)):
+                for k in range(first, order + 1):
+                    rows = B.requests(key[0].as_py(), index(k).keys, buckets).drop_columns(["extra"])
                     out.append(rows.append_column("kind", pa.array([kind] * rows.num_rows, pa.string())).append_column("order", pa.array([k] * rows.num_rows, pa.int32())))
             return pa.concat_tables(out)
 
@@ -290,7 +304,7 @@ class Katz:
         return _scored(blocks, self.model, B.stored(got, "looked-up"), order, buckets)
 
 
-def fit(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 14) -> Katz:
+def fit(docs: DataFrame, train: F.Column, order: int = 3, block_mb: int = 9) -> Katz:
     """The model of the texts where train holds (null: not), in a table partitioned by order."""
     blocks, n = _blocks(docs, train, block_mb)
     model, got = _learned(blocks, order, n, True)
@@ -303,10 +317,11 @@ def _scored(blocks: DataFrame, model: Model, got: DataFrame, order: int, n: int)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
-        known = [_Known(block, answers, k, n, k > 1) for k in range(1, order + 1)]
-        c = known[0].count[block.grams[1].place]
-        base = np.log10((c + 1) / (model.total + model.types + 1))
-        sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(c)), c > 0, base, np.log10(_probabilities(block, known, model, order, slice(None))))]
+        base, seen, p = np.zeros(0), np.zeros(0, bool), np.zeros(0)
+        for k, (c, p) in enumerate(_probabilities(block, answers, model, order, slice(None), n)):
+            if k == 0:
+                base, seen = np.log10((c + 1) / (model.total + model.types + 1)), c > 0
+        sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(seen)), seen, base, np.log10(p))]
         cols = [x.astype(np.int64) for x in sums[:2]] + sums[2:]
         held = pc.invert(T.column(table, "train"))
         return pa.table([T.column(table, "doc_id"), held, *map(pa.array, cols[:2]), pa.array(np.full(table.num_rows, model.total, np.int64)), *map(pa.array, cols[2:])], names=[x.split()[0] for x in SCORES.split(", ")])
