@@ -73,6 +73,15 @@ def unplanes(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def squeezed(raw: bytes) -> bytes:
+    """The bytes by zstd, behind their length: planes of counts and flags shrink to little before they are exchanged."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def unsqueezed(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) if b else b""
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted keys as differences."""
     return planes(np.diff(keys, prepend=U64(0))) if len(keys) else b""
@@ -92,7 +101,7 @@ def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def requests(block: int, keys: np.ndarray, buckets: int, extra: list[np.ndarray] | None = None) -> pa.Table:
     """Rows of REQUEST for a block's sorted distinct keys; extra: columns beside them."""
     used, at = cuts(keys, buckets)
-    rows = [(int(b), block, pack(keys[i:j]), b"".join(planes(np.ascontiguousarray(x[i:j])) for x in extra or [])) for b, i, j in zip(used, at[:-1], at[1:], strict=True)]
+    rows = [(int(b), block, pack(keys[i:j]), squeezed(b"".join(planes(np.ascontiguousarray(x[i:j])) for x in extra or []))) for b, i, j in zip(used, at[:-1], at[1:], strict=True)]
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "extra": pa.array([r[3] for r in rows], pa.binary())})
 
 
@@ -113,7 +122,7 @@ class Merged:
         self.extra: list[np.ndarray] = []
         cols: list[list[np.ndarray]] = [[] for _ in dtypes]
         for n, e in zip(self.sizes, table.column("extra").to_pylist(), strict=True):
-            lo = 0
+            e, lo = unsqueezed(e), 0
             for k, t in enumerate(dtypes):
                 hi = lo + n * np.dtype(t).itemsize
                 cols[k].append(unplanes(e[lo:hi], t))
@@ -129,11 +138,11 @@ class Merged:
         back = np.empty_like(entry)
         back[self.order] = entry
         parts = np.split(back, np.cumsum(self.sizes)[:-1]) if self.sizes else []
-        return pa.table({"block": pa.array(self.blocks, pa.int32()), "bucket": pa.array([bucket] * len(self.blocks), pa.int32()), "answer": pa.array([planes(p) for p in parts], pa.binary())})
+        return pa.table({"block": pa.array(self.blocks, pa.int32()), "bucket": pa.array([bucket] * len(self.blocks), pa.int32()), "answer": pa.array([squeezed(planes(p)) for p in parts], pa.binary())})
 
 
 def read_answers(table: pa.Table, keys: np.ndarray, buckets: int, dtype: type) -> np.ndarray:
     """The answers for a block's sorted distinct keys, in their order."""
     got = dict(zip(table.column("bucket").to_pylist(), table.column("answer").to_pylist(), strict=True))
     used, _ = cuts(keys, buckets)
-    return np.concatenate([unplanes(got[int(b)], dtype) for b in used]) if len(used) else np.zeros(0, dtype)
+    return np.concatenate([unplanes(unsqueezed(got[int(b)]), dtype) for b in used]) if len(used) else np.zeros(0, dtype)

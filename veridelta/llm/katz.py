@@ -176,7 +176,7 @@ def _kept(rows: pa.Table, bucket: int, keys: np.ndarray | None, values: np.ndarr
     rows = rows.append_column("keys", pa.nulls(rows.num_rows, pa.binary()))
     if keys is None:
         return rows
-    own = pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "answer": pa.array([B.planes(values)], pa.binary()), "keys": pa.array([B.pack(keys)], pa.binary())})
+    own = pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "answer": pa.array([B.squeezed(B.planes(values))], pa.binary()), "keys": pa.array([B.pack(keys)], pa.binary())})
     return pa.concat_tables([rows, own.select(rows.column_names)])
 
 
@@ -235,7 +235,8 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
         c = np.where((free > 0) | (c == 0), c, taken)  # nothing to back off to: the seen take all
         return _kept(x.answers(key[0].as_py(), (c + 1j * alpha)[x.group]), key[0].as_py(), x.keys[c > 0] if keep else None, (c + 1j * alpha)[c > 0])
 
-    asked = blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(ask, B.REQUEST)
+    needed = got.where((F.col("block") >= 0) & (F.col("order") <= k)).select("block", "bucket", "answer", "order", "kind")
+    asked = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(ask, B.REQUEST)
     rows = asked.groupBy("bucket").applyInArrow(add, ALPHAS).select("*", F.lit(k).alias("order"))
     return B.stored(rows, f"alpha-{k}").withColumn("kind", F.lit("alpha"))
 
@@ -289,13 +290,13 @@ class Katz:
         def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
             dtype = np.int64 if key[0].as_py() == "count" else np.complex128
             keys = B.unpack(known.column("keys")[0].as_py()) if known.num_rows else np.zeros(0, U64)
-            values = B.unplanes(known.column("answer")[0].as_py(), dtype) if known.num_rows else np.zeros(0, dtype)
+            values = B.unplanes(B.unsqueezed(known.column("answer")[0].as_py()), dtype) if known.num_rows else np.zeros(0, dtype)
             keys, values = np.append(keys, U64(0)), np.append(values, dtype(0))  # where nothing is found
             answers = []
             for packed in asked.column("keys").to_pylist():
                 own = B.unpack(packed)
                 i = np.minimum(np.searchsorted(keys[:-1], own), len(keys) - 1)
-                answers.append(B.planes(np.where(keys[i] == own, values[i], dtype(0))))
+                answers.append(B.squeezed(B.planes(np.where(keys[i] == own, values[i], dtype(0)))))
             return asked.drop_columns(["keys"]).append_column("answer", pa.array(answers, pa.binary()))
 
         by = ("kind", "order", "bucket")
