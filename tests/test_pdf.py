@@ -69,6 +69,14 @@ def test_stream_data_that_ends_like_a_line():
             P.decoded(broken, P.Name("FlateDecode"), None)
 
 
+def test_positions_where_a_streams_data_end_like_a_line():
+    for style in (Style(), Style("png", "to-unicode", "each", "nested"), Style("flate", "to-unicode", "quote", "bare"), Style("tiff", "winansi", "quote", "xref-stream")):
+        for i in range(200):
+            heading, line = "H" * (i + 1), "a" * (i + 1) + " b"
+            blocks = extract_blocks(pdf_file([[[(72, 2000, 18, heading)], [(72, 1948, 10, line)]]], style))
+            assert [(b.text, b.x, round(b.y, 6), b.size, len(b.lines)) for b in blocks] == [(heading, 72, 2000, 18, 1), (line, 72, 1948, 10, 1)]
+
+
 def test_predictors():
     rows = [bytes(range(i, i + 6)) for i in (10, 20, 200, 7, 90)]
 
