@@ -179,3 +179,17 @@ def test_reports(spark):
     assert [(x["kind"], x["similarity"]) for x in changes] == [("changed", 0.8), ("deleted", None)] and changes[0]["explanation"] is None
     with pytest.raises(ValueError):
         c.reports("html")
+
+
+def test_json_rounds_halves_as_sql():
+    import duckdb
+
+    from veridelta.operators.report import Pair, rounded
+
+    values = [3.125, 0.375, 99.625, 2.675, 1.005, 0.00005, 0.12345, -3.125, 100 * (1 - 31 / 32), 50.0, 0.0]
+    for digits in (2, 4):
+        want = duckdb.execute(f"SELECT round(unnest(?::DOUBLE[]), {digits})", [values]).fetchall()
+        assert [rounded(x, digits) for x in values] == [x for (x,) in want]
+    level = {"granularity": "paragraph", "similarity_pct": 3.125, "difference_pct": 96.875, "n_a": 1, "n_b": 1, "judged_pairs": 0, "n_same": 0, "changes": []}
+    assert '"similarity_pct": 3.13,' in Pair("1", "2", "e", "none", "paragraph", [level]).json()
+    assert rounded(float("inf"), 2) == float("inf")
