@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from veridelta.llm import katz as K
 from veridelta.llm import queries as Q
 from veridelta.llm.katz import discounts, fit, katz_scores
 from tests.llm.collisions import thue_morse_words
@@ -137,3 +138,16 @@ def test_fitted_model_scores_new_texts(spark, order):
     assert model.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     kinds = {(r.kind, r.order) for r in model.table.select("kind", "order").distinct().collect()}
     assert kinds == {("count", k) for k in range(1, order + 1)} | {("alpha", k) for k in range(2, order + 1)}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_what_one_block_alone_has_is_not_exchanged(spark, order):
+    rows = [(d, " ".join(f"x{d}y{i}" for i in range(50)) + " a b c a b d") for d in range(60)]
+    blocks, n = K._blocks(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), 9)
+    model, got = K._learned(blocks, order, n, False)
+    sent = Counter()
+    for r in got.where("block >= 0").collect():
+        sent[r.kind, r.order] += len(K.B.unplanes(K.B.unsqueezed(r.answer), "i8" if r.kind == "count" else "c16"))
+    # words that one text has are 3,000 of 3,005; longer ones are sent where all their words are other texts' too
+    assert sent["count", 1] >= 3000 and sent["count", order] <= n * 10 and sent["alpha", order] <= n * 10
+    assert model.total == 60 * 57

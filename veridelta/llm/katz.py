@@ -14,7 +14,11 @@ the n-gram space (see blocks.py): a block sends its distinct n-grams with their
 counts, a bucket adds up, and the answers are a written table, partitioned by order.  For
 each n-gram one block is named owner; owners sum discounted and lower-order mass by history,
 and a second exchange adds these to alpha(h).  The last pass evaluates token by token, from
-the highest order down.  Everything gathered follows the corpus; the driver sees only
+the lowest order up.
+
+A bucket also says which n-grams only one block holds.  What holds such an n-gram, the longer
+n-grams that begin or end with it and the history that it is, only that block has too: it
+counts and weighs them itself, exactly, and they are not exchanged.  Everything gathered follows the corpus; the driver sees only
 counts of counts.
 
 fit() keeps what the buckets know as two written tables, n-grams with their counts and
@@ -105,6 +109,12 @@ class _Block:
     def grams(self, k: int) -> _Index:
         return _Index(_join([t.grams(k) for t in self.texts], U64))
 
+    def before(self, flag: np.ndarray) -> np.ndarray:
+        """What holds for the token before, in the same text; the first token of a text has none."""
+        out = np.zeros(len(flag), bool)
+        out[1:] = flag[:-1] & (self.row[1:] == self.row[:-1])
+        return out
+
     def histories(self, k: int) -> _Index:
         return _Index(_join([t.histories(k) for t in self.texts], U64))
 
@@ -139,31 +149,79 @@ class Model:
         self.unknown = 1 - taken / self.denominator
 
 
+#: an n-gram's answer is its count in steps of STEP, and whether this block is its owner and the only one that has it
+OWNER, SOLE, STEP = 1, 2, 4
+
+
 def _answers(got: pa.Table, kind: str, k: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """What the exchanges say of a block's k-grams (2 * count, + 1 for the owner) or histories (c(h) + alpha(h) i)."""
+    """What the exchanges say of a block's k-grams (count and flags) or histories (c(h) + alpha(h) i)."""
     own = got.filter(pc.and_(pc.equal(got.column("kind"), kind), pc.equal(got.column("order"), k)))
     return B.read_answers(own, keys, buckets, np.int64 if kind == "count" else np.complex128)
 
 
-def _probabilities(block: _Block, got: pa.Table, model: Model, order: int, at: np.ndarray | slice, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Counts of the k-grams that end at these positions and P of the tokens by order k, for k = 1 to order.
+def _alone(block: _Block, sole: np.ndarray) -> np.ndarray:
+    """Positions whose k-gram begins or ends with a (k - 1)-gram that no other block has; sole: of the (k - 1)-grams."""
+    return sole | block.before(sole)
+
+
+def _known(block: _Block, g: _Index, alone: np.ndarray, got: pa.Table, k: int, buckets: int) -> np.ndarray:
+    """Count and flags of each k-gram, from the exchange or the block's own count."""
+    own = alone[g.one]
+    x = np.bincount(g.place[block.train], minlength=len(g.keys)).astype(np.int64) * STEP + (OWNER | SOLE)
+    x[~own] = _answers(got, "count", k, g.keys[~own], buckets)
+    return x
+
+
+def _sole(block: _Block, got: pa.Table, order: int, buckets: int) -> np.ndarray:
+    """At each position, whether no other block has the n-gram of this order that ends there."""
+    sole = np.zeros(len(block.row), bool)
+    for k in range(1, order + 1):
+        g = block.grams(k)
+        sole = (_known(block, g, _alone(block, sole), got, k, buckets) & SOLE > 0)[g.place]
+    return sole
+
+
+def _sums(g: _Index, x: np.ndarray, h: _Index, p: np.ndarray, d: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """By history, over the seen n-grams that the block owns: counts, discounted counts, lower-order probabilities; of: the histories asked for."""
+    at = h.place[g.one]
+    use = np.flatnonzero((x & OWNER > 0) & (x >= STEP) & of[at])
+    c, at = x[use] // STEP, at[use]
+    return [np.bincount(at, y, len(h.keys)) for y in (c, _discount(c, d), p[g.one[use]])]
+
+
+def _weights(c: np.ndarray, taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """c(h) + alpha(h) i from whole sums."""
+    c = np.where(c - taken > _EPS * c, c, c + (c > 0))
+    free = 1 - lower
+    alpha = np.where(free > 0, (1 - taken / np.where(c > 0, c, 1)) / np.where(free > 0, free, 1), 0)
+    return np.where((free > 0) | (c == 0), c, taken) + 1j * alpha  # nothing to back off to: the seen take all
+
+
+def _probabilities(block: _Block, got: pa.Table, model: Model, order: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1 to order and all positions: counts of the k-grams, P of the tokens by order k, whether no other block has the k-gram.
 
     An n-gram that was not seen backs off to the order below, whose P is the one before; one
     order's n-grams are held at a time.
     """
-    p = np.zeros(0)
+    p, sole = np.zeros(0), np.zeros(len(block.row), bool)
     for k in range(1, order + 1):
         g = block.grams(k)
-        c = (_answers(got, "count", k, g.keys, buckets) >> 1)[g.place[at]]
-        del g
+        x = _known(block, g, _alone(block, sole), got, k, buckets)
+        c = (x // STEP)[g.place]
         if k == 1:
             p = np.where(c > 0, _discount(c, model.d[0]) / max(model.denominator, 1), model.unknown)
         else:
             h = block.histories(k)
-            a = _answers(got, "alpha", k, h.keys, buckets)[h.place[at]]
+            own = block.before(sole)[h.one]
+            a = _weights(*_sums(g, x, h, p, model.d[k - 1], own))
+            a[~own] = _answers(got, "alpha", k, h.keys[~own], buckets)
+            a = a[h.place]
             del h
             p = np.where(c > 0, _discount(c, model.d[k - 1]) / np.where(a.real > 0, a.real, 1), np.where(a.real > 0, a.imag * p, p))
-        yield c, p
+            del a
+        sole = (x & SOLE > 0)[g.place]
+        del g, x
+        yield c, p, sole
 
 
 #: block -1: the bucket's own keys and values, kept for the model
@@ -181,33 +239,51 @@ def _kept(rows: pa.Table, bucket: int, keys: np.ndarray | None, values: np.ndarr
 
 
 def _count_tables(blocks: DataFrame, order: int, n: int, keep: bool) -> DataFrame:
-    """n-gram counts of all orders, one after the other, as answers to the blocks that asked, with a bucket's counts of counts."""
+    """n-gram counts of all orders, one after the other, as answers to the blocks that asked, with a bucket's counts of counts.
+
+    Row -1 of a bucket has these; a block's of what it alone has come to a bucket as such a row.
+    A model that is kept needs all n-grams in the buckets, so there nothing counts as one block's.
+    """
+
+    def stat(counts: np.ndarray) -> np.ndarray:
+        often = np.bincount(np.minimum(counts, GT_MAX + 2), minlength=GT_MAX + 3)
+        return np.array([(counts > 0).sum(), counts.sum(), *often[1 : GT_MAX + 2]], np.int64)
 
     def ask_for(k: int):
-        def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            block = _Block(table, order)
+        def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table | None) -> pa.Table:
+            block, at = _Block(table, order), key[0].as_py()
+            alone = _alone(block, _sole(block, answers, k - 1, n))
             own = block.grams(k)
-            return B.requests(key[0].as_py(), own.keys, n, [np.bincount(own.place[block.train], minlength=len(own.keys)).astype(np.int32)])
+            counts, mine = np.bincount(own.place[block.train], minlength=len(own.keys)).astype(np.int32), alone[own.one]
+            rows = B.requests(at, own.keys[~mine], n, [counts[~mine]])
+            if not mine.any():
+                return rows
+            said = pa.table({"bucket": [at % n], "block": [-1], "keys": [b""], "extra": [stat(counts[mine]).tobytes()]}, rows.schema)
+            return pa.concat_tables([rows, said])
 
-        return ask
+        return ask if k > 1 else lambda key, table: ask(key, table, None)
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = B.Merged(table, [np.int32])
+        said = table.filter(pc.less(table.column("block"), 0)).column("extra").to_pylist()
+        x = B.Merged(table.filter(pc.greater_equal(table.column("block"), 0)), [np.int32])
         total = x.reduce(np.add, x.extra[0].astype(np.int64))
-        often = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
-        stat = [int((total > 0).sum()), int(total.sum()), *often[1 : GT_MAX + 2].tolist()]
-        owner = np.zeros(len(x.order), np.int64)
-        owner[x.at] = 1
-        seen = total > 0
-        rows = _kept(x.answers(key[0].as_py(), total[x.group] * 2 + owner), key[0].as_py(), x.keys[seen] if keep else None, total[seen] * 2)
-        return rows.append_column("stat", pa.array([stat, *[None] * (rows.num_rows - 1)], pa.list_(pa.int64())))
+        own = sum((np.frombuffer(b, np.int64) for b in said), stat(total))
+        flags = np.zeros(len(x.order), np.int64)
+        flags[x.at] = OWNER
+        if not keep:
+            flags[x.at[np.diff(x.at, append=len(x.order)) == 1]] |= SOLE
+        seen = total > 0 if keep else np.zeros(len(total), bool)
+        rows = _kept(x.answers(key[0].as_py(), total[x.group] * STEP + flags), key[0].as_py(), x.keys[seen], total[seen] * STEP)
+        return rows.append_column("stat", pa.array([*[None] * (rows.num_rows - 1), own.tolist()], pa.list_(pa.int64())))
 
     out = None
     for k in range(1, order + 1):
-        asked = blocks.groupBy("block").applyInArrow(ask_for(k), B.REQUEST)
-        rows = B.stored(asked.groupBy("bucket").applyInArrow(add, COUNTS).withColumn("order", F.lit(k)), f"ngram-counts-{k}")
+        by = blocks.groupBy("block")
+        by = by if out is None else by.cogroup(out.where("block >= 0").select("block", "bucket", "answer", "order", "kind").groupBy("block"))
+        asked = by.applyInArrow(ask_for(k), B.REQUEST)
+        rows = B.stored(asked.groupBy("bucket").applyInArrow(add, COUNTS).withColumns({"order": F.lit(k), "kind": F.lit("count")}), f"ngram-counts-{k}")
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("kind", F.lit("count"))
+    return out
 
 
 def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int, n: int, keep: bool) -> DataFrame:
@@ -215,25 +291,18 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
-        own = block.grams(k)
-        x = _answers(answers, "count", k, own.keys, n)
-        use = np.flatnonzero((x & 1 > 0) & (x > 1))  # each seen n-gram counts once, with its owner
-        at, c = own.one[use], x[use] >> 1
-        del own, x
-        *_, (_, lower) = _probabilities(block, answers, model, k - 1, at, n)
-        hist = block.histories(k)
-        h = hist.place[at]
-        sums = [np.bincount(h, y, len(hist.keys)) for y in (c, _discount(c, model.d[k - 1]), lower)]
-        return B.requests(key[0].as_py(), hist.keys, n, sums)
+        *_, (_, p, sole) = _probabilities(block, answers, model, k - 1, n)
+        g, h = block.grams(k), block.histories(k)
+        x = _known(block, g, _alone(block, sole), answers, k, n)
+        others = ~block.before(sole)[h.one]
+        sums = _sums(g, x, h, p, model.d[k - 1], others)  # each seen n-gram counts once, with its owner
+        return B.requests(key[0].as_py(), h.keys[others], n, [y[others] for y in sums])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = B.Merged(table, [np.float64] * 3)
-        c, taken, lower = (x.reduce(np.add, e) for e in x.extra)
-        c = np.where(c - taken > _EPS * c, c, c + (c > 0))
-        free = 1 - lower
-        alpha = np.where(free > 0, (1 - taken / np.where(c > 0, c, 1)) / np.where(free > 0, free, 1), 0)
-        c = np.where((free > 0) | (c == 0), c, taken)  # nothing to back off to: the seen take all
-        return _kept(x.answers(key[0].as_py(), (c + 1j * alpha)[x.group]), key[0].as_py(), x.keys[c > 0] if keep else None, (c + 1j * alpha)[c > 0])
+        a = _weights(*(x.reduce(np.add, e) for e in x.extra))
+        seen = a.real > 0
+        return _kept(x.answers(key[0].as_py(), a[x.group]), key[0].as_py(), x.keys[seen] if keep else None, a[seen])
 
     needed = got.where((F.col("block") >= 0) & (F.col("order") <= k)).select("block", "bucket", "answer", "order", "kind")
     asked = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(ask, B.REQUEST)
@@ -319,7 +388,7 @@ def _scored(blocks: DataFrame, model: Model, got: DataFrame, order: int, n: int)
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
         base, seen, p = np.zeros(0), np.zeros(0, bool), np.zeros(0)
-        for k, (c, p) in enumerate(_probabilities(block, answers, model, order, slice(None), n)):
+        for k, (c, p, _) in enumerate(_probabilities(block, answers, model, order, n)):
             if k == 0:
                 base, seen = np.log10((c + 1) / (model.total + model.types + 1)), c > 0
         sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(seen)), seen, base, np.log10(p))]
