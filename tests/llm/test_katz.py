@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,11 @@ def test_what_one_block_alone_has_is_not_exchanged(spark, order):
     # words that one text has are 3,000 of 3,005; longer ones are sent where all their words are other texts' too
     assert sent["count", 1] >= 3000 and sent["count", order] <= n * 10 and sent["alpha", order] <= n * 10
     assert model.total == 60 * 57
+
+
+def test_index_of_values_that_share_high_bits():
+    r = np.random.default_rng(1)
+    for x in (r.integers(0, 9, 3000), r.integers(0, 2**63, 40).repeat(50) ^ r.integers(0, 3, 2000), r.integers(0, 2**64, 1000, dtype=np.uint64), 2**64 - 1 - r.integers(0, 4, 100).astype(np.uint64), np.zeros(0)):
+        x = x.astype(np.uint64)
+        i = K._Index(x)
+        assert (i.keys == np.unique(x)).all() and (i.keys[i.place] == x).all() and (x[i.one] == i.keys).all()

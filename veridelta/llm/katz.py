@@ -93,13 +93,9 @@ class _Text:
         """The k-gram that ends at each scored position."""
         return T.grams(self.h, self.at - k + 1, k)
 
-    def histories(self, k: int) -> np.ndarray:
-        """The k - 1 words before each scored position."""
-        return T.grams(self.h, self.at - k + 1, k - 1)
-
 
 class _Block:
-    """All scored tokens of a block's texts: row of the text, whether it trains; n-grams and histories of one order at a time."""
+    """All scored tokens of a block's texts: row of the text, whether it trains; n-grams of one order at a time."""
 
     def __init__(self, table: pa.Table, order: int) -> None:
         self.texts = [_Text(w, order) for w in T.words(T.column(table, "text"), T.whitespace_words(), T.folded())]
@@ -115,9 +111,6 @@ class _Block:
         out[1:] = flag[:-1] & (self.row[1:] == self.row[:-1])
         return out
 
-    def histories(self, k: int) -> _Index:
-        return _Index(_join([t.histories(k) for t in self.texts], U64))
-
 
 def _join(parts: list[np.ndarray], dtype: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
@@ -127,8 +120,14 @@ class _Index:
     """Sorted distinct values, the place of each value among them, and one position of each distinct value."""
 
     def __init__(self, x: np.ndarray) -> None:
-        order = np.argsort(x)
+        # the values' high bits, each with its place below them, sort faster than places by value
+        low = U64((1 << len(x).bit_length()) - 1)
+        order = (np.sort(x & ~low | np.arange(len(x), dtype=U64)) & low).astype(np.int64)
         s = x[order]
+        for high in np.unique(s[1:][s[1:] < s[:-1]] & ~low):  # values that differ in low bits only
+            run = slice(*np.searchsorted(s & ~low, [high, high + U64(1)]))
+            order[run] = order[run][np.argsort(s[run], kind="stable")]
+            s[run] = x[order[run]]
         new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
         self.keys, self.one = s[new], order[new]
         self.place = np.empty(len(x), np.int32)
@@ -181,12 +180,23 @@ def _sole(block: _Block, got: pa.Table, order: int, buckets: int) -> np.ndarray:
     return sole
 
 
-def _sums(g: _Index, x: np.ndarray, h: _Index, p: np.ndarray, d: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+def _histories(block: _Block, g: _Index, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted (k - 1)-grams g with the history of a text's first token, the place of each position's history among them, and that of the first's."""
+    first = T.grams(np.full(k - 1, START), np.zeros(1, np.int64), k - 1)[0]
+    i = int(np.searchsorted(g.keys, first))
+    place = np.full(len(g.place), i, np.int32)
+    inner = np.flatnonzero(block.row[1:] == block.row[:-1])
+    before = g.place[inner]
+    place[inner + 1] = before + (before >= i)
+    return np.insert(g.keys, i, first), place, i
+
+
+def _sums(g: _Index, x: np.ndarray, place: np.ndarray, p: np.ndarray, d: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
     """By history, over the seen n-grams that the block owns: counts, discounted counts, lower-order probabilities; of: the histories asked for."""
-    at = h.place[g.one]
+    at = place[g.one]
     use = np.flatnonzero((x & OWNER > 0) & (x >= STEP) & of[at])
     c, at = x[use] // STEP, at[use]
-    return [np.bincount(at, y, len(h.keys)) for y in (c, _discount(c, d), p[g.one[use]])]
+    return [np.bincount(at, y, len(of)) for y in (c, _discount(c, d), p[g.one[use]])]
 
 
 def _weights(c: np.ndarray, taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -197,31 +207,30 @@ def _weights(c: np.ndarray, taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where((free > 0) | (c == 0), c, taken) + 1j * alpha  # nothing to back off to: the seen take all
 
 
-def _probabilities(block: _Block, got: pa.Table, model: Model, order: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For k = 1 to order and all positions: counts of the k-grams, P of the tokens by order k, whether no other block has the k-gram.
+def _probabilities(block: _Block, got: pa.Table, model: Model, order: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Index, np.ndarray]]:
+    """For k = 1 to order: at all positions, counts of the k-grams and P of the tokens by order k; the k-grams, and what is known of each.
 
-    An n-gram that was not seen backs off to the order below, whose P is the one before; one
-    order's n-grams are held at a time.
+    An n-gram that was not seen backs off to the order below, whose P is the one before.
     """
-    p, sole = np.zeros(0), np.zeros(len(block.row), bool)
+    p, sole, g, x = np.zeros(0), np.zeros(len(block.row), bool), None, None
     for k in range(1, order + 1):
+        if k > 1:
+            keys, place, i = _histories(block, g, k)
+            own = np.insert(x & SOLE > 0, i, False)
         g = block.grams(k)
         x = _known(block, g, _alone(block, sole), got, k, buckets)
         c = (x // STEP)[g.place]
         if k == 1:
             p = np.where(c > 0, _discount(c, model.d[0]) / max(model.denominator, 1), model.unknown)
         else:
-            h = block.histories(k)
-            own = block.before(sole)[h.one]
-            a = _weights(*_sums(g, x, h, p, model.d[k - 1], own))
-            a[~own] = _answers(got, "alpha", k, h.keys[~own], buckets)
-            a = a[h.place]
-            del h
+            a = _weights(*_sums(g, x, place, p, model.d[k - 1], own))
+            a[~own] = _answers(got, "alpha", k, keys[~own], buckets)
+            a = a[place]
+            del keys, place, own
             p = np.where(c > 0, _discount(c, model.d[k - 1]) / np.where(a.real > 0, a.real, 1), np.where(a.real > 0, a.imag * p, p))
             del a
         sole = (x & SOLE > 0)[g.place]
-        del g, x
-        yield c, p, sole
+        yield c, p, g, x
 
 
 #: block -1: the bucket's own keys and values, kept for the model
@@ -291,12 +300,13 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
-        *_, (_, p, sole) = _probabilities(block, answers, model, k - 1, n)
-        g, h = block.grams(k), block.histories(k)
+        *_, (_, p, g, x) = _probabilities(block, answers, model, k - 1, n)
+        keys, place, i = _histories(block, g, k)
+        others, sole = np.insert(x & SOLE == 0, i, True), (x & SOLE > 0)[g.place]
+        g = block.grams(k)
         x = _known(block, g, _alone(block, sole), answers, k, n)
-        others = ~block.before(sole)[h.one]
-        sums = _sums(g, x, h, p, model.d[k - 1], others)  # each seen n-gram counts once, with its owner
-        return B.requests(key[0].as_py(), h.keys[others], n, [y[others] for y in sums])
+        sums = _sums(g, x, place, p, model.d[k - 1], others)  # each seen n-gram counts once, with its owner
+        return B.requests(key[0].as_py(), keys[others], n, [y[others] for y in sums])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = B.Merged(table, [np.float64] * 3)
@@ -350,10 +360,11 @@ class Katz:
         def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             block = _Block(table, order)
             out = []
-            for kind, index, first in (("count", block.grams, 1), ("alpha", block.histories, 2)):
-                for k in range(first, order + 1):
-                    rows = B.requests(key[0].as_py(), index(k).keys, buckets).drop_columns(["extra"])
-                    out.append(rows.append_column("kind", pa.array([kind] * rows.num_rows, pa.string())).append_column("order", pa.array([k] * rows.num_rows, pa.int32())))
+            for k in range(1, order + 1):
+                g = block.grams(k)
+                for kind, j, keys in (("count", k, g.keys), ("alpha", k + 1, _histories(block, g, k + 1)[0]))[: 2 if k < order else 1]:
+                    rows = B.requests(key[0].as_py(), keys, buckets).drop_columns(["extra"])
+                    out.append(rows.append_column("kind", pa.array([kind] * rows.num_rows, pa.string())).append_column("order", pa.array([j] * rows.num_rows, pa.int32())))
             return pa.concat_tables(out)
 
         def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -388,7 +399,7 @@ def _scored(blocks: DataFrame, model: Model, got: DataFrame, order: int, n: int)
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
         base, seen, p = np.zeros(0), np.zeros(0, bool), np.zeros(0)
-        for k, (c, p, _) in enumerate(_probabilities(block, answers, model, order, n)):
+        for k, (c, p, *_) in enumerate(_probabilities(block, answers, model, order, n)):
             if k == 0:
                 base, seen = np.log10((c + 1) / (model.total + model.types + 1)), c > 0
         sums = [np.bincount(block.row, x, table.num_rows) for x in (np.ones(len(seen)), seen, base, np.log10(p))]
