@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from veridelta.operators.layout import build_blocks, rows_of
-from veridelta.plans.pdf_samples import Style, pdf_file
+from veridelta.plans.pdf_samples import SHOWS, Style, pdf_file
 from veridelta.sources import pdf_syntax as P
 from veridelta.sources import pdf_text as X
 from veridelta.sources.pdf import extract_blocks, pdf_blocks, read_pdfs
@@ -77,6 +77,12 @@ def test_positions_where_a_streams_data_end_like_a_line():
             assert [(b.text, b.x, round(b.y, 6), b.size, len(b.lines)) for b in blocks] == [(heading, 72, 2000, 18, 1), (line, 72, 1948, 10, 1)]
 
 
+def test_positions_far_down_a_page():
+    for show in SHOWS:
+        blocks = extract_blocks(pdf_file([[[(72, -1234568, 10, "one"), (72, -1234580, 10, "two")], [(72, -1234633, 10, "three")]]], Style(show=show)))
+        assert [(b.text, b.x, b.y, b.size, len(b.lines)) for b in blocks] == [("one two", 72, -1234568, 10, 2), ("three", 72, -1234633, 10, 1)]
+
+
 def test_predictors():
     rows = [bytes(range(i, i + 6)) for i in (10, 20, 200, 7, 90)]
 
