@@ -160,3 +160,18 @@ def test_index_of_values_that_share_high_bits():
         x = x.astype(np.uint64)
         i = K._Index(x)
         assert (i.keys == np.unique(x)).all() and (i.keys[i.place] == x).all() and (x[i.one] == i.keys).all()
+
+
+def test_alpha_goes_only_to_blocks_that_back_off(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(12))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def answers(train):
+        blocks, n = K._blocks(docs, train, 9)
+        got = K._learned(blocks, 3, n, False)[1].where("kind = 'alpha'").select("answer").collect()
+        return np.concatenate([K.B.unplanes(K.B.unsqueezed(r[0]), np.complex128) for r in got])
+
+    all_seen, some_unseen = answers(F.lit(True)), answers(F.col("doc_id") % 7 != 2)
+    assert (all_seen.real > 0).any() and not all_seen.imag.any()
+    assert (some_unseen.imag > 0).any()

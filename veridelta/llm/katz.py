@@ -296,7 +296,7 @@ def _count_tables(blocks: DataFrame, order: int, n: int, keep: bool) -> DataFram
 
 
 def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int, n: int, keep: bool) -> DataFrame:
-    """c(h) and alpha(h) of order k, as answers to the blocks that have the history."""
+    """c(h) and alpha(h) of order k, as answers to the blocks that have the history; alpha(h) only to those that back off from it."""
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, order)
@@ -306,13 +306,16 @@ def _alphas(blocks: DataFrame, got: DataFrame, model: Model, k: int, order: int,
         g = block.grams(k)
         x = _known(block, g, _alone(block, sole), answers, k, n)
         sums = _sums(g, x, place, p, model.d[k - 1], others)  # each seen n-gram counts once, with its owner
-        return B.requests(key[0].as_py(), keys[others], n, [y[others] for y in sums])
+        backs = np.zeros(len(keys), np.uint8)  # only what was not seen asks for alpha(h)
+        backs[place[(x < STEP)[g.place]]] = 1
+        return B.requests(key[0].as_py(), keys[others], n, [y[others] for y in (*sums, backs)])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = B.Merged(table, [np.float64] * 3)
-        a = _weights(*(x.reduce(np.add, e) for e in x.extra))
-        seen = a.real > 0
-        return _kept(x.answers(key[0].as_py(), a[x.group]), key[0].as_py(), x.keys[seen] if keep else None, a[seen])
+        x = B.Merged(table, [*[np.float64] * 3, np.uint8])
+        a = _weights(*(x.reduce(np.add, e) for e in x.extra[:3]))
+        seen, said = a.real > 0, a[x.group]
+        said.imag[x.extra[3] == 0] = 0
+        return _kept(x.answers(key[0].as_py(), said), key[0].as_py(), x.keys[seen] if keep else None, a[seen])
 
     needed = got.where((F.col("block") >= 0) & (F.col("order") <= k)).select("block", "bucket", "answer", "order", "kind")
     asked = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(ask, B.REQUEST)
