@@ -82,3 +82,21 @@ def test_few_and_no_rows(spark):
     got = N.neighbours(df, F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 0.0), (2, 2, 0.0)]
     assert N.neighbours(df.where("vec_id > 9"), F.lit(True)).collect() == []
+
+
+def test_blocks_exchange_a_row_for_each_two_of_them(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 200)
+    x = np.random.default_rng(6).normal(size=(1200, 16)).astype(np.float32)
+    df = frame(spark, x)
+    rows, stored = [], N.B.stored
+
+    def counted(out, name, *rest):
+        out = stored(out, name, *rest)
+        rows.append((name, out.count() if name in ("links", "graph", "beams", "met") else 0))
+        return out
+
+    monkeypatch.setattr(N.B, "stored", counted)
+    found = N.neighbours(df, F.col("vec_id") % 20 == 0, list_length=20, ef=64)
+    assert {"links", "graph"} <= {name for name, _ in rows}
+    assert max(n for _, n in rows) <= 6 * 6 + 6 * 13  # and not one for each of 1,200 nodes
+    assert N.recall(df, found, F.col("vec_id") % 20 == 0) >= 0.9

@@ -17,10 +17,14 @@ measures (2011), on tables in the shared folder:
 5. The best found are scored again in double precision on the original vectors.
 
 Samples are drawn by a hash of both ends and the round, as in the paper; entries that were
-not drawn stay unused and have their turn later.  Every table has a bounded number of rows
-for each node or query and every task streams over sorted rows, so memory does not depend on
-the data; lists that name a hub are cut to SAMPLE by a window with a rank limit, which Spark
-applies before the exchange too.  recall() measures the result against brute force.
+not drawn stay unused and have their turn later.
+
+Nodes are dealt into blocks by a hash.  A block keeps its lists in one row, and what blocks
+tell or ask each other in a step (names, vectors, found entries, beams) is one packed row for
+each two of them, so that rows cost next to nothing beside the bytes in them.  A block is one
+task; it holds its nodes, their members' vectors and what it found.  A hub gets from each
+block no more names than it may use and no more entries than a list has.  recall() measures
+the result against brute force.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite numbers take no part, neither do rows with a null vec_id; repeated rows
@@ -41,11 +45,15 @@ from . import blocks as B
 from . import tokens as T
 
 U64 = np.uint64
-#: h: vector in half precision; bar: the worst similarity of a full list; fresh: which entries no round has used
-RECORD = "node long, h binary, nbrs binary, sims binary, fresh binary, bar float"
 FOUND = "node long, nbrs binary, sims binary"
+#: what blocks keep and exchange; kind STATE: a block's nodes or queries, the others of src's block to this one or for itself
+ROW = "block int, kind int, src int, a binary, b binary, c binary, d binary, e binary"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+STATE, SENT, OWN, VECTORS = 0, 1, 2, 3
 #: list length, entries a node hands on in a round, nodes of a random group, share of entries that must change, beam, expansions of a round
 K, SAMPLE, GROUP, LEAST, EF, WIDTH = 40, 16, 128, 0.002, 128, 32
+#: nodes of a block, below 2**16
+BLOCK = 8192
 
 
 def usable(emb: DataFrame, key: str, vector: str) -> DataFrame:
@@ -164,186 +172,416 @@ def _start(nodes: DataFrame, n: int, k: int, parts: int) -> DataFrame:
     return _grouped(rows, parts, "group", within, FOUND)
 
 
-def _chosen(node: np.ndarray, nbr: np.ndarray, fresh: np.ndarray, n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the entries that a round hands on: n unused and n used ones of each node, by a hash; and the hash of all."""
-    mark = T.mix(T.mix(node.view(U64) + U64(turn)) ^ T.mix(nbr.view(U64) * U64(0x9E3779B97F4A7C15)))
-    order = np.lexsort((mark, ~fresh, node))
-    first = np.r_[True, (node[order][1:] != node[order][:-1]) | (fresh[order][1:] != fresh[order][:-1])] if len(order) else np.zeros(0, bool)
-    return order[_rank(np.cumsum(first)) < n], mark
-
-
-def _merge(records: DataFrame, found: DataFrame, k: int, sample: int, turn: int, parts: int) -> DataFrame:
-    """The records with found entries merged in, and how many entries are new (changed); entries that round `turn` has used are no longer fresh."""
-    rows = records.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-
-    def merge(table: pa.Table) -> pa.Table:
-        kind = T.column(table, "kind").to_numpy()
-        own = table.filter(pa.array(kind == 0))
-        nodes, place = np.unique(T.column(table, "node").to_numpy(), return_inverse=True)
-        (ids, n), (sims, _) = _flat(T.column(table, "nbrs"), np.int64), _flat(T.column(table, "sims"), np.float32)
-        at, late = np.repeat(place, n), np.repeat(kind, n)
-        fresh = np.ones(len(ids), bool)
-        fresh[late == 0] = _flat(T.column(own, "fresh"), np.bool_)[0]
-        mine = np.flatnonzero(late == 0)
-        used, _ = _chosen(nodes[at[mine]], ids[mine], fresh[mine], sample, turn)
-        fresh[mine[used]] = False
-        order = np.lexsort((late, ids, at))  # of a repeated entry the record's stays
-        at, ids, sims, late, fresh = (x[order] for x in (at, ids, sims, late, fresh))
-        once = np.r_[True, (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])] if len(at) else np.zeros(0, bool)
-        at, ids, sims, late, fresh = (x[once] for x in (at, ids, sims, late, fresh))
-        order = np.lexsort((ids, -sims, at))
-        at, ids, sims, late, fresh = (x[order] for x in (at, ids, sims, late, fresh))
-        keep = _rank(at) < k
-        at, ids, sims, late, fresh = (x[keep] for x in (at, ids, sims, late, fresh))
-        n = np.bincount(at, minlength=len(nodes))
-        bar = np.full(len(nodes), -2, np.float32)
-        full = n >= k
-        bar[full] = sims[np.cumsum(n)[full] - 1]
-        changed = np.bincount(at, late, len(nodes)).astype(np.int32)
-        return pa.table({"node": nodes, "h": T.column(own, "h"), "nbrs": _cut(ids, n), "sims": _cut(sims, n), "fresh": _cut(fresh, n), "bar": bar, "changed": changed})
-
-    return B.stored(_grouped(rows, parts, "node", merge, f"{RECORD}, changed int", "kind"), "graph")
-
-
-def _joined(records: DataFrame, k: int, sample: int, turn: int, parts: int) -> DataFrame:
-    """FOUND rows of one round: pairs of members of a node's lists, forwards and backwards."""
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_number(n: int) -> int:
+    """Blocks of about BLOCK nodes: each is one task of a few hundred MB at most, and tasks are few enough for their own cost not to count."""
+    return max(1, -(-n // BLOCK))
+
+
+def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (T.mix(ids.view(U64) ^ U64(0x6A09E667F3BCC909)) % U64(blocks)).astype(np.uint32)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of ROW; what a tuple leaves out is null."""
+    whole = [(*r, *[None] * (len(NAMES) - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in whole], pa.int32() if i < 3 else pa.binary()) for i in range(len(NAMES))], names=NAMES)
+
+
+def _split(to: np.ndarray, kind: int, src: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """A row for each block in `to`: its part of the columns, in their order."""
+    if not len(to):
+        return
+    order = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")
+    to = to[order]
+    at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    columns = tuple(np.ascontiguousarray(c[order]) for c in columns)
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
+        yield (int(to[i]), kind, src, *[c[i:j].tobytes() for c in columns])
+
+
+def _batched(rows: Iterator[tuple], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r[3:] if x is not None)
+        if size > most:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _mapped(rows: DataFrame, f) -> DataFrame:
+    """f(block, src, a, b, ...) over each row, without an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for block, _, *rest in zip(*columns, strict=True):
+                yield from _batched(f(block, *rest))
+
+    return rows.select(*NAMES).mapInArrow(run, ROW)
+
+
+def _exchanged(rows: DataFrame, blocks: int, f) -> DataFrame:
+    """f(block, {kind: rows without block and kind, by src}) over all rows of each block; a partition is a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list[tuple]]] = {}
+        for batch in batches:
+            for block, kind, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.setdefault(block, {}).setdefault(kind, []).append(tuple(rest))
+        for block in sorted(held):
+            of = held.pop(block)
+            for x in of.values():
+                x.sort(key=lambda r: r[0])
+            yield from _batched(f(block, of))
+
+    return rows.select(*NAMES).repartitionById(blocks, F.col("block")).mapInArrow(run, ROW)
+
+
+def _only(rows: DataFrame, columns: str = "abcde", kind: int | None = None) -> DataFrame:
+    """The rows (of a kind) with the other columns left unread."""
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    return rows.select("block", "kind", "src", *[F.col(c) if c in columns else F.lit(None).cast("binary").alias(c) for c in "abcde"])
+
+
+def _joined_bytes(rows: list[tuple], column: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), dtype)
+
+
+def _lists(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order, and for each as many places of a list: neighbours, similarities (best first, -inf: not filled), unused ones."""
+    ids = np.frombuffer(row[1], np.int64)
+    return ids, *[np.frombuffer(row[i], t).reshape(len(ids), -1) for i, t in ((2, np.int64), (3, np.float32), (4, np.bool_))]
+
+
+def _marks(node: np.ndarray, nbr: np.ndarray, turn: int) -> np.ndarray:
+    return T.mix(T.mix(node.view(U64) + U64(turn)) ^ T.mix(nbr.view(U64) * U64(0x9E3779B97F4A7C15)))
+
+
+def _handed(ids: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray, n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries a round hands on: n unused and n used ones of each node, by a hash."""
+    live, mark = sims > -np.inf, _marks(ids[:, None], nbrs, turn) >> U64(1)
+    out = []
+    for those in (live & fresh, live & ~fresh):
+        key = np.where(those, mark, ~U64(0))
+        out.append(those & (key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n]) if n < key.shape[1] else those)
+    return out[0], out[1]
+
+
+def _down(s: np.ndarray) -> np.ndarray:
+    """Ascending for falling similarity."""
+    bits = s.astype(np.float32).view(np.uint32)
+    return np.where(bits >> np.uint32(31) > 0, bits, np.uint32(0x7FFFFFFF) - bits)
+
+
+def _within(group: np.ndarray, fall: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n entries of each group that come first by fall (below 2**32), in order."""
+    order = np.argsort(group.astype(U64) << U64(32) | fall.astype(U64), kind="stable")
+    return order[_rank(group[order]) < n]
+
+
+def _merged(ids: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray, at: np.ndarray, new: np.ndarray, s: np.ndarray) -> tuple[int, bytes, bytes, bytes, bytes]:
+    """The lists with entries (at: place of the node, new, s) merged in, and how many of them are new."""
+    a, j = np.nonzero(sims > -np.inf)
+    group, w, val = np.r_[a, at].astype(np.int64), np.r_[nbrs[a, j], new], np.r_[sims[a, j], s].astype(np.float32)
+    late, unused = np.arange(len(w)) >= len(a), np.r_[fresh[a, j], np.ones(len(new), bool)]
+    key = group.astype(U64) << U64(44) | T.mix(w.view(U64)) >> U64(21) << U64(1) | late.astype(U64)  # of a repeated entry the list's own stays
+    order = np.argsort(key)
+    key = key[order] >> U64(1)
+    if len(key):
+        order = order[np.r_[True, key[1:] != key[:-1]]]
+    keep = order[_within(group[order], _down(val[order]), nbrs.shape[1])]
+    place = _rank(group[keep])
+    out = np.repeat(ids[:, None], nbrs.shape[1], axis=1), np.full(sims.shape, -np.inf, np.float32), np.zeros(fresh.shape, bool)
+    for x, y in zip(out, (w, val, unused), strict=True):
+        x[group[keep], place] = y[keep]
+    return int(late[keep].sum()), ids.tobytes(), *[x.tobytes() for x in out]
+
+
+def _vectors(row: tuple, n: int) -> np.ndarray:
+    return np.frombuffer(row[5], np.float16).reshape(n, -1)
+
+
+def _first(nodes: DataFrame, found: DataFrame, k: int, blocks: int) -> DataFrame:
+    """Rows STATE (lists) and VECTORS of all blocks, from nodes (node, h) and FOUND rows."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            (ids, n), (fresh, _) = _flat(T.column(p, "nbrs"), np.int64), _flat(T.column(p, "fresh"), np.bool_)
-            node = np.repeat(T.column(p, "node").to_numpy(), n)
-            go, mark = _chosen(node, ids, fresh, sample, turn)
-            u, v, f, m = node[go], ids[go], fresh[go], mark[go].view(np.int64)
-            back = np.repeat([False, True], len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[u, v], np.r_[v, u], np.r_[f, f], back, np.r_[m, m])], names=["at", "member", "fresh", "back", "mark"])
-
-    every = B.stored(records.select("node", "nbrs", "fresh").mapInArrow(links, "at long, member long, fresh boolean, back boolean, mark long"), "links")
-    backward = every.where("back").withColumn("i", F.row_number().over(_by(("at", "fresh"), "mark", "member"))).where(F.col("i") <= sample).drop("i")
-    asked = every.where("not back").unionByName(backward).select("at", "member", "fresh")
-    rows = asked.join(records.select(F.col("node").alias("member"), "h", "bar"), "member")
-
-    def join(table: pa.Table) -> pa.Table:
-        at, member, fresh, bar = (T.column(table, c).to_numpy(zero_copy_only=False) for c in ("at", "member", "fresh", "bar"))
-        once = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (member[1:] != member[:-1])])
-        fresh = np.logical_or.reduceat(fresh, once)
-        at, member, bar = at[once], member[once], bar[once]
-        x = _matrix(T.column(table.select(["h"]).take(once), "h"), np.float16).astype(np.float32)
-        place = _rank(at)
-        group = np.cumsum(place == 0) - 1
-        out = []
-        width = int(place.max()) + 1
+            ids = p.column("node").to_numpy()
+            yield from _batched((b, VECTORS, 0, i, None, None, None, h) for b, _, _, i, h in _split(_block_of(ids, blocks), VECTORS, 0, ids, _matrix(p.column("h"), np.float16)))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            (w, n), (s, _) = _flat(p.column("nbrs"), np.int64), _flat(p.column("sims"), np.float32)
+            at = np.repeat(p.column("node").to_numpy(), n)
+            yield from _batched(_split(_block_of(at, blocks), SENT, 0, at, w, s))
+
+    def gather(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        ids, parts = _joined_bytes(of[VECTORS], 1, np.int64), of.get(SENT, [])
+        order = np.argsort(ids)
+        yield block, VECTORS, 0, ids[order].tobytes(), None, None, None, _joined_bytes(of[VECTORS], 5, np.float16).reshape(len(ids), -1)[order].tobytes()
+        ids, shape = ids[order], (len(ids), k)
+        at, w, s = (_joined_bytes(parts, i, t) for i, t in ((1, np.int64), (2, np.int64), (3, np.float32)))
+        yield block, STATE, *_merged(ids, np.zeros(shape, np.int64), np.full(shape, -np.inf, np.float32), np.zeros(shape, bool), np.searchsorted(ids, at), w, s)
+
+    return B.stored(_exchanged(nodes.mapInArrow(deal, ROW).unionByName(found.mapInArrow(lists, ROW)), blocks, gather), "graph")
+
+
+def _links(graph: DataFrame, blocks: int, sample: int, turn: int) -> DataFrame:
+    """Of each block whom a round joins at its nodes (OWN), and the other blocks' nodes whose vectors it needs (SENT)."""
+
+    def backward(block: int, *row: bytes) -> Iterator[tuple]:
+        ids, nbrs, sims, fresh = _lists(row)
+        f, u = _handed(ids, nbrs, sims, fresh, sample, turn)
+        at, j = np.nonzero(f | u)
+        node, nbr, new = ids[at], nbrs[at, j], f[at, j]
+        cell = (T.mix(nbr.view(U64)) >> U64(48)).astype(np.int64) * 2 + new
+        many = np.bincount(cell, minlength=1 << 17)[cell] > sample
+        if many.any():  # a hub gets no more than it may use from each block
+            i = np.flatnonzero(many)
+            _, who = np.unique(nbr[i], return_inverse=True)
+            many[i[_within(who * 2 + new[i], _marks(node[i], nbr[i], turn) >> U64(32), sample)]] = False
+            node, nbr, new = node[~many], nbr[~many], new[~many]
+        yield from _split(_block_of(nbr, blocks), SENT, block, nbr, node, new)
+
+    def members(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        ids, nbrs, sims, fresh = _lists(of[STATE][0])
+        f, u = _handed(ids, nbrs, sims, fresh, sample, turn)
+        at, j = np.nonzero(f | u)
+        nbr, node, new = (_joined_bytes(of.get(SENT, []), i, t) for i, t in ((1, np.int64), (2, np.int64), (3, np.bool_)))
+        place = np.searchsorted(ids, nbr)
+        keep = _within(place * 2 + new, _marks(node, nbr, turn) >> U64(32), sample)
+        at, member, new = np.r_[at, place[keep]], np.r_[nbrs[at, j], node[keep]], np.r_[f[at, j], new[keep]]
+        some = (np.bincount(at, new, len(ids)) > 0)[at]  # without an unused member nothing is compared
+        asked, inverse = np.unique(member[some], return_inverse=True)
+        to = _block_of(asked, blocks)
+        order = np.argsort(to, kind="stable")
+        index = np.empty(len(asked), np.int64)
+        index[order] = np.arange(len(asked))
+        key = np.sort(at[some].astype(U64) << U64(33) | index[inverse].astype(U64) << U64(1) | (~new[some]).astype(U64))
+        key = key[np.r_[True, key[1:] >> U64(1) != key[:-1] >> U64(1)]] if len(key) else key
+        counts = np.bincount((key >> U64(33)).astype(np.int64), minlength=len(ids)).astype(np.int32)
+        index = ((key >> U64(1)) & U64(0xFFFFFFFF)).astype(np.int32)
+        yield block, OWN, block, counts.tobytes(), index.tobytes(), (key & U64(1) == 0).tobytes(), asked[order].tobytes()
+        yield from _split(to, SENT, block, asked)
+
+    return B.stored(_exchanged(_only(graph, "abcd").unionByName(_mapped(_only(graph, "abcd"), backward)), blocks, members), "links")
+
+
+def _joined(graph: DataFrame, vectors: DataFrame, links: DataFrame, k: int, blocks: int) -> DataFrame:
+    """Entries that a round finds, for the block of their node: its place there, the neighbour, the similarity."""
+
+    def answers(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        ids = np.frombuffer(of[VECTORS][0][1], np.int64)
+        x = _vectors(of[VECTORS][0], len(ids))
+        bar = np.ascontiguousarray(np.frombuffer(of[STATE][0][3], np.float32).reshape(len(ids), -1)[:, -1])
+        for src, a, *_ in of.get(SENT, []):
+            place = np.searchsorted(ids, np.frombuffer(a, np.int64))
+            yield src, SENT, block, x[place].tobytes(), bar[place].tobytes(), place.astype(np.int32).tobytes()
+
+    def join(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        counts, index, fresh, asked = (np.frombuffer(of[OWN][0][i], t) for i, t in ((1, np.int32), (2, np.int32), (3, np.bool_), (4, np.int64)))
+        if not len(index):
+            return
+        n = len(asked)  # also the index of a filler, that is near to nothing
+        x = _joined_bytes(of[SENT], 1, np.float16).reshape(n, -1).astype(np.float32)
+        x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
+        bar, place = np.append(_joined_bytes(of[SENT], 2, np.float32), np.float32(np.inf)), _joined_bytes(of[SENT], 3, np.int32)
+        home = np.repeat(np.array([r[0] for r in of[SENT]], np.uint32), [len(r[3]) // 4 for r in of[SENT]])
+        counts = counts[counts > 0]
+        width = int(counts.max())
+        who, new = np.full((len(counts), width), n, np.int32), np.zeros((len(counts), width), bool)
+        filled = np.arange(width) < counts[:, None]
+        who[filled], new[filled] = index, fresh
         step = max(1, (1 << 20) // (width * max(width, x.shape[1])))  # groups compared at once
-        for lo in range(0, int(group[-1]) + 1, step):
-            i, j = np.searchsorted(group, [lo, lo + step])
-            g, p = group[i:j] - lo, place[i:j]
-            shape = (int(g[-1]) + 1, width)
-            padded = np.zeros((*shape, x.shape[1]), np.float32)
-            padded[g, p] = x[i:j]
-            row = np.full(shape, -1, np.int64)
-            row[g, p] = np.arange(i, j)
-            bars, new = np.full(shape, np.inf, np.float32), np.zeros(shape, bool)
-            bars[g, p], new[g, p] = bar[i:j], fresh[i:j]
-            s = padded @ padded.transpose(0, 2, 1)
-            fit = (s > bars[:, :, None]) & (new[:, :, None] | new[:, None, :]) & (row[:, None, :] >= 0)
-            fit[:, np.arange(width), np.arange(width)] = False
-            a, b, c = np.nonzero(fit)
-            out.append((member[row[a, b]], member[row[a, c]], s[a, b, c]))
+        own, out = np.arange(width), []
+        for lo in range(0, len(counts), step):
+            i, f = who[lo : lo + step], new[lo : lo + step]
+            y = x[i]
+            s = y @ y.transpose(0, 2, 1)
+            fit = (f[:, :, None] & filled[lo : lo + step, None, :]) | f[:, None, :]
+            fit &= s > bar[i][:, :, None]
+            fit[:, own, own] = False
+            hit = np.flatnonzero(fit)
+            row = hit // width
+            flat = i.ravel()
+            out.append((flat[row], flat[row // width * width + hit % width], s.ravel()[hit]))
         u, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return _best(u, w, s, k)
+        many = np.bincount(u, minlength=n)[u] > k
+        if many.any():  # the k best of each node are enough
+            i = np.flatnonzero(many)
+            i = i[np.argsort(u[i].astype(U64) << U64(32) | _down(s[i]).astype(U64), kind="stable")]
+            again = np.r_[False, (u[i][1:] == u[i][:-1]) & (w[i][1:] == w[i][:-1])]
+            i = i[~again]
+            i = np.r_[np.flatnonzero(~many), i[_rank(u[i]) < k]]
+            u, w, s = u[i], w[i], s[i]
+        yield from _split(home[u], SENT, block, place[u], asked[w], s)
+
+    answered = _exchanged(_only(links, "a", SENT).unionByName(_only(graph, "ac")).unionByName(vectors), blocks, answers)
+    return _exchanged(_only(links, "abcd", OWN).unionByName(answered), blocks, join)
+
+
+def _forget(*rows: DataFrame) -> None:
+    """Deletes stored tables that a later one has replaced."""
+    for df in rows:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _built(nodes: DataFrame, n: int, k: int, sample: int, least: float) -> tuple[DataFrame, DataFrame, int]:
+    """The lists of all nodes (rows STATE), their vectors (rows VECTORS) and the number of blocks."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 8192))
+    blocks = block_number(n)
+    first = _first(nodes, _start(nodes, n, k, parts), k, blocks)
+    graph, vectors, turn = _only(first, "abcd", STATE), _only(first, "ae", VECTORS), 0
+    while True:
+        links = _links(graph, blocks, sample, turn)
 
-    return _grouped(rows, parts, "at", join, FOUND, "member")
+        def merge(block: int, of: dict[int, list[tuple]], turn: int = turn) -> Iterator[tuple]:
+            ids, nbrs, sims, fresh = _lists(of[STATE][0])
+            used, _ = _handed(ids, nbrs, sims, fresh, sample, turn)
+            found = [_joined_bytes(of.get(SENT, []), i, t) for i, t in ((1, np.int32), (2, np.int64), (3, np.float32))]
+            yield block, STATE, *_merged(ids, nbrs, sims, fresh & ~used, *found)
 
+        merged = B.stored(_exchanged(_only(graph, "abcd").unionByName(_joined(graph, vectors, links, k, blocks)), blocks, merge), "graph")
+        _forget(links, *[graph] * (turn > 0))
+        graph, turn = merged, turn + 1
+        if (merged.agg(F.sum("src")).first()[0] or 0) <= least * n * k:  # of lists, src is the number of entries that changed
+            return graph, vectors, blocks
 
-def build_graph(nodes: DataFrame, n: int, k: int = K, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """RECORD rows: the neighbour lists of all nodes (node, h), n in number."""
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 8192))
-    empty = nodes.select("node", "h", *[F.lit(b"").alias(c) for c in ("nbrs", "sims", "fresh")], F.lit(-2.0).cast("float").alias("bar"))
-    records = _merge(empty, _start(nodes, n, k, parts), k, sample, 0, parts).drop("changed")
-    turn = 0
-    while True:
-        merged = _merge(records, _joined(records, k, sample, turn, parts), k, sample, turn, parts)
-        records, turn = merged.drop("changed"), turn + 1
-        if (merged.agg(F.sum("changed")).first()[0] or 0) <= least * n * k:
-            return records
 
+def build_graph(nodes: DataFrame, n: int, k: int = K, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
+    """FOUND rows: the neighbour lists of all nodes (node, h), n in number."""
 
-STATE = "q long, v binary, ids binary, sims binary, open binary, seen binary"
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                ids, nbrs, sims, _ = _lists(r)
+                live = sims > -np.inf
+                n = live.sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), _cut(nbrs[live], n), _cut(sims[live], n)], names=["node", "nbrs", "sims"])
 
+    return _built(nodes, n, k, sample, least)[0].select(*NAMES).mapInArrow(rows, FOUND)
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF, width: int = WIDTH) -> DataFrame:
-    """(q, found) of the ef nodes nearest to each query node that greedy search meets."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = B.stored(graph.select("node", "nbrs"), "lists")
-    own = queries.select(F.col("node").alias("q")).join(graph.select(F.col("node").alias("q"), "nbrs", "sims"), "q")
-    own = own.join(nodes.select(F.col("node").alias("q"), F.col("x").alias("v")), "q")
-    names = [c.split()[0] for c in STATE.split(", ")]
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            _, n = _flat(p.column("nbrs"), np.int64)
-            yield pa.RecordBatch.from_arrays([p.column("q"), p.column("v"), p.column("nbrs"), p.column("sims"), _cut(np.ones(int(n.sum()), bool), n), p.column("nbrs")], names=names)
+def _beams(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, and of each the best found, their similarities (best first, -inf: not filled), which are not expanded, and its vector."""
+    q = np.frombuffer(row[1], np.int64)
+    return q, *[np.frombuffer(row[i], t).reshape(len(q), -1) for i, t in ((2, np.int64), (3, np.float32), (4, np.bool_), (5, np.float16))]
 
-    state = B.stored(own.mapInArrow(begin, STATE), "beams")
 
-    def expanded(open_: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(open_)[:width]  # beams are sorted, best first
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, blocks: int, ef: int = EF, width: int = WIDTH) -> DataFrame:
+    """(q, found) of the ef nodes nearest to each query node that greedy search meets; graph and vectors as _built made them."""
 
-    def expansions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            q, node = [], [np.zeros(0, np.int64)]
-            for i, a, o in zip(p.column("q").to_pylist(), p.column("ids").to_pylist(), p.column("open").to_pylist(), strict=True):
-                node.append(np.frombuffer(a, np.int64)[expanded(np.frombuffer(o, bool))])
-                q += [i] * len(node[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(node))], names=["q", "node"])
-
-    def unseen(table: pa.Table) -> pa.Table:
-        q = T.column(table, "q").to_numpy()
-        (ids, n), kind = _flat(T.column(table, "nbrs"), np.int64), T.column(table, "kind").to_numpy()
-        at, known = np.repeat(q, n), np.repeat(kind == 0, n)
-        order = np.lexsort((~known, ids, at))
-        at, ids, known = at[order], ids[order], known[order]
-        new = (np.r_[True, (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])] if len(at) else np.zeros(0, bool)) & ~known & (at != ids)
-        return pa.table({"q": at[new], "node": ids[new]})
-
-    def walk(table: pa.Table) -> pa.Table:
-        kind, q = T.column(table, "kind").to_numpy(), T.column(table, "q").to_numpy()
-        edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
-        node, x = T.column(table, "node"), T.column(table, "x")
-        old = {c: T.column(table, c) for c in ("v", "ids", "sims", "open", "seen")}
-        out: dict[str, list] = {c: [] for c in names}
-        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            assert kind[i] == 0, "a query's own row comes first"
-            v, a, s, o, seen = (old[c][i].as_py() for c in ("v", "ids", "sims", "open", "seen"))
-            ids, sims, open_ = np.frombuffer(a, np.int64), np.frombuffer(s, np.float32), np.frombuffer(o, bool).copy()
-            open_[expanded(open_)] = False
-            if j > i + 1:
-                new = node.slice(i + 1, j - i - 1).to_numpy()
-                near = _matrix(x.slice(i + 1, j - i - 1)) @ np.frombuffer(v, np.float32)
-                ids, sims, open_ = np.r_[ids, new], np.r_[sims, near], np.r_[open_, np.ones(len(new), bool)]
-                seen += new.tobytes()
-            best = np.lexsort((ids, -sims))[:ef]
-            row = (int(q[i]), v, ids[best].tobytes(), sims[best].astype(np.float32).tobytes(), open_[best].tobytes(), seen)
-            for c, y in zip(names, row, strict=True):
-                out[c].append(y)
-        return pa.table({c: pa.array(y, pa.int64() if c == "q" else pa.binary()) for c, y in out.items()})
-
-    vectors = nodes.select("node", "x")
-    while True:
-        go = B.stored(state.select("q", "ids", "open").mapInArrow(expansions, "q long, node long"), "expansions")
-        if go.isEmpty():
-            break
-        near = go.join(lists, "node").select("q", "nbrs", F.lit(1).alias("kind"))
-        known = state.select("q", F.col("seen").alias("nbrs"), F.lit(0).alias("kind"))
-        new = B.stored(_grouped(known.unionByName(near), parts, "q", unseen, "q long, node long"), "met")
-        rows = state.withColumn("kind", F.lit(0)).unionByName(new.join(vectors, "node").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        state = B.stored(_grouped(rows, parts, "q", walk, STATE, "kind"), "beams")
+            q = p.column("node").to_numpy()
+            yield from _batched(_split(_block_of(q, blocks), SENT, 0, q))
+
+    def beams(q: np.ndarray, ids: np.ndarray, sims: np.ndarray, open_: np.ndarray, v: np.ndarray) -> tuple:
+        return int(open_.sum()), *[np.ascontiguousarray(x).tobytes() for x in (q, ids, sims, open_, v)]  # src: how many are not expanded
+
+    def begin(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        if SENT not in of:
+            return
+        ids, nbrs, sims, _ = _lists(of[STATE][0])
+        q = np.unique(_joined_bytes(of[SENT], 1, np.int64))
+        at, n = np.searchsorted(ids, q), min(ef, nbrs.shape[1])
+        best, near = np.repeat(q[:, None], ef, axis=1), np.full((len(q), ef), -np.inf, np.float32)
+        best[:, :n], near[:, :n] = nbrs[at, :n], sims[at, :n]
+        yield block, STATE, *beams(q, best, near, near > -np.inf, _vectors(of[VECTORS][0], len(ids))[at])
+        seen = np.concatenate([q[:, None], nbrs[at]], axis=1)
+        yield block, VECTORS, block, np.repeat(np.arange(len(q), dtype=np.int32), seen.shape[1]).tobytes(), seen.tobytes()
 
-    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            ids, n = _flat(p.column("ids"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column("q").to_numpy(), n)), pa.array(ids)], names=["q", "found"])
+    def expanded(open_: np.ndarray) -> np.ndarray:
+        return open_ & (np.cumsum(open_, axis=1) <= width)
+
+    def expansions(block: int, *row: bytes) -> Iterator[tuple]:
+        _, ids, _, open_, _ = _beams((*row[:5], b""))
+        node = np.unique(ids[expanded(open_)])
+        yield from _split(_block_of(node, blocks), SENT, block, node)
+
+    def neighbours_of(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        ids = np.frombuffer(of[STATE][0][1], np.int64)
+        nbrs = np.frombuffer(of[STATE][0][2], np.int64).reshape(len(ids), -1)
+        for src, a, *_ in of.get(SENT, []):
+            node = np.frombuffer(a, np.int64)
+            yield src, SENT, block, node.tobytes(), nbrs[np.searchsorted(ids, node)].tobytes()
+
+    def unseen(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        if SENT not in of:  # all of the block's queries have ended
+            return
+        q, ids, _, open_, _ = _beams((*of[STATE][0][:5], b""))
+        node = _joined_bytes(of[SENT], 1, np.int64)
+        lists = _joined_bytes(of[SENT], 2, np.int64).reshape(len(node), -1)
+        order = np.argsort(node)
+        i, j = np.nonzero(expanded(open_))
+        met = lists[order[np.searchsorted(node[order], ids[i, j])]]
+        every = np.r_[_joined_bytes(of[VECTORS], 2, np.int64), met.ravel()]
+        asker = np.r_[_joined_bytes(of[VECTORS], 1, np.int32), np.repeat(i, met.shape[1])].astype(np.int64)
+        known = np.arange(len(every)) < len(every) - met.size
+        asked, inverse = np.unique(every, return_inverse=True)
+        key = np.sort(asker.astype(U64) << U64(33) | inverse.astype(U64) << U64(1) | (~known).astype(U64))
+        pair = key >> U64(1)
+        new = pair[np.r_[True, pair[1:] != pair[:-1]] & (key & U64(1) == 1)]
+        index = (new & U64(0xFFFFFFFF)).astype(np.int64)
+        asked, index = np.unique(asked[index], return_inverse=True)
+        to = _block_of(asked, blocks)
+        order = np.argsort(to, kind="stable")
+        place = np.empty(len(asked), np.int32)
+        place[order] = np.arange(len(asked))
+        yield block, OWN, block, (new >> U64(32)).astype(np.int32).tobytes(), place[index].tobytes(), asked[order].tobytes()
+        yield from _split(to, SENT, block, asked)
+
+    def vectors_of(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        ids = np.frombuffer(of[VECTORS][0][1], np.int64)
+        x = _vectors(of[VECTORS][0], len(ids))
+        for src, a, *_ in of.get(SENT, []):
+            yield src, SENT, block, x[np.searchsorted(ids, np.frombuffer(a, np.int64))].tobytes()
+
+    def walk(block: int, of: dict[int, list[tuple]]) -> Iterator[tuple]:
+        q, ids, sims, open_, v = _beams(of[STATE][0])
+        open_ = open_ & ~expanded(open_)
+        yield from ((block, VECTORS, *r) for r in of[VECTORS])
+        if OWN in of and len(of[OWN][0][1]):
+            asker, index, asked = (np.frombuffer(of[OWN][0][i], t) for i, t in ((1, np.int32), (2, np.int32), (3, np.int64)))
+            x, new = _joined_bytes(of[SENT], 1, np.float16).reshape(len(asked), -1), asked[index]
+            yield block, VECTORS, block, asker.tobytes(), new.tobytes()
+            near = np.empty(len(new), np.float32)
+            edge = np.searchsorted(asker, np.arange(len(q) + 1))
+            for i in range(len(q)):
+                near[edge[i] : edge[i + 1]] = x[index[edge[i] : edge[i + 1]]].astype(np.float32) @ v[i].astype(np.float32)
+            a, j = np.nonzero(sims > -np.inf)
+            group, every, val, more = np.r_[a, asker], np.r_[ids[a, j], new], np.r_[sims[a, j], near], np.r_[open_[a, j], np.ones(len(new), bool)]
+            keep = _within(group, _down(val), ef)
+            place = _rank(group[keep])
+            ids, sims, open_ = np.repeat(q[:, None], ef, axis=1), np.full(sims.shape, -np.inf, np.float32), np.zeros(open_.shape, bool)
+            for y, z in ((ids, every), (sims, val), (open_, more)):
+                y[group[keep], place] = z[keep]
+        yield block, STATE, *beams(q, ids, sims, open_, v)
 
-    return state.mapInArrow(result, "q long, found long")
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                q, ids, sims, _, _ = _beams(r)
+                live = sims > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, live.sum(1))), pa.array(ids[live])], names=["q", "found"])
+
+    state = B.stored(_exchanged(_only(graph, "abcd").unionByName(vectors).unionByName(queries.select("node").mapInArrow(deal, ROW)), blocks, begin), "beams")
+    while state.where(F.col("kind") == STATE).agg(F.sum("src")).first()[0]:
+        asked = _mapped(_only(state, "abcd", STATE), expansions)
+        met = _exchanged(_only(graph, "ab").unionByName(asked), blocks, neighbours_of)
+        rows = _only(state, "abcd", STATE).unionByName(_only(state, "ab", VECTORS)).unionByName(met)
+        new = B.stored(_exchanged(rows, blocks, unseen), "met")
+        got = _exchanged(vectors.unionByName(_only(new, "a", SENT)), blocks, vectors_of)
+        after = B.stored(_exchanged(state.unionByName(_only(new, "abc", OWN)).unionByName(got), blocks, walk), "beams")
+        _forget(state, new)
+        state = after
+    return _only(state, kind=STATE).select(*NAMES).mapInArrow(result, "q long, found long")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -363,17 +601,17 @@ def neighbours(emb: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         for p in batches:
             if p.num_rows:
                 x = _unit(p.column("v"))
-                yield pa.RecordBatch.from_arrays([p.column("node"), _binaries(x), _binaries(x.astype(np.float16))], names=["node", "x", "h"])
+                yield pa.RecordBatch.from_arrays([p.column("node"), _binaries(x.astype(np.float16))], names=["node", "h"])
 
-    nodes = B.stored(copies.mapInArrow(units, "node long, x binary, h binary"), "nodes")
-    graph = build_graph(nodes.select("node", "h"), n, max(list_length, k))
+    nodes = B.stored(copies.mapInArrow(units, "node long, h binary"), "nodes")
+    graph, vectors, blocks = _built(nodes, n, max(list_length, k), SAMPLE, LEAST)
     # a node's first k + 1 rows are enough for any query; ranks are limited before the exchange
     members = rows.join(copies, "v").select("node", "vec_id")
     members = B.stored(members, "members")
     few = members.withColumn("i", F.row_number().over(_by("node", "vec_id"))).where(F.col("i") <= k + 1).select("node", "vec_id")
     queries = members.where(is_query).select(F.col("vec_id").alias("query_id"), "node")
     own = B.stored(queries.select("node").distinct(), "query-nodes")
-    found = search(graph, nodes, own, max(ef, 4 * k))
+    found = search(graph, vectors, own, blocks, max(ef, 4 * k))
     found = found.union(own.select(F.col("node").alias("q"), F.col("node").alias("found")))
     of = lambda name: copies.select(F.col("node").alias(name), F.col("v").alias(f"v_{name}"))
     exact = B.stored(found.join(of("q"), "q").join(of("found"), "found").select("q", "found", cosine(F.col("v_q"), F.col("v_found")).alias("score")), "scores")
